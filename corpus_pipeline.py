@@ -1,21 +1,47 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline of five stages over documents: quality, near copies, repeated passages, benchmark leaks, mixing.
+
+Each stage takes (spark, docs, sf_dir) and is judged on all that its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import mixing
+from tessella.llm import decontam, mixing, ngram_join, quality, substring
 from tessella.llm.common import staged, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality ranking rejects go."""
+    return quality.good_documents(spark, docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.one_of_each(spark, docs)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in repeated windows go; n_chars is that of the text that is left."""
+    from pyspark.sql import functions as F
+
+    kept = substring.remove_repeats(spark, docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with a test item go."""
+    return decontam.clean_documents(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with the number of copies it takes of each."""
     return mixing.mixed_documents(spark, docs)
 
 
-STAGES = [("mixing", mixing_stage)]
+STAGES = [("quality", quality_stage), ("ngram_jaccard", near_copies_stage), ("substring_dedup", repeats_stage), ("decontaminate", benchmark_stage), ("mix_sources", mixing_stage)]
 
-#: Training and hashing aren't SQL; the stages are tested against brute force.
+#: Fitted scores, hashed windows and seeds over what earlier stages kept aren't SQL; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, topk, urls
+from . import chat, decontam, licenses, mixing, ngram_join, quality, substring, topk, toxicity, urls
 from .common import table
 
 
@@ -13,10 +13,35 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(spark, docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rank_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, scale=64.0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Conversation -1: texts that look like another template's marks.
 FORGED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -36,9 +61,91 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op6_exact_top_k, op9_chat_format, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_substring_dedup, op4_toxicity, op5_quality, op6_exact_top_k, op7_license_scan, op8_decontaminate, op9_chat_format, op10_url_filter)}
+
+#: Words of a text column; the class is the complement of 0x20 and 0x09-0x0D.
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEMPLATES = " UNION ALL ".join(f"SELECT '{name}' AS license, {licenses.bigrams_of(text)} AS t" for name, text in licenses.TEMPLATES)
+
+
+def _picked(mask: str, words: str, start: str) -> str:
+    return " || ' ' || ".join(f"{words}[{start} + {i + 1}]" for i, c in enumerate(mask) if c == "1")
+
+
+def _seeds(source: str, key: str) -> str:
+    """Rows (key, mask, p, seed): p is where the mask is laid, from 0."""
+    return " UNION ALL ".join(f"SELECT {key}, {m} AS mask, p, {_picked(mask, 'ws', 'p')} AS seed FROM (SELECT {key}, ws, unnest(range(0, len(ws) - {len(mask)} + 1)) AS p FROM {source})" for m, mask in enumerate(decontam.MASKS))
+
 
 ORACLE_SQL = {
+    "op1_mix_sources": f"""
+        WITH d AS (SELECT doc_id, source, len({_WORDS.format("text")}) AS size FROM documents),
+        b AS (SELECT CAST(sum(size) AS DOUBLE) AS budget FROM d),
+        t AS (
+          SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS s FROM d GROUP BY source),
+        c AS (SELECT *, CAST(1 + s % 3 AS DOUBLE) AS weight, 3 * source_size / CAST(1 + s % 3 AS DOUBLE) AS cap FROM t),
+        f AS (
+          SELECT *, (budget - coalesce(CAST(sum(3 * source_size) OVER (ORDER BY cap, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0))
+            / sum(weight) OVER (ORDER BY cap, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+          FROM c, b),
+        l AS (SELECT coalesce((SELECT level FROM f WHERE level <= cap ORDER BY cap, s LIMIT 1), (SELECT level FROM f ORDER BY cap DESC, s DESC LIMIT 1)) AS level),
+        q AS (
+          SELECT d.doc_id, d.size, c.s, c.source_size, c.weight, least(3.0 * c.source_size, c.weight * l.level) AS target,
+            CAST(sum(d.size) OVER (PARTITION BY c.s ORDER BY md5('20:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sent
+          FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source, l),
+        x AS (SELECT *, (turn * source_size + sent) / weight AS finish FROM q, (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0),
+        m AS (SELECT *, sum(size) OVER (ORDER BY finish, s, turn ROWS UNBOUNDED PRECEDING) AS total FROM x),
+        k AS (SELECT s, sent, CAST(sum(size) AS BIGINT) AS taken FROM m, b WHERE total <= budget GROUP BY s, sent)
+        SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, q.source_size, q.target, CASE WHEN q.size > 0 THEN coalesce(k.taken, 0) ELSE 0 END AS taken
+        FROM q LEFT JOIN k ON q.s = k.s AND q.sent = k.sent""",
+    "op2_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+        s AS (
+          SELECT DISTINCT r, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        p AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+        links AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * i >= 75 * (nx.n + ny.n - i)),
+        reach AS (SELECT r AS root, r FROM w UNION SELECT root, y FROM reach JOIN links ON x = reach.r),
+        c AS (SELECT root, min(doc_id) AS component_id FROM reach JOIN w USING (r) GROUP BY root)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM w JOIN c ON c.root = w.r LEFT JOIN n USING (r)""",
+    "op3_substring_dedup": f"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS ws FROM documents),
+        win AS (SELECT r, p, array_to_string(ws[p:p + 34], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS p FROM w WHERE len(ws) >= 35)),
+        again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS i FROM win SEMI JOIN again USING (g)),
+        word AS (SELECT r, unnest(ws) AS v, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        kept AS (
+          SELECT r, count(*) AS n, count(gone.i) AS m, string_agg(v, ' ' ORDER BY word.i) FILTER (gone.i IS NULL) AS t
+          FROM word LEFT JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(m, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (r)""",
+    "op7_license_scan": f"""
+        WITH t AS ({_TEMPLATES}),
+        l AS (
+          SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS lines FROM documents),
+        u AS (
+          SELECT row_number() OVER () AS u, doc_id, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws
+          FROM (
+            SELECT doc_id, unnest(range(0, len(lines))) AS line_no, unnest(lines) AS line FROM l
+            UNION ALL SELECT doc_id, -1, array_to_string(lines, ' ') FROM l WHERE len(lines) > 1)),
+        g AS (SELECT u, doc_id, line_no, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM u WHERE len(ws) > 1),
+        d AS (SELECT u, doc_id, line_no, license, 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice FROM g, t),
+        b AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY dice DESC, license) AS k FROM d WHERE dice >= {licenses.THRESHOLD})
+        SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, license, round(dice, 6) AS dice FROM b WHERE k = 1""",
+    "op8_decontaminate": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+        b AS (SELECT row_number() OVER () AS j, item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM benchmark),
+        ds AS ({_seeds("d", "r")}), bs AS ({_seeds("b", "j")}),
+        hit AS (SELECT DISTINCT r, j, ds.p AS p, bs.p AS q FROM ds JOIN bs USING (mask, seed)),
+        al AS (
+          SELECT r, j, p, q, list_transform(list_filter(range(-15, 30), lambda k: q + k >= 0 AND q + k < len(b.ws) AND p + k >= 0 AND p + k < len(d.ws)),
+            lambda k: CAST(b.ws[q + k + 1] = d.ws[p + k + 1] AS INTEGER)) AS e
+          FROM hit JOIN d USING (r) JOIN b USING (j)),
+        best AS (SELECT r, j, len(e) AS n, list_max(list_transform(range(1, greatest(len(e) - 14, 1) + 1), lambda s: list_sum(e[s:s + 14]))) AS agree FROM al)
+        SELECT doc_id, item_id, CAST(max(agree) AS BIGINT) AS agree FROM best JOIN d USING (r) JOIN b USING (j)
+        WHERE agree >= least(n, 15) - 2 GROUP BY doc_id, item_id""",
     "op6_exact_top_k": """
         WITH v AS (
           SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q

@@ -58,14 +58,14 @@ LOWER_VALUE[65:91] = VALUE[97:123]
 class Chunk:
     """Words of some documents. first[d]:first[d+1] are the words of document d; hash, start and end are by word."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool):
+    def __init__(self, texts: list[bytes | None], lower: bool, space: np.ndarray = SPACE):
         self.texts = [t or b"" for t in texts]
         self.data = b"\n".join([*self.texts, b""])
         buf = np.frombuffer(self.data, np.uint8)
-        space = SPACE[buf]
+        blank = space[buf]
         edge = np.empty(len(buf), bool)
-        edge[:1] = ~space[:1]
-        np.not_equal(space[1:], space[:-1], out=edge[1:])
+        edge[:1] = ~blank[:1]
+        np.not_equal(blank[1:], blank[:-1], out=edge[1:])
         at = np.flatnonzero(edge)
         self.start, self.end = at[0::2], at[1::2]  # a chunk ends with a separator, so edges pair up
         up, down = _bytes.get(len(buf) + 1)
@@ -94,7 +94,7 @@ class Chunk:
         return doc, word, self.span(word, word + k)
 
 
-def chunks(texts: pa.Array, lower: bool = False, most: int = 4000) -> Iterator[tuple[int, Chunk]]:
+def chunks(texts: pa.Array, lower: bool = False, most: int = 4000, space: np.ndarray = SPACE) -> Iterator[tuple[int, Chunk]]:
     """(first row, Chunk) for successive rows of a string column."""
     values = texts.cast(pa.binary()).to_pylist()
     at = 0
@@ -103,7 +103,7 @@ def chunks(texts: pa.Array, lower: bool = False, most: int = 4000) -> Iterator[t
         while end < len(values) and end - at < most and (end == at or size + len(values[end] or b"") <= CHUNK_BYTES):
             size += len(values[end] or b"")
             end += 1
-        yield at, Chunk(values[at:end], lower)
+        yield at, Chunk(values[at:end], lower, space)
         at = end
 
 
