@@ -21,8 +21,10 @@ from .words import U, Chunk, chunks, longs, mix
 
 #: Counters of the sketch that orders shingles from rare to frequent. Its size is fixed; it only steers how many candidates there are.
 SKETCH = 1 << 17
-#: Bits of a set's signature.
-BITS = 1024
+#: Bits of the smallest signature. A set of n shingles has the next power of two that is at least n, so signatures bound overlaps alike at every size.
+LEAST_BITS = 256
+#: Bytes of signatures that are compared at a time.
+COMPARED = 1 << 24
 #: Members of a tile in one block, and of a lead in one group.
 TILE = 512
 _DOC, _HASH = 52, (1 << 52) - 1
@@ -41,6 +43,57 @@ def _bounds(doc: np.ndarray, docs: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(docs + 1))
 
 
+def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parity bitmaps: bit i says whether an odd number of the set's shingles have i as their lowest bits. Folding the halves of one by XOR gives that of half the size."""
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    flat = first[doc] + (h & (bits[doc] - 1).astype(U)).astype(np.int64)
+    packed = np.packbits(np.bincount(flat, minlength=first[-1]).astype(np.uint8) & 1).tobytes()
+    return [packed[s:e] for s, e in zip(first // 8, first[1:] // 8, strict=False)]
+
+
+class Signatures:
+    """Those of some sets, for comparing pairs."""
+
+    def __init__(self, bits: list[bytes]):
+        self.level = np.array([len(b).bit_length() for b in bits], np.int64)
+        self.bits, self.made = bits, {}
+
+    def _at(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each set, matrix) of the sets of this level, and of those of the next, folded."""
+        if level not in self.made:
+            own, next_ = np.flatnonzero(self.level == level), np.flatnonzero(self.level == level + 1)
+            words = (1 << (level - 1)) // 8
+            rows = [np.frombuffer(b"".join(self.bits[i] for i in own), np.uint64).reshape(len(own), words)]
+            if len(next_):
+                wide = np.frombuffer(b"".join(self.bits[i] for i in next_), np.uint64).reshape(len(next_), 2 * words)
+                rows.append(wide[:, :words] ^ wide[:, words:])
+            place = np.full(len(self.bits), -1)
+            place[np.concatenate([own, next_])] = np.arange(len(own) + len(next_))
+            self.made[level] = place, np.concatenate(rows)
+        return self.made[level]
+
+    def differences(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """At least so many shingles are in one of the sets p and q only. 0 where sizes are too far apart for a comparison."""
+        out = np.zeros(len(p), np.int64)
+        low = np.minimum(self.level[p], self.level[q])
+        near = np.abs(self.level[p] - self.level[q]) <= 1
+        for level in np.unique(low[near]):
+            at = np.flatnonzero(near & (low == level))
+            place, rows = self._at(int(level))
+            step = max(1, COMPARED // (rows.shape[1] * 8))
+            for s in range(0, len(at), step):
+                i = at[s : s + step]
+                out[i] = np.bitwise_count(rows[place[p[i]]] ^ rows[place[q[i]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def may_reach(n: np.ndarray, m: np.ndarray, differ: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sets of n and m shingles, of which at least `differ` are in one only, can reach the threshold."""
+    most = np.minimum((n + m - differ) // 2, np.minimum(n, m))
+    return 100 * most >= threshold * (n + m - most)
+
+
 def described(docs: DataFrame, n: int) -> DataFrame:
     """One row per document (kind 0): doc_id, row (hash of the row), n, set (hash of the set), bits (parity bitmap). Besides, by task, what the sketch counts (kind 1): set is the counter, n the count."""
     id_type = dict(docs.dtypes)["doc_id"]
@@ -59,9 +112,8 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                 mixed = np.concatenate([np.zeros(1, U), np.cumsum(mix(h + U(1)))])
                 ident = mix(mixed[first[1:]] - mixed[first[:-1]] + size.astype(U))
                 sketch += np.bincount((h & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                parity = np.bincount(doc * BITS + (h >> U(_DOC - 10)).astype(np.int64), minlength=m * BITS).astype(np.uint8) & 1
-                bits = np.packbits(parity.reshape(m, BITS), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), b.column(0).slice(at, m), b.column(2).slice(at, m), longs(size), longs(ident), pa.array([x.tobytes() for x in bits], pa.binary())], names=names)
+                bits = signatures(doc, h, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), b.column(0).slice(at, m), b.column(2).slice(at, m), longs(size), longs(ident), pa.array(bits, pa.binary())], names=names)
         at = np.flatnonzero(sketch)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), arrow_id), pa.nulls(len(at), pa.int64()), longs(sketch[at]), longs(at), pa.nulls(len(at), pa.binary())], names=names)
@@ -187,8 +239,9 @@ def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataF
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = members.select("a", "b", "n", "bits", "root", "block", other).select("a", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "b", "n", "bits", "root", "block")
 
-    def settle(ident, n, bits, root, block) -> Iterator[pa.RecordBatch]:
+    def settle(ident, n, root, block, bits) -> Iterator[pa.RecordBatch]:
         """One tile: its first block against its second, or a block against itself."""
+        signs = Signatures(bits)
         left = block == block.min()
         right = ~left if not left.all() else left
         li, ri = np.flatnonzero(left), np.flatnonzero(right)
@@ -198,35 +251,52 @@ def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataF
             may = (100 * little >= threshold * big) & (root[i, None] != root[None, ri]) & (ident[i, None] < ident[None, ri] if right is left else True)
             p, q = np.nonzero(may)
             p, q = i[p], ri[q]
-            differ = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
-            most = (n[p] + n[q] - differ) // 2
-            keep = 100 * most >= threshold * (n[p] + n[q] - most)
+            keep = may_reach(n[p], n[q], signs.differences(p, q), threshold)
             p, q = p[keep], q[keep]
             if len(p):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ident[p], ident[q])), pa.array(np.maximum(ident[p], ident[q]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
+        tile, held, bits = None, [], []
         for b in batches:
             head = np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)
             cols = [b.column(k).to_numpy() for k in (3, 4, 6, 7)]
-            bits = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(len(head), BITS // 64)
+            signs = b.column(5).to_pylist()
             edges = [0, *(np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1), len(head)]
             for s, e in zip(edges, edges[1:], strict=False):
                 if s == e:
                     continue
                 if tile != tuple(head[s]):
                     if held:
-                        yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    tile, held = tuple(head[s]), []
-                held.append((cols[0][s:e], cols[1][s:e], bits[s:e], cols[2][s:e], cols[3][s:e]))
+                        yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
+                    tile, held, bits = tuple(head[s]), [], []
+                held.append([c[s:e] for c in cols])
+                bits += signs[s:e]
         if held:
-            yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
 
     sorted_ = dealt.select("a", "x", "y", "b", "n", "bits", "root", "block").repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "b")
     return map_arrow(sorted_, run, "a long, b long").distinct()
 
 
+def promising(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Those of pairs (a, b) that sizes and signatures don't rule out."""
+    info = sets.select("set", "n", "bits")
+    both = pairs.join(info.toDF("a", "na", "abits"), "a").join(info.toDF("b", "nb", "bbits"), "b").select("a", "b", "na", "nb", "abits", "bbits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.num_rows
+            for s in range(0, m, 2000):
+                part = b.slice(s, 2000)
+                k = part.num_rows
+                signs = Signatures([*part.column(4).to_pylist(), *part.column(5).to_pylist()])
+                keep = may_reach(part.column(2).to_numpy(), part.column(3).to_numpy(), signs.differences(np.arange(k), np.arange(k, 2 * k)), threshold)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return map_arrow(both, run, "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, copies, root): every row of docs (doc_id, text) with the smallest doc_id that links lead to from it.
 
@@ -244,6 +314,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, threshold:
     stars = tiles(postings(docs, n, threshold, order)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes"))
     stars = staged(spark, stars, "stars")
     best = stars.where(100 * F.col("na") >= threshold * F.col("nb")).groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
+    best = staged(spark, promising(best.select("a", "b"), sets, threshold), "leads")
     links = staged(spark, overlaps(spark, docs, sets, best, n, threshold), "links")
     groups = staged(spark, components(spark, links), "groups")
     more = staged(spark, rivals(spark, stars, groups, sets, threshold), "rivals")
