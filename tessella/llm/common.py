@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, ship, staged
+
 #: Largest side that an operator broadcasts, in rows of a few longs each; larger sides are shuffled.
 BROADCAST_ROWS = 400_000
 
@@ -18,29 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most that many rows; df itself otherwise. Call it on staged tables."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def distinct_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't use, whatever its case."""
     used, name = {c.lower() for c in df.columns}, base
@@ -53,24 +27,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package, once per application; the driver serves the archive to them."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    root = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="tessella-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    context.addPyFile(str(archive))
-
-
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """df.mapInArrow(f, schema), with this package on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
+
+
+__all__ = ["BROADCAST_ROWS", "distinct_name", "map_arrow", "partitions", "shared_dir", "staged", "table"]
