@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,15 +20,23 @@ def parse_fractions(c: Column) -> Column:
 
 
 def half_even(x: Column, digits: int) -> Column:
-    """x as text with that many decimals, rounded half to even on the exact binary value."""
-    # A double is a fraction of powers of two, so as a decimal of 38 digits its ties are exact.
-    return F.bround(x.cast(f"decimal(38,{max(18, digits + 8)})"), digits).cast(f"decimal(38,{digits})").cast("string")
+    """x as text with that many decimals, rounded half to even on the exact binary value; Spark's own formatting rounds the shortest decimal text. For export, so in Arrow batches of Python."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None or v != v else f"{v:.{digits}f}")
+
+    return text(x.cast("double"))
 
 
 def encode_fractions(m: Column, digits: int) -> Column:
     """map<int,double> to `k:v|k:v`, sorted by key."""
-    keys = F.array_sort(F.map_keys(m))
-    return F.array_join(F.transform(keys, lambda k: F.concat(k.cast("string"), F.lit(":"), half_even(F.element_at(m, k), digits))), "|")
+
+    @F.pandas_udf("string")
+    def text(maps: pd.Series) -> pd.Series:
+        return maps.map(lambda m: None if m is None else "|".join(f"{k}:{v:.{digits}f}" for k, v in sorted(dict(m).items())))
+
+    return text(m)
 
 
 def encode_classes(c: Column) -> Column:
@@ -43,8 +52,6 @@ def format_scene_name(scene_id: Column, lat: Column, lon: Column, classes: Colum
 
 def parse_scene_name(name: Column) -> Column:
     """struct(scene_id, lat, lon, labels) from the stem of a file name; null where it isn't one."""
-    stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "")
-    parts = F.split(stem, "_")
     # The stem of a name without suffix would lose its last decimals, so only a known suffix is cut.
     stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.(jpg|jpeg|png|tif)$", "")
     parts = F.split(stem, "_")
