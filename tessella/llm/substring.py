@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, staged
+from .common import distinct_name, map_arrow, staged
 from .words import U, Chunk, chunks, longs, mix
 
 #: Bits of the filters that go to all tasks: 2**25 bits are 4 MB, at every size of input. They only save rows; joins decide.
@@ -155,12 +155,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, k: in
     has = spark.sparkContext.broadcast(bit_filter(spans, "row"))
     names = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_sha256")]
     types = dict(docs.dtypes)
+    row_name, at_name, listed_name = (distinct_name(docs, x) for x in ("_row", "_at", "_spans"))
     schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", n_words long, n_removed long, kept_sha256 string"
     text_at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            listed = b.schema.get_field_index("_spans")
+            listed = b.schema.get_field_index(listed_name)
             every = b.column(listed).to_pylist() if listed >= 0 else [None] * b.num_rows
             texts, n_words, n_removed, digests = [], [], [], []
             for text, found in zip(b.column(text_at).cast(pa.binary()).to_pylist(), every, strict=True):
@@ -183,8 +184,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, k: in
         return run
 
     # Most texts have no repeated span: only those whose bit is set are sent to where their spans are.
-    plain = docs.select(*names).withColumn("_row", row)
+    plain = docs.select(*names).withColumn(row_name, row)
     alone = map_arrow(plain, lambda batches: cut(those(False)(batches)), schema)
-    marked = map_arrow(plain, those(True), ", ".join(f"`{c}` {types[c]}" for c in names) + ", _row long")
-    joined = marked.join(spans.select(F.col("row").alias("_at"), F.col("spans").alias("_spans")), F.col("_row") == F.col("_at"), "left").select(*names, "_spans")
+    marked = map_arrow(plain, those(True), ", ".join(f"`{c}` {types[c]}" for c in names) + f", `{row_name}` long")
+    joined = marked.join(spans.toDF(at_name, listed_name), F.col(row_name) == F.col(at_name), "left").select(*names, listed_name)
     return alone.unionByName(map_arrow(joined, cut, schema))

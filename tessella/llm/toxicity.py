@@ -23,6 +23,8 @@ SAMPLE = 8000
 BITS = 18
 #: Features that are kept, at most: those that tell most.
 KEPT = 20_000
+#: Standard errors below a feature's log-odds at which they still have to exceed LEAST_ODDS.
+SURENESS, LEAST_ODDS = 1.0, 3.0
 PREFIXES = (4, 5)
 #: Punctuation and digits separate words here.
 SEPARATORS = SPACE.copy()
@@ -68,15 +70,15 @@ class ToxicityModel:
         size, n1, n0 = len(self.w), max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
         has1, has0 = np.bincount(col[y[doc] == 1], minlength=size), np.bincount(col[y[doc] == 0], minlength=size)
         odds = np.log((has1 + 0.5) / (n1 + 1)) - np.log((has0 + 0.5) / (n0 + 1))
-        weight = np.abs(odds) * (has1 / n1 + has0 / n0) * (has1 + has0 > 2)
-        kept = np.argsort(-weight, kind="stable")[:KEPT]
-        kept = kept[weight[kept] > 0]
+        # A feature has to be surer than its counts' chance: the lower bound of its log-odds counts.
+        sure = odds - SURENESS * np.sqrt(1 / (has1 + 0.5) + 1 / (has0 + 0.5))
+        kept = np.argsort(-sure, kind="stable")[:KEPT]
+        kept = kept[sure[kept] > LEAST_ODDS]
         place = np.full(size, -1)
         place[kept] = np.arange(len(kept))
         doc, col = doc[place[col] >= 0], place[col[place[col] >= 0]]
-        # Grades: 0 for clean documents; toxic ones by quantiles of the share of telltale features.
-        telltale = odds[kept] > 3
-        dense = np.bincount(doc, telltale[col].astype(float), len(y)) / np.maximum(np.bincount(doc, minlength=len(y)), 1)
+        # Grades: 0 for clean documents; toxic ones by quantiles of the share of features that tell.
+        dense = np.bincount(doc, minlength=len(y)) / np.maximum([len(r) for r in rows], 1)
         grade = np.zeros(len(y), np.int64)
         if (y == 1).any():
             steps = np.quantile(dense[y == 1], np.arange(1, self.grades - 1) / (self.grades - 1))
@@ -125,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, **parameters)
     return ToxicityModel(**parameters).fit([np.frombuffer(bytes(x), np.int32) for x in got["x"]], got["y"].to_numpy(np.int64))
 
 
-def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = SAMPLE) -> DataFrame:
+def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.4, rows: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, severity, toxic) of every row of docs: severity is the expected grade, from 0; toxic is 1 if P(grade >= 1) reaches the threshold.
 
     Whole texts count. A null text is graded as an empty one; repeated rows get equal grades; labels are learnt from rows that aren't held out, a null doc_id isn't;
