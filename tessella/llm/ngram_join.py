@@ -21,7 +21,7 @@ from .words import U, Chunk, chunks, longs, mix
 
 #: Counters of the sketch that orders shingles from rare to frequent. Its size is fixed; it only steers how many candidates there are.
 SKETCH = 1 << 17
-#: Bits of the smallest signature. A set of n shingles has the next power of two that is at least n, so signatures bound overlaps alike at every size.
+#: Bits of the smallest signature. A set of n shingles has the next power of two that is at least 4 * n, so signatures bound overlaps alike at every size.
 LEAST_BITS = 256
 #: Bytes of signatures that are compared at a time.
 COMPARED = 1 << 24
@@ -45,7 +45,7 @@ def _bounds(doc: np.ndarray, docs: int) -> np.ndarray:
 
 def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
     """Parity bitmaps: bit i says whether an odd number of the set's shingles have i as their lowest bits. Folding the halves of one by XOR gives that of half the size."""
-    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(bits)])
     flat = first[doc] + (h & (bits[doc] - 1).astype(U)).astype(np.int64)
     packed = np.packbits(np.bincount(flat, minlength=first[-1]).astype(np.uint8) & 1).tobytes()
@@ -227,7 +227,10 @@ def overlaps(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataF
 
 
 def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b), a < b, of sets that met in a tile, belong to different groups so far, and may reach the threshold by their sizes and bitmaps."""
+    """(a, x, y, set, n, root, block): the sets of each open tile that may reach the threshold, by sizes and bitmaps, with one of another group there.
+
+    A lead's tile is open while its members belong to different groups. One with many members is cut into blocks of about TILE, and x, y are the two that meet.
+    """
     of = groups.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     to = groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     open_ = stars.join(of, "a", "left").join(to, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
@@ -239,9 +242,9 @@ def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataF
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = members.select("a", "b", "n", "bits", "root", "block", other).select("a", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "b", "n", "bits", "root", "block")
 
-    def settle(ident, n, root, block, bits) -> Iterator[pa.RecordBatch]:
+    def settle(tile, ident, n, root, block, bits) -> Iterator[pa.RecordBatch]:
         """One tile: its first block against its second, or a block against itself."""
-        signs = Signatures(bits)
+        signs, needed = Signatures(bits), np.zeros(len(ident), bool)
         left = block == block.min()
         right = ~left if not left.all() else left
         li, ri = np.flatnonzero(left), np.flatnonzero(right)
@@ -253,8 +256,11 @@ def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataF
             p, q = i[p], ri[q]
             keep = may_reach(n[p], n[q], signs.differences(p, q), threshold)
             p, q = p[keep], q[keep]
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ident[p], ident[q])), pa.array(np.maximum(ident[p], ident[q]))], names=["a", "b"])
+            needed[p] = needed[q] = True
+        at = np.flatnonzero(needed)
+        if len(at):
+            where = [pa.array(np.full(len(at), v, t)) for v, t in zip(tile, (np.int64, np.int32, np.int32), strict=True)]
+            yield pa.RecordBatch.from_arrays([*where, pa.array(ident[at]), pa.array(n[at]), pa.array(root[at]), pa.array(block[at])], names=["a", "x", "y", "set", "n", "root", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held, bits = None, [], []
@@ -268,15 +274,84 @@ def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataF
                     continue
                 if tile != tuple(head[s]):
                     if held:
-                        yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
+                        yield from settle(tile, *(np.concatenate(x) for x in zip(*held, strict=True)), bits)
                     tile, held, bits = tuple(head[s]), [], []
                 held.append([c[s:e] for c in cols])
                 bits += signs[s:e]
         if held:
-            yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
+            yield from settle(tile, *(np.concatenate(x) for x in zip(*held, strict=True)), bits)
 
     sorted_ = dealt.select("a", "x", "y", "b", "n", "bits", "root", "block").repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "b")
-    return map_arrow(sorted_, run, "a long, b long").distinct()
+    return map_arrow(sorted_, run, "a long, x int, y int, `set` long, n long, root long, block int")
+
+
+def tile_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: DataFrame, n: int, threshold: int) -> DataFrame:
+    """(a, b): links that join the groups which meet in the tiles of members, by intersecting sorted arrays of whole texts.
+
+    A text is sent once for each of its tiles, not for each pair; pairs that are already in one group are passed over, so a tile gives fewer links than it has members.
+    """
+    roles = members.join(sets.select("set", "row"), "set")
+    roles = staged(spark, roles, "roles")
+    if roles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        roles = F.broadcast(roles)
+    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(roles, "row").select("a", "x", "y", "set", "root", "block", "text")
+
+    def settle(ident, root, block, arrays) -> Iterator[pa.RecordBatch]:
+        group = {r: r for r in root}
+
+        def find(r: int) -> int:
+            while group[r] != r:
+                group[r] = group[group[r]]
+                r = group[r]
+            return r
+
+        size = np.array([len(h) for h in arrays], np.int64)
+        signs = Signatures(signatures(np.repeat(np.arange(len(arrays)), size), np.concatenate(arrays), size))
+        first = min(block)
+        left = [i for i, b in enumerate(block) if b == first]
+        apart = len(left) < len(block)
+        right = np.array([i for i, b in enumerate(block) if b != first] if apart else left)
+        found = []
+        for i in left:
+            q = right if apart else right[right > i]
+            q = q[100 * np.minimum(size[q], size[i]) >= threshold * np.maximum(size[q], size[i])]
+            q = q[np.array([root[j] != root[i] for j in q], bool)] if len(q) else q
+            differ = signs.differences(np.full(len(q), i), q)
+            fine = may_reach(np.full(len(q), size[i]), size[q], differ, threshold)
+            for j in q[fine][np.argsort(differ[fine], kind="stable")]:
+                p, r = find(root[i]), find(root[j])
+                if p == r:
+                    continue
+                place = np.searchsorted(arrays[i], arrays[j])
+                place[place == size[i]] = 0
+                both = int((arrays[i][place] == arrays[j]).sum())
+                if 100 * both >= threshold * (size[i] + size[j] - both):
+                    group[max(p, r)] = min(p, r)
+                    found.append((ident[i], ident[j]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, ([], [], [], [])
+        for b in batches:
+            heads = [b.column(k).to_pylist() for k in range(6)]
+            for at, c in chunks(b.column(6), lower=True):
+                doc, h = shingles(c, n)
+                first = _bounds(doc, len(c.count))
+                for i in range(len(c.count)):
+                    a, x, y, ident, root, block = (v[at + i] for v in heads)
+                    if tile != (a, x, y):
+                        if held[0]:
+                            yield from settle(*held)
+                        tile, held = (a, x, y), ([], [], [], [])
+                    if not held[0] or held[0][-1] != ident:  # equal rows come one after the other
+                        for v, value in zip(held, (ident, root, block, h[first[i] : first[i + 1]].copy()), strict=True):
+                            v.append(value)
+        if held[0]:
+            yield from settle(*held)
+
+    dealt = texts.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "set")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def promising(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -319,7 +394,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, threshold:
     groups = staged(spark, components(spark, links), "groups")
     more = staged(spark, rivals(spark, stars, groups, sets, threshold), "rivals")
     if not more.isEmpty():
-        links = links.unionByName(staged(spark, overlaps(spark, docs, sets, more, n, threshold), "links"))
+        links = links.unionByName(staged(spark, tile_links(spark, docs, sets, more, n, threshold), "links"))
         groups = staged(spark, components(spark, links), "groups")
     named = sets.select("set", "doc_id", "copies").join(groups, sets["set"] == groups["node"], "left").select("set", "doc_id", "copies", F.coalesce("root", "set").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
