@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, partitions, shared_dir, staged
+from .common import BROADCAST_ROWS, distinct_name, map_arrow, partitions, shared_dir, staged
 from .words import chunks
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -112,9 +112,13 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that the mix takes, with copies: how often. Equal rows may get different counts; they are matched by rank."""
-    mixed = mix(spark, docs, **parameters).select("doc_id", "tie", "taken", "copies_taken")
-    per = mixed.groupBy("doc_id", "tie").agg(F.sum("copies_taken").alias("copies_taken"), F.count("*").alias("n"))
-    per = per.where("copies_taken > 0").select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.ceil(F.col("copies_taken") / F.col("n")).cast("int").alias("copies"))
-    tied = docs.withColumn("_key", F.xxhash64("text", "source"))
-    return tied.join(per, tied["doc_id"].eqNullSafe(per["_doc"]) & (tied["_key"] == per["_tie"])).drop("_key", "_doc", "_tie")
+    """The rows of docs that the mix takes, with copies: how often, a count of at least 1. Equal rows share their copies, rounded up for each. A column of docs called copies is replaced."""
+    docs = docs.select(*(c for c in docs.columns if c.lower() != "copies"))
+    mixed = mix(spark, docs, **parameters).select("doc_id", "tie", "copies_taken")
+    per = mixed.groupBy("doc_id", "tie").agg(F.sum("copies_taken").alias("taken"), F.count("*").alias("n")).where("taken > 0")
+    key, doc, tie = (distinct_name(docs, x) for x in ("_key", "_doc", "_tie"))
+    per = staged(spark, per.select(F.col("doc_id").alias(doc), F.col("tie").alias(tie), F.ceil(F.col("taken") / F.col("n")).cast("int").alias("copies")), "taken")
+    if per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        per = F.broadcast(per)
+    tied = docs.withColumn(key, F.xxhash64("text", "source"))
+    return tied.join(per, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(tie))).select(*docs.columns, "copies")

@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are the presence of words and of word beginnings, hashed. Grades are ordered; P(grade >= j) = sigmoid(w.x - t_j), with one w for all thresholds.
-Labels only say toxic or not, so the grades of toxic training documents are cut by how dense their telltale features are.
+Labels only say toxic or not, so the grades of toxic training documents are cut by how many telltale features they have.
 """
 
 from __future__ import annotations
@@ -77,12 +77,12 @@ class ToxicityModel:
         place = np.full(size, -1)
         place[kept] = np.arange(len(kept))
         doc, col = doc[place[col] >= 0], place[col[place[col] >= 0]]
-        # Grades: 0 for clean documents; toxic ones by quantiles of the share of features that tell.
-        dense = np.bincount(doc, minlength=len(y)) / np.maximum([len(r) for r in rows], 1)
+        # Grades: 0 for clean documents; toxic ones by quantiles of how many telltale features they have.
+        many = np.bincount(doc, minlength=len(y)).astype(float)
         grade = np.zeros(len(y), np.int64)
         if (y == 1).any():
-            steps = np.quantile(dense[y == 1], np.arange(1, self.grades - 1) / (self.grades - 1))
-            grade[y == 1] = 1 + np.searchsorted(steps, dense[y == 1], side="right")
+            steps = np.quantile(many[y == 1], np.arange(1, self.grades - 1) / (self.grades - 1))
+            grade[y == 1] = 1 + np.searchsorted(steps, many[y == 1], side="right")
         # exp() keeps thresholds in order.
         w, first, gaps = np.zeros(len(kept)), 1.0, np.zeros(self.grades - 2)
         sums = [np.zeros_like(w), 0.0, np.zeros_like(gaps)]
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, **parameters)
     return ToxicityModel(**parameters).fit([np.frombuffer(bytes(x), np.int32) for x in got["x"]], got["y"].to_numpy(np.int64))
 
 
-def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.4, rows: int = SAMPLE) -> DataFrame:
+def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, severity, toxic) of every row of docs: severity is the expected grade, from 0; toxic is 1 if P(grade >= 1) reaches the threshold.
 
     Whole texts count. A null text is graded as an empty one; repeated rows get equal grades; labels are learnt from rows that aren't held out, a null doc_id isn't;

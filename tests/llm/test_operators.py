@@ -181,7 +181,7 @@ def test_mix(spark):
     again = mixing.mix(spark, docs.repartition(7)).collect()
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
     assert mixing.mix(spark, docs.limit(0)).count() == 0
-    taken = mixing.mixed_documents(spark, docs.drop("copies"))
+    taken = mixing.mixed_documents(spark, docs)
     assert taken.columns[-1] == "copies" and sum(r["copies"] > 0 for r in taken.collect()) == taken.count()
 
 
