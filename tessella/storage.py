@@ -13,13 +13,12 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
+    """spark.checkpoint.dir; where it is unset the context's checkpoint folder, or else a temporary one."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='tessella-')}")
+    if not held.isDefined():
+        context.setCheckpointDir(path)
     return path
 
 
