@@ -21,7 +21,7 @@ from .words import U, Chunk, chunks, longs, mix
 
 #: Counters of the sketch that orders shingles from rare to frequent. Its size is fixed; it only steers how many candidates there are.
 SKETCH = 1 << 17
-#: Bits of the smallest signature. A set of n shingles has the next power of two that is at least 4 * n, so signatures bound overlaps alike at every size.
+#: Bits of the smallest signature. A set of n shingles has the next power of two that is at least n, so signatures bound overlaps alike at every size.
 LEAST_BITS = 256
 #: Bytes of signatures that are compared at a time.
 COMPARED = 1 << 24
@@ -43,9 +43,9 @@ def _bounds(doc: np.ndarray, docs: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(docs + 1))
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Parity bitmaps: bit i says whether an odd number of the set's shingles have i as their lowest bits. Folding the halves of one by XOR gives that of half the size."""
-    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64))
+def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, density: int = 1) -> list[bytes]:
+    """Parity bitmaps of at least `density` bits for each shingle: bit i says whether an odd number of the set's shingles have i as their lowest bits. Folding the halves of one by XOR gives that of half the size."""
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(density * size, 1))).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(bits)])
     flat = first[doc] + (h & (bits[doc] - 1).astype(U)).astype(np.int64)
     packed = np.packbits(np.bincount(flat, minlength=first[-1]).astype(np.uint8) & 1).tobytes()
@@ -306,7 +306,7 @@ def tile_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: D
             return r
 
         size = np.array([len(h) for h in arrays], np.int64)
-        signs = Signatures(signatures(np.repeat(np.arange(len(arrays)), size), np.concatenate(arrays), size))
+        signs = Signatures(signatures(np.repeat(np.arange(len(arrays)), size), np.concatenate(arrays), size, 8))  # denser than those that are shuffled
         first = min(block)
         left = [i for i, b in enumerate(block) if b == first]
         apart = len(left) < len(block)
