@@ -117,6 +117,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = 35, k: in
     whole = found.where("not branches").select("row", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end"))
     single = found.where("branches").select("row", "start", F.posexplode("windows").alias("i", "window")).select("window", "row", (F.col("start") + F.col("i")).alias("start"))
     again = single.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
+    again = staged(spark, again, "again")  # a table of its own, so that the join can split a window that is very common
     parts = single.join(again, "window", "left_semi").select("row", "start", (F.col("start") + window).alias("end"))
     return whole.unionByName(parts)
 
