@@ -2,6 +2,9 @@
 
 A seed mask selects some of the word positions of a span and ignores the others, so a hash over the selected words still agrees where an ignored word
 was substituted. Hashes of test items and of documents are joined; each hit is then verified by comparing the aligned words around it.
+
+The seeds hit every span that verification accepts: of 11 aligned words or more with two substituted, some four in a row are equal, but for 11 words with
+the substituted ones at 3 and 7 (from 0), which have a mask of their own. Items of fewer words have to be copied whole and are seeded by all their words.
 """
 
 from __future__ import annotations
@@ -11,8 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, distinct_name, staged
 
-#: 1 selects the word at that place. The first tolerates substitutions three words apart, the second of two words in four.
+#: Masks of the same in SQL; they miss some spans that verification accepts, COVER doesn't.
 MASKS = ("11011011011", "11001100110011")
+#: 1 selects the word at that place. The first is laid everywhere, the second where SHORTEST aligned words can begin and end.
+COVER = ("1111", "11101110111")
+#: Fewest aligned words in which substitutions are allowed.
+SHORTEST = 11
 #: Verified words around a hit, and how many of them have to agree.
 WINDOW, AGREE = 15, 13
 #: log2 of the longs in the filter that goes with the plan: 2**14 of them, 128 KB, at every size of input.
@@ -25,26 +32,27 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(words: Column, at: Column, number: int) -> Column:
-    return F.xxhash64(F.lit(number), *(F.get(words, at + i) for i, c in enumerate(MASKS[number]) if c == "1"))
+def _seed(words: Column, at: Column, mask: str) -> Column:
+    return F.xxhash64(F.lit(mask), *(F.get(words, at + i) for i, c in enumerate(mask) if c == "1"))
 
 
-def _starts(words: Column, number: int) -> Column:
+def _starts(words: Column, mask: str) -> Column:
     """Where the mask fits; no place where there are too few words."""
-    last = F.size(words) - len(MASKS[number])
+    last = F.size(words) - len(mask)
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(item_id, words, mask, item_start, seed) of every place of every item."""
+    """(item_id, words, item_start, seed) of every place of every item; of the first place alone, over all words, where there are fewer than SHORTEST."""
     rows = items.select("item_id", word_hashes(F.col("text")).alias("words"))
 
+    def places(mask: str) -> Column:
+        return F.transform(_starts(F.col("words"), mask), lambda i: F.struct(i.alias("item_start"), _seed(F.col("words"), i, mask).alias("seed")))
 
-    def places(m: int) -> Column:
-        return F.transform(_starts(F.col("words"), m), lambda i: F.struct(F.lit(m).alias("mask"), i.alias("item_start"), _seed(F.col("words"), i, m).alias("seed")))
-
-    each = F.concat(*map(places, range(len(MASKS))))
-    return rows.select("item_id", "words", F.inline(each))
+    each = F.concat(*map(places, COVER))
+    for n in range(1, SHORTEST):
+        each = F.when(F.size("words") == n, places("1" * n)).otherwise(each)
+    return rows.where(F.size("words") > 0).select("item_id", "words", F.inline(each))
 
 
 def seed_filter(seeds: DataFrame) -> Column:
@@ -61,24 +69,34 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
     """(doc_id, item_id, agree): documents that share words with a test item; agree: the most equal words among WINDOW aligned ones around a hit.
 
     docs has doc_id and text, items has item_id and text. A hit counts if AGREE of WINDOW aligned words agree, or all but WINDOW - AGREE where the item or the document has
-    fewer words. Items of fewer words than the shortest mask can't be found. Words are compared in lower case. Whole texts are searched; nulls and empty texts have no words;
+    fewer words, but SHORTEST at least are aligned. Items of fewer words than that count where all their words are copied; a document of fewer words, which is only a part
+    of a longer item, doesn't count. Words are compared in lower case. Whole texts are searched; nulls and empty texts have no words;
     rows with one doc_id count as one document, as do those with a null one; an empty table on either side gives no row; other columns are ignored.
     """
     seeds = staged(spark, item_seeds(items), "seeds")
     bits = seed_filter(seeds)
-    words = docs.select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= min(map(len, MASKS)))
+    # At most SHORTEST numbers reach the driver.
+    short = sorted(r["n"] for r in seeds.select(F.size("words").alias("n")).where(F.col("n") <= SHORTEST).distinct().collect())
+    masks = [COVER[0], COVER[1], *("1" * n for n in short if n < SHORTEST)]
+    least = min([SHORTEST, *short])
+    words = docs.select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= least)
 
     def may(h: Column) -> Column:
         return F.getbit(F.get(bits, F.shiftrightunsigned(h, 64 - FILTER_LONGS).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def places(m: int) -> Column:
-        seed = lambda i: _seed(F.col("words"), i, m)
+    def starts(mask: str) -> Column:
+        every = _starts(F.col("words"), mask)
+        # Only SHORTEST words of a longer item are aligned at an end of the document.
+        return every if mask != COVER[1] or SHORTEST in short else F.filter(F.array_distinct(F.array(F.lit(0), F.size("words") - SHORTEST)), lambda i: (i >= 0) & (F.size("words") >= SHORTEST))
+
+    def places(mask: str) -> Column:
+        seed = lambda i: _seed(F.col("words"), i, mask)
         # exists() over one element names the hash, so that it is computed once for each place.
-        hit = F.filter(_starts(F.col("words"), m), lambda i: F.exists(F.array(seed(i)), may))
+        hit = F.filter(starts(mask), lambda i: F.exists(F.array(seed(i)), may))
         near = lambda i: F.slice(F.col("words"), F.greatest(i - WINDOW, F.lit(0)) + 1, F.lit(3 * WINDOW))
-        return F.transform(hit, lambda i: F.struct(F.lit(m).alias("mask"), (i - WINDOW).alias("from"), seed(i).alias("seed"), near(i).alias("near")))
+        return F.transform(hit, lambda i: F.struct((i - WINDOW).alias("from"), seed(i).alias("seed"), near(i).alias("near")))
 
-    hits = words.select("doc_id", F.inline(F.concat(*map(places, range(len(MASKS))))))
+    hits = words.select("doc_id", F.inline(F.concat(*map(places, masks))))
     seeds = seeds.select("item_id", F.col("words").alias("item"), F.col("item_start"), "seed")
     if seeds.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8:
         seeds = F.broadcast(seeds)
@@ -87,9 +105,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
     offset = F.sequence(F.lit(-WINDOW), F.lit(2 * WINDOW - 1))
     skipped = F.least(F.col("from"), F.lit(0))  # what is missing at the document's beginning
     equal = F.transform(offset, lambda d: (F.get("item", F.when(F.col("item_start") + d >= 0, F.col("item_start") + d)) == F.get("near", F.when(d + WINDOW + skipped >= 0, d + WINDOW + skipped))).cast("int"))
-    met = met.select("doc_id", "item_id", F.filter(equal, lambda e: e.isNotNull()).alias("equal"))
+    met = met.select("doc_id", "item_id", F.size("item").alias("n"), F.filter(equal, lambda e: e.isNotNull()).alias("equal"))
     met = met.withColumn("most", F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("equal") - WINDOW + 1, F.lit(1))), lambda s: F.aggregate(F.slice("equal", s, WINDOW), F.lit(0), lambda a, e: a + e))))
-    found = met.where(F.col("most") >= F.least(F.size("equal"), F.lit(WINDOW)) - (WINDOW - AGREE))
+    worn = (F.size("equal") >= SHORTEST) & (F.col("most") >= F.least(F.size("equal"), F.lit(WINDOW)) - (WINDOW - AGREE))
+    found = met.where(F.when(F.col("n") < SHORTEST, F.col("most") == F.col("n")).otherwise(worn))
     return found.groupBy("doc_id", "item_id").agg(F.max("most").cast("long").alias("agree"))
 
 

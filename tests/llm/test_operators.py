@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -277,6 +278,37 @@ def test_decontamination(spark):
     assert decontam.contaminated(spark, docs.limit(0), items).count() == 0 and decontam.contaminated(spark, docs, items.limit(0)).count() == 0
 
 
+def test_seeds_hit_every_accepted_span(spark):
+    """All places of up to two substitutions in 11 to 24 words, then documents against alignments without any mask."""
+    for n in range(decontam.SHORTEST, 25):
+        for gone in combinations(range(n), 2):
+            if n <= decontam.WINDOW or gone[1] - gone[0] < decontam.WINDOW:
+                laid = (range(n - 3), (0,) if n == decontam.SHORTEST else ())
+                assert any(all(c == "0" or i + k not in gone for k, c in enumerate(m)) for m, at in zip(decontam.COVER, laid, strict=True) for i in at), (n, gone)
+    rng = random.Random(21)
+    items, texts = [[f"q{n}x{i}" for i in range(n)] for n in (1, 4, 10, 11, 12, 15, 17, 30)], []
+    for item in items:
+        for gone in [(), *combinations(range(len(item)), 1), *combinations(range(min(len(item), 17)), 2)]:
+            worn = " ".join(f"z{i}" if i in gone else w for i, w in enumerate(item))
+            texts += [worn, f"{prose(rng, 20)} {worn} {prose(rng, 20)}"]
+    texts += [f"{' '.join(items[-1][-11:])} {prose(rng, 9)}", " ".join("z" if i in (3, 7) else w for i, w in enumerate(items[-1][-11:])) + " end", "start " + " ".join("z" if i in (3, 7) else w for i, w in enumerate(items[-1][:11]))]
+
+    def brute(words, item):
+        best = 0
+        for shift in range(-len(item) + 1, len(words)):
+            e = [words[shift + i] == w for i, w in enumerate(item) if 0 <= shift + i < len(words)]
+            most = max(sum(e[s : s + 15]) for s in range(max(len(e) - 14, 1)))
+            good = most == len(item) if len(item) < 11 else len(e) >= 11 and most >= min(len(e), 15) - 2
+            best = max(best, most if good else 0)
+        return best
+
+    want = {(d, i, a) for d, t in enumerate(texts) for i, item in enumerate(items) if (a := brute(t.split(), item))}
+    got = decontam.contaminated(spark, docs_of(spark, texts), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want
+    few = decontam.contaminated(spark, docs_of(spark, texts), spark.createDataFrame([(7, " ".join(items[7]))], "item_id long, text string"))
+    assert {tuple(r) for r in few.collect()} == {w for w in want if w[1] == 7}
+
+
 def labelled(spark):
     """Documents and labels of the test tables, with some awkward rows."""
     sf = "/root/testdata/sf0.01"
