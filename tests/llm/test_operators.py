@@ -264,6 +264,21 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_licenses_wrapped_and_embedded(spark):
+    rng = random.Random(3)
+    notice = dict(licenses.TEMPLATES)["MIT-notice"]
+    wrapped = notice.replace("to any person ", "to any person\n")
+    gpl = "This work is licensed under the GNU General\nPublic License, version 3."
+    said = "Copyright 2020 The Authors. Released under the MIT License. See the file for details."
+    lesser = "This work is licensed under the GNU Lesser\nGeneral Public License,\nversion 3."
+    texts = [f"{prose(rng, 60)}\n{wrapped}\n{prose(rng, 60)}", f"{prose(rng, 60)}\n{gpl} {prose(rng, 9)}", f"{prose(rng, 70)}\n{said}\n{prose(rng, 9)}", f"{prose(rng, 40)} {lesser} {prose(rng, 40)}",
+             f"Licensed under CC BY 4.0.\n{prose(rng, 30)}\n{wrapped}", f"{prose(rng, 30)} {said} {prose(rng, 30)} Released under the BSD 3-Clause License. {prose(rng, 30)}", f"{prose(rng, 300)} to any person under the {prose(rng, 30)}",
+             f"x {said}\n" * 3 + prose(rng, 50), "Released under the MIT License. " * 3000, None, "", "the", "the the\n" * 50]
+    got = sorted(tuple(r) for r in licenses.scan_licenses(docs_of(spark, texts)).collect())
+    assert [g[:3] for g in got] == [(0, 1, "MIT-notice"), (1, 1, "GPL-3.0"), (2, 1, "MIT"), (3, 0, "LGPL-3.0"), (4, 0, "CC-BY-4.0"), (4, 2, "MIT-notice"), (5, 0, "BSD-3-Clause"), (5, 0, "MIT"), (7, 0, "MIT"), (7, 1, "MIT"), (7, 2, "MIT"), (8, 0, "MIT")]
+    assert all(g[3] == 1.0 for g in got if g[0] != 8)
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     item = [f"q{i}" for i in range(40)]
