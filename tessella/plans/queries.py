@@ -419,7 +419,8 @@ def index_scenes(spark, sf_dir):
 
 @query()
 def index_tiles(spark, sf_dir):
-    return pipelines.build_index(polygon_features(spark, sf_dir), "all", halfwidth=0.012, spacing=1.0, limit=40)[1]
+    """Tiles of the scenes of index_scenes."""
+    return pipelines.build_index(polygon_features(spark, sf_dir), "all", halfwidth=0.012, spacing=0.5)[1]
 
 
 def polygon_features(spark, sf_dir) -> DataFrame:
