@@ -128,7 +128,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     numbered = F.transform("lines", lambda w, i: F.struct(i.cast("long").alias("line_no"), w.alias("words")))
     fit = F.filter(numbered, lambda u: (F.size(u["words"]) > least) & (F.size(F.array_distinct(u["words"])) <= most + 1))
     small = F.size(F.filter("lines", lambda w: F.size(w) <= least))
-    rows = rows.select("doc_id", "lines", fit.alias("fit"), small.alias("small"), _hits(F.flatten("lines"), grams).alias("hits"))
+    rows = rows.select("doc_id", "lines", fit.alias("fit"), small.alias("small"), _let(F.flatten("lines"), lambda w: _hits(w, grams)).alias("hits"))
     none = F.expr("cast(array() as array<struct<line_no:bigint,words:array<string>>>)")
     whole = F.when((F.size("lines") > 1) & (F.size("fit") + F.col("small") == F.size("lines")), F.array(F.struct(F.lit(-1).cast("long").alias("line_no"), F.flatten("lines").alias("words")))).otherwise(none)
     seen = F.array_distinct(F.transform("hits", lambda h: h["gram"]))
