@@ -9,6 +9,9 @@ from ..storage import shared_dir, ship, staged
 
 #: Largest side that an operator broadcasts, in rows of a few longs each; larger sides are shuffled.
 BROADCAST_ROWS = 400_000
+#: Bytes of a batch that goes to a Python worker, unless the session names its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +31,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """df.mapInArrow(f, schema), with this package on the executors."""
+    """df.mapInArrow(f, schema), with this package on the executors and batches bounded by bytes: rows may hold whole books."""
     ship(df.sparkSession)
+    if not df.sparkSession.conf.get(_BATCH, ""):
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 
 

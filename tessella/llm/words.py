@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
-#: Bytes of text that are hashed at a time; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that are hashed at a time; a longer document is a chunk of its own. A worker holds some 100 times as much in arrays.
+CHUNK_BYTES = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,21 +31,24 @@ def _inverse(x: int) -> int:
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as were needed so far."""
+    """Powers of an odd number and of its inverse modulo 2**64. Those for one chunk are kept; a longer text has its own, which go with it."""
+
+    KEPT = CHUNK_BYTES + (1 << 12)
 
     def __init__(self, base: np.uint64):
-        self.base, self.n = base, 0
+        self.base, self.kept = base, None
+
+    def _made(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full(n, self.base, U), np.full(n, _inverse(int(self.base)), U)
+        up[0] = down[0] = 1
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 1 << 16)
-            self.up = np.full(self.n, self.base, U)
-            self.up[0] = 1
-            self.down = np.full(self.n, _inverse(int(self.base)), U)
-            self.down[0] = 1
-            np.multiply.accumulate(self.up, out=self.up)
-            np.multiply.accumulate(self.down, out=self.down)
-        return self.up, self.down
+        if n > self.KEPT:
+            return self._made(n)
+        if self.kept is None:
+            self.kept = self._made(self.KEPT)
+        return self.kept
 
 
 _bytes, _words = _Powers(_BASE), _Powers(_STEP)
@@ -96,15 +100,13 @@ class Chunk:
 
 def chunks(texts: pa.Array, lower: bool = False, most: int = 4000, space: np.ndarray = SPACE) -> Iterator[tuple[int, Chunk]]:
     """(first row, Chunk) for successive rows of a string column."""
-    values = texts.cast(pa.binary()).to_pylist()
-    at = 0
-    while at < len(values):
-        end, size = at, 0
-        while end < len(values) and end - at < most and (end == at or size + len(values[end] or b"") <= CHUNK_BYTES):
-            size += len(values[end] or b"")
-            end += 1
-        yield at, Chunk(values[at:end], lower, space)
-        at = end
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        end = min(at + most, max(at + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right"))))
+        # Only this chunk's texts become Python objects.
+        yield at, Chunk(texts.slice(at, end - at).cast(pa.binary()).to_pylist(), lower, space)
+        at, before = end, int(ends[end - 1])
 
 
 def signed(x: np.ndarray) -> np.ndarray:
