@@ -33,7 +33,7 @@ def partitions(spark: SparkSession) -> int:
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """df.mapInArrow(f, schema), with this package on the executors and batches bounded by bytes: rows may hold whole books."""
     ship(df.sparkSession)
-    if not df.sparkSession.conf.get(_BATCH, ""):
+    if df.sparkSession.conf.get(_BATCH, None) is None:
         df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 

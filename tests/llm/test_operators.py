@@ -161,6 +161,25 @@ def test_repeats_in_random_collages(spark, seed):
     assert [got[i] for i in range(25)] == brute_repeats(texts, 7)
 
 
+@pytest.mark.parametrize("bits", (14, 7, 3))
+def test_repeats_with_forced_collisions(spark, texts, bits):
+    """With hashes of a few bits different windows are taken for one edge; their words decide."""
+    rng = random.Random(bits)
+    base = [prose(rng, 70) for _ in range(6)]
+    every = texts + base + [f"{prose(rng, 20)} {base[i % 6]} {prose(rng, 30)}" for i in range(9)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(spark, docs_of(spark, every), hash_bits=bits).collect()}
+    assert [got[i] for i in range(len(every))] == brute_repeats(every)
+
+
+def test_repeats_leave_other_columns(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"a {passage} b", "x", 5, None), (2, f"{passage} c", "y", None, 7), (None, None, None, None, None)], "doc_id long, text string, n_words string, kept_sha256 int, _row long")
+    got = substring.without_repeats(spark, docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a b", "x", 5, None), (2, "c", "y", None, 7), (None, None, None, None, None)], key=repr)
+    assert substring.without_repeats(spark, docs.limit(0)).count() == 0
+
+
 def test_words_are_the_contract_s(texts):
     c = Chunk([None if t is None else t.encode() for t in texts], False)
     want = [[w.encode() for w in WORD.findall(t or "")] for t in texts]
