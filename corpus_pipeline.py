@@ -24,7 +24,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in repeated windows go; n_chars is that of the text that is left."""
-    kept = substring.remove_repeats(spark, docs).select(*docs.columns)
+    kept = substring.without_repeats(spark, docs)
     return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
 
 
