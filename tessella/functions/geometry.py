@@ -121,6 +121,23 @@ def polygon_overlap(rings: Column, box: Column) -> Column:
     return let(areas, lambda a: F.greatest(F.coalesce(F.get(a, F.lit(0)), F.lit(0.0)) * 2 - F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
+def multipolygon_overlap(parts: Column, box: Column) -> Column:
+    """Area of a multipolygon (array of polygons, each an array of rings as in polygon_overlap) within a box."""
+    return F.aggregate(F.transform(parts, lambda rings: polygon_overlap(rings, box)), F.lit(0.0), lambda s, x: s + x)
+
+
+def multipolygon_centroid(parts: Column) -> Column:
+    """struct(lat, lon): the centroids of the outer rings, weighted by their areas; that of the first where all areas are 0."""
+    each = F.transform(parts, lambda rings: let(F.get(rings, F.lit(0)), lambda r: F.struct(ring_centroid(r).alias("c"), ring_area(r).alias("a"))))
+
+    def mean(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x["a"])
+        of = lambda k: F.aggregate(e, F.lit(0.0), lambda s, x: s + x["c"][k] * x["a"]) / total
+        return F.when((total > 0) & (F.size(e) > 1), F.struct(of("lat").alias("lat"), of("lon").alias("lon"))).otherwise(F.get(e, F.lit(0))["c"])
+
+    return let(each, mean)
+
+
 def ring_centroid(ring: Column) -> Column:
     """struct(lat, lon) of the area's centroid; the mean of the corners where the area is 0."""
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("a"))

@@ -7,7 +7,12 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Constants of the score algebra (fixed values).
 EPS = 1e-6
+LEAST_NORM = 1e-12
+LEAST_MAD = 1e-5
+ANCHOR_WEIGHT = 0.35
+RESIDUAL_GAIN = 0.075
 
 
 def total(a: Column) -> Column:
@@ -22,12 +27,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def l2_normalise(a: Column, eps: float = 1e-12) -> Column:
+def l2_normalise(a: Column, eps: float = LEAST_NORM) -> Column:
     n = F.greatest(norm(a), F.lit(eps))
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
-def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:
+def cosine(a: Column, b: Column, eps: float = LEAST_NORM) -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(eps)) * F.greatest(norm(b), F.lit(eps)))
 
 
@@ -50,14 +55,14 @@ def normalise_row(scores: Column, method: str, eps: float = EPS) -> Column:
     raise ValueError(f"unknown normalisation {method}")
 
 
-def anchor_fusion(a: Column, b: Column, weight: float = 0.35, method: str = "row_zscore") -> Column:
+def anchor_fusion(a: Column, b: Column, weight: float = ANCHOR_WEIGHT, method: str = "row_zscore") -> Column:
     """(1 - weight) * norm(a) + weight * norm(b)."""
     if not 0.0 <= weight <= 1.0:
         raise ValueError("weight must be in [0, 1]")
     return F.zip_with(normalise_row(a, method), normalise_row(b, method), lambda x, y: F.lit(1.0 - weight) * x + F.lit(weight) * y)
 
 
-def residual_gain(observed: Column, zero: Column, gain: float = 0.075) -> Column:
+def residual_gain(observed: Column, zero: Column, gain: float = RESIDUAL_GAIN) -> Column:
     return observed + F.lit(gain) * (observed - zero)
 
 
@@ -65,6 +70,6 @@ def robust_tail(hr: Column, lr: Column, hr_mad: Column, lr_median: Column, lr_ma
     """hr plus what lies in the tails of lr: z beyond the threshold on either side, in units of hr_mad."""
     if min(positive, negative, threshold) < 0:
         raise ValueError("weights and threshold must not be negative")
-    z = (lr - lr_median) / F.greatest(lr_mad, F.lit(1e-5))
+    z = (lr - lr_median) / F.greatest(lr_mad, F.lit(LEAST_MAD))
     above, below = F.greatest(z - threshold, F.lit(0.0)), F.greatest(-z - threshold, F.lit(0.0))
     return hr + hr_mad * (positive * above - negative * below)

@@ -65,3 +65,22 @@ def crop_tiles(width: int, height: int, grid: int = 10) -> list[tuple[int, int,
     """(tile, left, top, right, bottom) in pixels: integer tile sizes, what is left over at the right and bottom is dropped."""
     w, h = width // grid, height // grid
     return [(r * grid + c, c * w, r * h, (c + 1) * w, (r + 1) * h) for r in range(grid) for c in range(grid)]
+
+
+def normalised_pixels(pixels: Column, mean: list[float], std: list[float], scale: float = 255.0) -> Column:
+    """array<array<double>> of channels: (x / scale - mean) / std for each channel of each pixel of array<array<int>>."""
+    m, s = F.array(*map(F.lit, map(float, mean))), F.array(*map(F.lit, map(float, std)))
+    return F.transform(pixels, lambda p: F.transform(p, lambda x, i: (x / scale - F.get(m, i)) / F.get(s, i)))
+
+
+def padded_rows(rows: Column, size: int, fill: float = 0.0) -> Column:
+    """array<array<double>> of a size x size grid from a smaller one (rows of equal length): centred, with the greater half of an odd rest at the bottom and right."""
+    none = lambda n: F.array_repeat(F.lit(fill), n)
+    around = lambda a, n, make: F.concat(make(F.floor((size - n) / 2).cast("int")), a, make((size - n - F.floor((size - n) / 2)).cast("int")))
+    wide = F.transform(rows, lambda r: around(r, F.size(r), none))
+    return around(wide, F.size(wide), lambda n: F.array_repeat(none(F.lit(size)), n))
+
+
+def replace_pairs(done: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """done with the rows of fresh instead of those that have their keys: what a repair leaves. Nothing else of done is touched, and no file is deleted."""
+    return done.join(fresh.select(*keys).distinct(), keys, "left_anti").select(*done.columns).unionByName(fresh.select(*done.columns))

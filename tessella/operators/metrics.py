@@ -13,16 +13,24 @@ def require_finite(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.when(bad, F.raise_error(F.lit("scores must be finite"))).otherwise(s))
 
 
-def average_precision(scores: DataFrame, by: str = "class_id") -> DataFrame:
-    """(by, positives, ap): equal scores are one threshold; a class without positives has a null ap.
+def ranked_steps(scores: DataFrame, by: list[str]) -> DataFrame:
+    """(by, p, tp, rank) of each threshold: positives at it, and positives and rows down to it.
 
-    Scores are first summed up by threshold, so the window sorts thresholds, not samples.
+    Scores are summed up by threshold, thresholds by score range; the ranges' totals, RANGES of them for a group at most, are added up in order, and thresholds are only sorted
+    within their range. So a group of any size takes many tasks.
     """
     hit = (F.col("target") > 0).cast("long")
-    steps = require_finite(scores).groupBy(by, "score").agg(F.sum(hit).alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.select(by, "p", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("rank"))
-    out = steps.groupBy(by).agg(F.sum("p").alias("positives"), F.sum(F.col("p") * F.col("tp") / F.col("rank")).alias("s"))
+    steps = require_finite(scores).groupBy(*by, "score").agg(F.sum(hit).alias("p"), F.count("*").alias("n")).withColumn("range", score_range(F.col("score")))
+    before = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = steps.groupBy(*by, "range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
+    ranges = ranges.select(*by, "range", F.coalesce(F.sum("rp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("bn"))
+    within = Window.partitionBy(*by, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.join(ranges, [*by, "range"]).select(*by, "p", (F.sum("p").over(within) + F.col("bp")).alias("tp"), (F.sum("n").over(within) + F.col("bn")).alias("rank"))
+
+
+def average_precision(scores: DataFrame, by: str = "class_id") -> DataFrame:
+    """(by, positives, ap): equal scores are one threshold; a class without positives has a null ap. A null class is left out."""
+    out = ranked_steps(scores, [by]).groupBy(by).agg(F.sum("p").alias("positives"), F.sum(F.col("p") * F.col("tp") / F.col("rank")).alias("s"))
     return out.select(by, "positives", F.when(F.col("positives") > 0, F.col("s") / F.col("positives")).alias("ap"))
 
 
@@ -34,26 +42,20 @@ def mean_average_precision(scores: DataFrame) -> DataFrame:
 
 
 def micro_average_precision(scores: DataFrame) -> DataFrame:
-    """One row (micro): all classes with positives as one ranking.
-
-    A global running count needs no single task: thresholds are summed into score ranges, the ranges' totals are few, and ranks run within ranges.
-    """
+    """One row (micro): all classes with positives as one ranking, by ranges of scores like any other."""
     known = scores.groupBy("class_id").agg(F.max((F.col("target") > 0).cast("int")).alias("any")).where("any = 1").select("class_id")
-    steps = require_finite(scores).join(F.broadcast(known), "class_id", "left_semi").groupBy("score").agg(F.sum((F.col("target") > 0).cast("long")).alias("p"), F.count("*").alias("n"))
-    # Ranges by the leading bits of the score: a few thousand at most.
-    steps = steps.withColumn("range", score_range(F.col("score")))
-    ranges = steps.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    before = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("rp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("bn"))
-    within = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.join(F.broadcast(ranges), "range").select("p", (F.sum("p").over(within) + F.col("bp")).alias("tp"), (F.sum("n").over(within) + F.col("bn")).alias("rank"))
+    steps = ranked_steps(scores.join(known, "class_id", "left_semi").withColumn("all", F.lit(0)), ["all"])
     return steps.agg((F.sum(F.col("p") * F.col("tp") / F.col("rank")) / F.sum("p")).alias("micro"))
 
 
+#: Ranges on either side of 0.
+RANGES = 1 << 16
+
+
 def score_range(score: Column) -> Column:
-    """A number from -2048 to 2048 that grows with the score, whatever its magnitude."""
+    """A whole number from -RANGES to RANGES that grows with the score, whatever its magnitude; scores in [0, 1] share half of those above 0."""
     squashed = score / (F.abs(score) + 1.0)
-    return F.floor(squashed * 2048).cast("int")
+    return F.floor(squashed * RANGES).cast("int")
 
 
 def ap_at_k(scores: DataFrame, ks: list[int]) -> DataFrame:

@@ -36,6 +36,17 @@ class StubScorer:
         return np.stack([row(k) for k in batch[self.key]]) if len(batch) else np.zeros((0, self.width))
 
 
+class ColumnScorer:
+    """Scores that are already there: an array column of the rows, from a cache for instance; column `tiles`, where given, adds its length times `per_tile`."""
+
+    def __init__(self, column: str, per_tile: float = 0.0):
+        self.column, self.per_tile = column, per_tile
+
+    def __call__(self, batch: pd.DataFrame) -> np.ndarray:
+        found = np.stack([np.asarray(v, np.float64) for v in batch[self.column]]) if len(batch) else np.zeros((0, 0))
+        return found + self.per_tile * np.array([len(t) for t in batch["tiles"]])[:, None] if self.per_tile and len(batch) else found
+
+
 def score(rows: DataFrame, make: Callable[[], Scorer], out: str = "scores") -> DataFrame:
     """rows with column out: array<double>. make runs once in each task, so what it loads is shared by its batches."""
 

@@ -14,9 +14,12 @@ from ..storage import ship
 
 
 def greedy_pick(ids: list[str], classes: list[Iterable[int]], most: int, seed: int = 42) -> list[str]:
-    """Ids in the order in which they are taken: shuffled; first rows that have a class below most / classes, then whatever comes next."""
+    """Ids in the order in which they are taken: shuffled; first rows that have a class below most / classes, then whatever comes next.
+
+    The order of these steps is fixed: samples that were drawn elsewhere by the same rule and seed have to come out equal.
+    """
     if most <= 0:
-        raise ValueError("max_samples must be positive")
+        raise ValueError("most must be positive")
     order = list(range(len(ids)))
     random.Random(seed).shuffle(order)
     every = {c for row in classes for c in row}
@@ -50,8 +53,8 @@ def balanced_sample(rows: DataFrame, most: int, seed: int = 42, region: str = "r
 
 
 def hashed_sample(rows: DataFrame, most: int, seed: int = 42, region: str = "region", patch: str = "patch_id", classes: str = "classes") -> DataFrame:
-    """(region, patch_id) of a class-balanced sample in expressions only: the first share of each class by hash, then what is missing by hash. Other picks than balanced_sample's, with its bounds."""
-    h = F.xxhash64(F.lit(seed), F.col(patch))
+    """(region, patch_id) of a class-balanced sample in expressions only: the first share of each class by hash, then what is missing by hash. Other picks than balanced_sample's, with its bounds; for regions of any size."""
+    h = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.col(patch).cast("string")), "UTF-8"))
     flat = rows.groupBy(region, patch).agg(F.array_distinct(F.flatten(F.collect_list(classes))).alias("c")).withColumn("h", h)
     each = flat.select(region, patch, "h", F.explode("c").alias("class_id"))
     number = each.groupBy(region).agg(F.count_distinct("class_id").alias("n"))

@@ -8,23 +8,44 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 
+#: Grid levels: cells of level l are 2**l times the spacing. A box beyond the last one goes to as many cells of it as it touches.
+LEVELS = 40
+
+
+def box_level(box: Column, spacing: float) -> Column:
+    """The level whose cells are as large as a box, so that it touches four of them at most."""
+    side = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(side, F.lit(spacing)) / spacing) - 1e-9).cast("int"), F.lit(0)), F.lit(LEVELS))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, spacing: float, left_box: str = "box", right_box: str = "rbox") -> DataFrame:
     """Pairs of rows whose boxes share an area, with column overlap.
 
-    Each box goes to every grid cell that it touches, cells meet by an equi-join, and a pair is kept in the one cell that holds the lower left corner of
-    its overlap, so pairs come once. spacing should be about the size of a box: a much larger box goes to many cells.
+    Each box goes to the cells that it touches in the grid of its size, and in the coarser grids that the other side's boxes need; cells meet by an equi-join. Two boxes meet in
+    the grid of the larger one, and their pair is kept in the one cell that holds the lower left corner of their overlap, so pairs come once. No box goes to more than four cells
+    of a grid. spacing is the size of the smallest cells. The levels that occur, LEVELS + 1 numbers at most, are looked up first.
     """
+    at = lambda df, box: sorted(r["l"] for r in df.select(box_level(F.col(box), spacing).alias("l")).distinct().collect() if r["l"] is not None)
+    levels = {left_box: at(left, left_box), right_box: at(right, right_box)}
 
-    def binned(df: DataFrame, box: str, cx: str, cy: str) -> DataFrame:
+    def binned(df: DataFrame, box: str, other: str, own: str) -> DataFrame:
         b = F.col(box)
-        x = F.sequence(G.cell(b["x0"], spacing), G.cell(b["x1"], spacing))
-        y = F.sequence(G.cell(b["y0"], spacing), G.cell(b["y1"], spacing))
-        return df.withColumn(cx, F.explode(x)).withColumn(cy, F.explode(y))
-
-    pairs = binned(left, left_box, "_cx", "_cy").join(binned(right, right_box, "_cx", "_cy"), ["_cx", "_cy"])
+        df = df.withColumn(own, box_level(b, spacing))
+        if max([*levels[box], *levels[other], 0]) == 0:
+            df = df.withColumn("_level", F.lit(0))
+        else:
+            coarser = F.filter(F.array(*map(F.lit, levels[other])).cast("array<int>"), lambda x: x > F.col(own))
+            df = df.withColumn("_level", F.explode(F.concat(F.array(own), coarser)))
+        size = F.lit(spacing) * F.pow(F.lit(2.0), F.col("_level"))
+        x = F.sequence(F.floor(b["x0"] / size), F.floor(b["x1"] / size))
+        y = F.sequence(F.floor(b["y0"] / size), F.floor(b["y1"] / size))
+        return df.withColumn("_cx", F.explode(x)).withColumn("_cy", F.explode(y))
+
+    pairs = binned(left, left_box, right_box, "_ll").join(binned(right, right_box, left_box, "_lr"), ["_level", "_cx", "_cy"])
     a, b = F.col(left_box), F.col(right_box)
-    first = (F.col("_cx") == G.cell(F.greatest(a["x0"], b["x0"]), spacing)) & (F.col("_cy") == G.cell(F.greatest(a["y0"], b["y0"]), spacing))
-    return pairs.where(first).withColumn("overlap", G.overlap_area(a, b)).where("overlap > 0").drop("_cx", "_cy")
+    size = F.lit(spacing) * F.pow(F.lit(2.0), F.col("_level"))
+    first = (F.col("_cx") == F.floor(F.greatest(a["x0"], b["x0"]) / size)) & (F.col("_cy") == F.floor(F.greatest(a["y0"], b["y0"]) / size)) & (F.col("_level") == F.greatest("_ll", "_lr"))
+    return pairs.where(first).withColumn("overlap", G.overlap_area(a, b)).where("overlap > 0").drop("_cx", "_cy", "_level", "_ll", "_lr")
 
 
 def class_areas(pairs: DataFrame, patch: str, classes: str, patch_area: Column) -> DataFrame:
@@ -87,13 +108,25 @@ def dense_ids(rows: DataFrame, region: str, order: str, out: str = "patch_id", r
     return joined.withColumn(out, (n + F.col("_before")).cast("long")).drop("_range", "_region", "_at", "_before")
 
 
-def box_union_area(boxes: DataFrame, key: str, box: str) -> DataFrame:
-    """(key, covered): area of the union of each key's boxes, by coordinate compression: slabs between neighbouring x bounds, and in each the union of y intervals."""
+def box_union_area(boxes: DataFrame, key: str, box: str, cells: int = 16) -> DataFrame:
+    """(key, covered): area of the union of each key's boxes.
+
+    Each key's bounds are cut into cells x cells; boxes are clipped to the cells that they meet, so what overlaps stays with few others even where a key has very many boxes, and
+    a key is many groups. In a cell, coordinates are compressed: slabs between neighbouring x bounds, and in each the union of y intervals.
+    """
     b = F.col(box)
-    edges = boxes.select(key, F.explode(F.array(b["x0"], b["x1"])).alias("x")).distinct()
-    slabs = edges.withColumn("x2", F.lead("x").over(Window.partitionBy(key).orderBy("x"))).where("x2 IS NOT NULL")
-    held = boxes.select(F.col(key).alias("_k"), b["x0"].alias("bx0"), b["x1"].alias("bx1"), b["y0"].alias("y0"), b["y1"].alias("y1"))
-    within = slabs.join(held, (slabs[key] == held["_k"]) & (held["bx0"] <= slabs["x"]) & (held["bx1"] >= slabs["x2"])).select(key, "x", "x2", "y0", "y1")
-    top = F.max("y1").over(Window.partitionBy(key, "x").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
-    lengths = within.withColumn("top", top).select(key, "x", "x2", F.greatest(F.col("y1") - F.greatest("y0", F.coalesce("top", "y0")), F.lit(0.0)).alias("h"))
-    return lengths.groupBy(key).agg(F.sum(F.col("h") * (F.col("x2") - F.col("x"))).alias("covered"))
+    flat = boxes.where((b["x1"] > b["x0"]) & (b["y1"] > b["y0"])).select(key, *(b[k].alias(k) for k in ("x0", "y0", "x1", "y1")))
+    bounds = flat.groupBy(F.col(key).alias("_k")).agg(F.min("x0").alias("l"), F.min("y0").alias("b"), ((F.max("x1") - F.min("x0")) / cells).alias("w"), ((F.max("y1") - F.min("y0")) / cells).alias("h"))
+    at = lambda v, low, size: F.least(F.greatest(F.floor((F.col(v) - F.col(low)) / F.col(size)), F.lit(0)), F.lit(cells - 1))
+    cut = flat.join(bounds, F.col(key).eqNullSafe(F.col("_k"))).withColumn("cx", F.explode(F.sequence(at("x0", "l", "w"), at("x1", "l", "w")))).withColumn("cy", F.explode(F.sequence(at("y0", "b", "h"), at("y1", "b", "h"))))
+    low = lambda v, low, size, c: F.greatest(F.col(v), F.col(low) + F.col(c) * F.col(size))
+    high = lambda v, low, size, c: F.least(F.col(v), F.when(F.col(c) < cells - 1, F.col(low) + (F.col(c) + 1) * F.col(size)).otherwise(F.col(v)))
+    cut = cut.select(key, "cx", "cy", low("x0", "l", "w", "cx").alias("x0"), low("y0", "b", "h", "cy").alias("y0"), high("x1", "l", "w", "cx").alias("x1"), high("y1", "b", "h", "cy").alias("y1")).where("x1 > x0 AND y1 > y0")
+    cell = [key, "cx", "cy"]
+    edges = cut.select(*cell, F.explode(F.array("x0", "x1")).alias("x")).distinct()
+    slabs = edges.withColumn("x2", F.lead("x").over(Window.partitionBy(*cell).orderBy("x"))).where("x2 IS NOT NULL")
+    held = cut.select(F.col(key).alias("_k"), F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), "y0", "y1")
+    within = slabs.join(held, F.col(key).eqNullSafe(F.col("_k")) & (F.col("cx") == F.col("_x")) & (F.col("cy") == F.col("_y")) & (F.col("bx0") <= F.col("x")) & (F.col("bx1") >= F.col("x2")))
+    top = F.max("y1").over(Window.partitionBy(*cell, "x").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+    lengths = within.withColumn("top", top).select(key, "x", "x2", F.greatest(F.col("y1") - F.greatest("y0", F.coalesce("top", "y0")), F.lit(0.0)).alias("height"))
+    return lengths.groupBy(key).agg(F.sum(F.col("height") * (F.col("x2") - F.col("x"))).alias("covered"))

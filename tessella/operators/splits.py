@@ -32,10 +32,22 @@ def require_disjoint(rows: DataFrame, key: str, split: str = "split") -> DataFra
     return rows
 
 
-def complete_scenes(files: DataFrame, tiles: int = 100) -> DataFrame:
-    """(region, scene, scene_id, lat, lon, labels) of scenes (region, scene, tile) that have all their tiles and a name that parses."""
-    whole = files.where(F.col("tile").between(0, tiles - 1)).groupBy("region", "scene").agg(F.count_distinct("tile").alias("n")).where(F.col("n") == tiles)
-    return whole.withColumn("p", codec.parse_scene_name(F.col("scene"))).where("p IS NOT NULL").select("region", "scene", "p.*")
+def complete_scenes(files: DataFrame, tiles: int = 100, images: DataFrame | None = None, incomplete: str = "error") -> DataFrame:
+    """(region, scene, scene_id, lat, lon, labels) of scenes (region, scene, tile) that have all their tiles and a name that parses.
+
+    images (region, scene) lists scenes that have to have tiles. A scene that isn't whole, or has another name, is an error; with incomplete="drop" it is left out.
+    """
+    if incomplete not in ("error", "drop"):
+        raise ValueError(f"incomplete is error or drop, not {incomplete}")
+    rows = files.select("region", "scene", F.when(F.col("tile").between(0, tiles - 1), F.col("tile")).alias("tile"))
+    if images is not None:
+        rows = rows.unionByName(images.select("region", "scene", F.lit(None).cast(dict(rows.dtypes)["tile"]).alias("tile")))
+    seen = rows.groupBy("region", "scene").agg(F.count_distinct("tile").alias("n")).withColumn("p", codec.parse_scene_name(F.col("scene")))
+    if incomplete == "error":
+        bad = seen.where((F.col("n") < tiles) | F.col("p").isNull()).select("region", "scene", "n").limit(5).collect()
+        if bad:
+            raise ValueError(f"scenes without all tiles, or with a name that isn't one: {[tuple(r) for r in bad]}")
+    return seen.where((F.col("n") == tiles) & F.col("p").isNotNull()).select("region", "scene", "p.*")
 
 
 def check_labels(rows: DataFrame, classes: int, most: int, labels: str = "labels") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DataProfile, Policy, RobustStatistics
@@ -16,21 +16,36 @@ from ..storage import staged
 
 
 def classified_features(features: DataFrame) -> DataFrame:
-    """Features with a key of the whitelist, a ring and a class: their box, centre and class ids."""
-    kept = features.where(T.whitelisted(F.col("tags"))).where((F.size("rings") > 0) & (F.size(F.get("rings", F.lit(0))) >= 3))
+    """Features with a key of the whitelist, a ring and a class: their parts, box, centre and class ids.
+
+    A feature is one polygon, rings: its outer ring, then holes; or several, parts: an array of such rings. A part whose outer ring has fewer than three corners is left out.
+    """
+    parts = F.col("parts") if "parts" in features.columns else F.array("rings")
+    kept = features.where(T.whitelisted(F.col("tags"))).withColumn("parts", F.filter(F.coalesce(parts, F.array()), lambda r: (F.size(r) > 0) & (F.size(F.get(r, F.lit(0))) >= 3))).where(F.size("parts") > 0)
     kept = kept.withColumn("class_ids", T.classify(F.col("tags"))).where(F.size("class_ids") > 0)
-    ring = F.get("rings", F.lit(0))
-    x, y = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    outer = F.flatten(F.transform("parts", lambda r: F.get(r, F.lit(0))))
+    x, y = F.transform(outer, lambda p: p["x"]), F.transform(outer, lambda p: p["y"])
     box = F.struct(F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
-    centre = G.ring_centroid(ring)
-    return kept.withColumn("fbox", box).withColumn("lat", centre["lat"]).withColumn("lon", centre["lon"])
+    return kept.withColumn("fbox", box).withColumn("at", G.multipolygon_centroid(F.col("parts"))).withColumn("lat", F.col("at.lat")).withColumn("lon", F.col("at.lon")).drop("at")
+
+
+def one_box(footprint: DataFrame | None) -> Column | None:
+    """The box of a footprint table as a literal; none for no table, an error unless it has one row. See readers.dissolved for several."""
+    if footprint is None:
+        return None
+    rows = footprint.select("box").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a footprint has to be one box")
+    return F.struct(*(F.lit(rows[0]["box"][k]).alias(k) for k in ("x0", "y0", "x1", "y1")))
 
 
-def build_index(features: DataFrame, region: str, footprint: DataFrame | None = None, halfwidth: float = 0.0012, scale: float = 10, grid: int = 10, least_classes: int = 2, coverage_min: float = 0.0, spacing: float = 0.01, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def build_index(features: DataFrame, region: str, footprint: DataFrame | None = None, tile_footprint: DataFrame | None = None, predicate: str = "covers", halfwidth: float = 0.0012, scale: float = 10, grid: int = 10, least_classes: int = 2, coverage_min: float = 0.0, spacing: float = 0.01, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(scenes, tiles) of one region: centres of features thinned by grid, boxes around them, overlapped with features, classes by area, dense ids.
 
-    limit counts centres before scenes are rejected. Areas are those of clipped polygons.
+    limit counts centres before scenes are rejected. Areas are those of clipped polygons. Scenes have to lie within footprint (predicate: covers or contains), tiles to
+    meet tile_footprint; each is a table of one box.
     """
+    foot, tile_foot = one_box(footprint), one_box(tile_footprint)
     spark = features.sparkSession
     features = staged(spark, classified_features(features), "features")
     centres = spatial.thin_centers(features.select("ord", "lat", "lon"), spacing)
@@ -38,10 +53,10 @@ def build_index(features: DataFrame, region: str, footprint: DataFrame | None =
         centres = centres.orderBy("ord").limit(limit)
     side = 2 * halfwidth * scale
     patches = centres.withColumn("box", G.box_around(F.col("lat"), F.col("lon"), halfwidth, scale=scale)).select(F.col("ord").alias("center"), "lat", "lon", "box")
-    if footprint is not None:
-        patches = patches.join(F.broadcast(footprint.limit(1).select(F.col("box").alias("foot")))).where(G.footprint_keeps(F.col("foot"), F.col("box"), "covers")).drop("foot")
-    pairs = spatial.overlap_join(patches, features.select("feature_id", "class_ids", "rings", "fbox"), side, "box", "fbox")
-    pairs = pairs.withColumn("overlap", G.polygon_overlap(F.col("rings"), F.col("box"))).where("overlap > 0")
+    if foot is not None:
+        patches = patches.where(G.footprint_keeps(foot, F.col("box"), predicate))
+    pairs = spatial.overlap_join(patches, features.select("feature_id", "class_ids", "parts", "fbox"), side, "box", "fbox")
+    pairs = pairs.withColumn("overlap", G.multipolygon_overlap(F.col("parts"), F.col("box"))).where("overlap > 0")
     pairs = staged(spark, pairs, "pairs")
     areas = spatial.enough_classes(spatial.class_areas(pairs, "center", "class_ids", G.area(F.col("box"))), "center", least_classes)
     if coverage_min > 0:
@@ -52,7 +67,7 @@ def build_index(features: DataFrame, region: str, footprint: DataFrame | None =
     scenes = scenes.join(patches, "center").withColumn("region", F.lit(region))
     scenes = staged(spark, spatial.dense_ids(staged(spark, scenes, "scenes"), "region", "center"), "scenes")
     cut = spatial.tile_overlaps(pairs.join(scenes.select("center", "patch_id"), "center"), "box", "fbox", grid)
-    cut = cut.withColumn("overlap", G.polygon_overlap(F.col("rings"), G.tile_box(F.col("box"), F.col("tile"), grid))).where("overlap > 0")
+    cut = cut.withColumn("overlap", G.multipolygon_overlap(F.col("parts"), G.tile_box(F.col("box"), F.col("tile"), grid))).where("overlap > 0")
     keyed = cut.withColumn("key", F.struct("patch_id", "tile"))
     keyed = staged(spark, keyed, "tiles")
     tile_areas = spatial.class_areas(keyed, "key", "class_ids", G.area(F.col("box")) / (grid * grid))
@@ -61,6 +76,8 @@ def build_index(features: DataFrame, region: str, footprint: DataFrame | None =
     frame = spatial.tile_frame(scenes.select("patch_id", "box"), grid).withColumn("key", F.struct("patch_id", "tile"))
     tiles = frame.join(best.join(fractions, "key"), "key", "left")
     b = G.tile_box(F.col("box"), F.col("tile"), grid)
+    if tile_foot is not None:
+        tiles = tiles.where(G.footprint_keeps(tile_foot, b, "intersects"))
     empty = F.expr("cast(map() as map<int,double>)")
     tiles = tiles.select("patch_id", F.floor(F.col("tile") / grid).cast("int").alias("tile_row"), (F.col("tile") % grid).alias("tile_col"), F.col("tile").alias("tile_index"), b["y0"].alias("tile_min_lat"), b["x0"].alias("tile_min_lon"), b["y1"].alias("tile_max_lat"), b["x1"].alias("tile_max_lon"), "tile_class", F.coalesce("tile_class_fracs", empty).alias("tile_class_fracs"))
     scenes = scenes.select("patch_id", F.col("lat").alias("center_lat"), F.col("lon").alias("center_lon"), F.col("box.y0").alias("sent_min_lat"), F.col("box.x0").alias("sent_min_lon"), F.col("box.y1").alias("sent_max_lat"), F.col("box.x1").alias("sent_max_lon"), "classes", "class_fracs", "class_fracs_abs")
@@ -74,9 +91,9 @@ def sample_index(scenes: DataFrame, tiles: DataFrame, most: int, seed: int = 42,
     return sampling.keep_selected(scenes, taken), sampling.keep_selected(tiles, taken)
 
 
-def construct_splits(files: DataFrame, profile: DataProfile, tiles: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(scenes with their split, label distribution over train and valid)."""
-    scenes = splits.complete_scenes(files, tiles)
+def construct_splits(files: DataFrame, profile: DataProfile, tiles: int = 100, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scenes with their split, label distribution over train and valid). A scene without all its tiles is an error, also one of images (region, scene) without any."""
+    scenes = splits.complete_scenes(files, tiles, images=images)
     scenes = splits.check_labels(scenes, len(profile.classes), int(profile.split.get("max_labels", 30)))
     rows = splits.require_disjoint(splits.assign_split(scenes, profile.splits()), "scene")
     return rows, splits.label_histogram(rows.where("split IN ('train', 'valid')"), len(profile.classes))
@@ -111,6 +128,23 @@ def single_query(rows: DataFrame, router: Callable[[], models.Scorer], observed:
     return both.select("sample_idx", "router_scores", F.col("tiles").alias("selected_indices"), (F.size("tiles") / 100).alias("used_hr_ratio"), gained.alias("class_scores"))
 
 
+def classwise_scores(rows: DataFrame, router: Callable[[], models.Scorer], scorer: Callable[[], models.Scorer], policy: Policy, gain: float = 0.075) -> DataFrame:
+    """(sample_idx, class_id, pc, score, zero_score, largest): every class scored with its own number of tiles.
+
+    One ranking of tiles for each sample; the scorer gets column tiles for each distinct count of the policy and for none; each class takes its score at its count, moved away
+    from that without tiles by the residual gain. largest is the longest prefix that any class needs, which is what has to be read.
+    """
+    spark = rows.sparkSession
+    most = max(policy.counts)
+    ranked = models.route(rows, router).select("sample_idx", "tile", "score")
+    prefixes = selection.nested_prefixes(selection.router_topk(ranked, max(most, 1)), sorted(set(policy.counts)))
+    scored = models.score(prefixes.join(rows, "sample_idx"), scorer).select("sample_idx", F.col("count").alias("pc"), F.posexplode("scores").alias("class_id", "score"))
+    scored = staged(spark, scored, "scores")
+    blind = scored.where("pc = 0").select("sample_idx", "class_id", F.col("score").alias("zero_score"))
+    own = selection.policy_gather(scored, policy.table(spark)).join(blind, ["sample_idx", "class_id"])
+    return own.select("sample_idx", "class_id", "pc", S.residual_gain(F.col("score"), F.col("zero_score"), gain).alias("score"), "zero_score", F.lit(most).alias("largest"))
+
+
 def fuse_low_resolution(scores: DataFrame, stats: RobustStatistics, classes: tuple[str, ...]) -> DataFrame:
     """scores (hr, lr) with column score: the robust tail fusion. Another class order is an error."""
     if stats.classes != tuple(classes):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RobustStatistics
+from ..config import DataProfile, Policy, RobustStatistics
 from ..functions import codec
 from ..functions import geometry as G
 from ..functions import scores as S
@@ -243,17 +243,10 @@ def policy_obr(spark, sf_dir):
     return selection.policy_ratio(table(spark, sf_dir, "part").select((F.col("p_size") % 101).alias("pc"))).select(F.round("ratio", 8).alias("ratio"))
 
 
-@query(f"""WITH {_CELLS}, s AS (SELECT DISTINCT sample_idx FROM cells WHERE sample_idx % 50 = 0)
+@query(f"""WITH {_CELLS}, s AS (SELECT DISTINCT sample_idx FROM cells)
   SELECT s.sample_idx, CAST(t AS INTEGER) AS tile, coalesce(score, -1) AS value, score IS NOT NULL AS seen
   FROM s CROSS JOIN range(0, 100) r(t) LEFT JOIN cells c ON c.sample_idx = s.sample_idx AND c.tile = t""")
 def fill_cells(spark, sf_dir):
-    cells = cell_scores(spark, sf_dir).where("sample_idx % 50 = 0").withColumnRenamed("score", "value")
-    return selection.fill_cells(cells, cells, -1.0)
-
-
-@query()
-def fill_cells_all(spark, sf_dir):
-    """The cells of all orders; fill_cells has one order in 50, as its SQL does."""
     cells = cell_scores(spark, sf_dir).withColumnRenamed("score", "value")
     return selection.fill_cells(cells, cells, -1.0)
 
@@ -431,6 +424,63 @@ def polygon_features(spark, sf_dir) -> DataFrame:
     return c.select("feature_id", "ord", tags.alias("tags"), F.array(ring).alias("rings"))
 
 
+_HALF, _REACH = 0.053, 0.12
+
+
+def box_features(spark, sf_dir) -> DataFrame:
+    """Tagged squares around customers, one in five of them a multipolygon of two halves."""
+    c = customer_boxes(spark, sf_dir).select(F.col("c_custkey").alias("feature_id"), F.col("c_custkey").alias("ord"), (F.col("lat") + 0.003).alias("lat"), (F.col("lon") + 0.003).alias("lon"))
+
+    def ring(left: float, right: float):
+        corners = ((left, -_HALF), (right, -_HALF), (right, _HALF), (left, _HALF))
+        return F.array(*(F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y")) for dx, dy in corners))
+
+    tags = F.when(F.col("ord") % 3 == 0, F.create_map(F.lit("landuse"), F.lit("farmland"))).when(F.col("ord") % 3 == 1, F.create_map(F.lit("natural"), F.lit("wood"), F.lit("leisure"), F.lit("park"))).otherwise(F.create_map(F.lit("building"), F.lit("office")))
+    parts = F.when(F.col("ord") % 5 == 0, F.array(F.array(ring(-_HALF, 0.0)), F.array(ring(0.0, _HALF)))).otherwise(F.array(F.array(ring(-_HALF, _HALF))))
+    return c.select("feature_id", "ord", tags.alias("tags"), parts.alias("parts"))
+
+
+def box_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    foot = spark.createDataFrame([((0.5, 0.0, 9.4, 9.9),)], "box struct<x0:double,y0:double,x1:double,y1:double>")
+    tile_foot = spark.createDataFrame([((0.0, 2.001, 9.0, 9.9),)], "box struct<x0:double,y0:double,x1:double,y1:double>")
+    return pipelines.build_index(box_features(spark, sf_dir), "all", foot, tile_foot, halfwidth=_REACH / 10, spacing=0.5)
+
+
+_INDEX = f"""f AS (SELECT *, CASE c_custkey % 3 WHEN 0 THEN [28] WHEN 1 THEN [29, 32] ELSE [48] END AS cl
+    FROM (SELECT c_custkey, (c_custkey * 37 % 1000) / 100.0::DOUBLE + 0.003::DOUBLE AS lat, (c_custkey * 91 % 1000) / 100.0::DOUBLE + 0.003::DOUBLE AS lon FROM customer)),
+  ce AS (SELECT c_custkey AS center, lat, lon FROM f QUALIFY row_number() OVER (PARTITION BY floor(lat / 0.5::DOUBLE), floor(lon / 0.5::DOUBLE) ORDER BY c_custkey) = 1),
+  pa AS (SELECT * FROM ce WHERE lon - {_REACH}::DOUBLE >= 0.5 AND lat - {_REACH}::DOUBLE >= 0 AND lon + {_REACH}::DOUBLE <= 9.4::DOUBLE AND lat + {_REACH}::DOUBLE <= 9.9::DOUBLE),
+  ov AS (SELECT center, pa.lat AS plat, pa.lon AS plon, f.lat, f.lon, cl,
+      greatest(least(pa.lon + {_REACH}::DOUBLE, f.lon + {_HALF}::DOUBLE) - greatest(pa.lon - {_REACH}::DOUBLE, f.lon - {_HALF}::DOUBLE), 0)
+      * greatest(least(pa.lat + {_REACH}::DOUBLE, f.lat + {_HALF}::DOUBLE) - greatest(pa.lat - {_REACH}::DOUBLE, f.lat - {_HALF}::DOUBLE), 0) AS a
+    FROM pa JOIN f ON abs(pa.lon - f.lon) < {_REACH + _HALF}::DOUBLE AND abs(pa.lat - f.lat) < {_REACH + _HALF}::DOUBLE),
+  ca AS (SELECT center, class_id, sum(a) AS area FROM (SELECT center, unnest(cl) AS class_id, a FROM ov) GROUP BY ALL),
+  fr AS (SELECT *, area / sum(area) OVER (PARTITION BY center) AS relative, area / {4 * _REACH * _REACH}::DOUBLE AS absolute FROM ca QUALIFY count(*) OVER (PARTITION BY center) >= 2),
+  id AS (SELECT center, row_number() OVER (ORDER BY center) AS patch_id FROM (SELECT DISTINCT center FROM fr))"""
+
+
+@query(f"WITH {_INDEX} SELECT patch_id, round(lat, 6) AS lat, round(lon, 6) AS lon, CAST(class_id AS INTEGER) AS class_id, round(relative, 6) AS relative, round(absolute, 6) AS absolute FROM fr JOIN id USING (center) JOIN pa USING (center)")
+def index_boxes(spark, sf_dir):
+    """Scenes of an index of squares within a footprint, one row for each class."""
+    scenes = box_index(spark, sf_dir)[0]
+    each = scenes.select("patch_id", "center_lat", "center_lon", "class_fracs_abs", F.explode("class_fracs").alias("class_id", "relative"))
+    return each.select("patch_id", F.round("center_lat", 6).alias("lat"), F.round("center_lon", 6).alias("lon"), "class_id", F.round("relative", 6).alias("relative"), F.round(F.try_element_at("class_fracs_abs", F.col("class_id")), 6).alias("absolute"))
+
+
+@query(f"""WITH {_INDEX},
+  ti AS (SELECT patch_id, t, lon - {_REACH}::DOUBLE + t % 10 * {_REACH / 5}::DOUBLE AS x0, lat + {_REACH}::DOUBLE - (t // 10 + 1) * {_REACH / 5}::DOUBLE AS y0, center FROM id JOIN pa USING (center), range(0, 100) r(t)),
+  kept AS (SELECT * FROM ti WHERE y0 + {_REACH / 5}::DOUBLE >= 2.001::DOUBLE AND x0 <= 9.0::DOUBLE),
+  ta AS (SELECT patch_id, t, unnest(cl) AS class_id, greatest(least(x0 + {_REACH / 5}::DOUBLE, lon + {_HALF}::DOUBLE) - greatest(x0, lon - {_HALF}::DOUBLE), 0)
+      * greatest(least(y0 + {_REACH / 5}::DOUBLE, lat + {_HALF}::DOUBLE) - greatest(y0, lat - {_HALF}::DOUBLE), 0) AS a FROM kept JOIN ov USING (center)),
+  tc AS (SELECT patch_id, t, class_id, sum(a) AS a FROM ta WHERE a > 1e-12 GROUP BY ALL),
+  tf AS (SELECT *, a / sum(a) OVER (PARTITION BY patch_id, t) AS f FROM tc),
+  tb AS (SELECT patch_id, t, class_id FROM tf QUALIFY row_number() OVER (PARTITION BY patch_id, t ORDER BY round(f, 9) DESC, class_id) = 1)
+  SELECT patch_id, CAST(t AS INTEGER) AS tile_index, CAST(coalesce(tb.class_id, -1) AS INTEGER) AS tile_class, (SELECT count(*) FROM tc WHERE tc.patch_id = kept.patch_id AND tc.t = kept.t) AS classes FROM kept LEFT JOIN tb USING (patch_id, t)""")
+def index_box_tiles(spark, sf_dir):
+    """The tiles of index_boxes that meet the second footprint."""
+    return box_index(spark, sf_dir)[1].select("patch_id", "tile_index", F.coalesce("tile_class", F.lit(-1)).alias("tile_class"), F.size("tile_class_fracs").cast("long").alias("classes"))
+
+
 # Samples, candidates, splits, manifests.
 
 
@@ -451,11 +501,27 @@ def balanced_sample(spark, sf_dir):
     return sampling.balanced_sample(order_classes(spark, sf_dir), 200)
 
 
-@query()
+_HASHED = """o AS (SELECT o_orderstatus AS region, o_orderkey AS patch_id, list_distinct([o_orderkey % 7, o_custkey % 11]) AS classes, md5('42:' || o_orderkey) AS h FROM orders),
+  cl AS (SELECT region, patch_id, h, unnest(classes) AS class_id FROM o),
+  share AS (SELECT region, ceil({most} / count(DISTINCT class_id)::DOUBLE) AS n FROM cl GROUP BY region),
+  fi AS (SELECT DISTINCT region, patch_id FROM (SELECT *, row_number() OVER (PARTITION BY region, class_id ORDER BY h, patch_id) AS r FROM cl) JOIN share USING (region) WHERE r <= n),
+  picked AS (SELECT o.region, o.patch_id FROM o LEFT JOIN fi ON fi.region = o.region AND fi.patch_id = o.patch_id
+    QUALIFY row_number() OVER (PARTITION BY o.region ORDER BY CASE WHEN fi.patch_id IS NULL THEN 1 ELSE 0 END, h, o.patch_id) <= {most})"""
+
+
+@query(f"WITH {_HASHED.format(most=200)} SELECT region, patch_id FROM picked")
 def hashed_sample(spark, sf_dir):
     return sampling.hashed_sample(order_classes(spark, sf_dir), 200)
 
 
+@query(f"WITH {_HASHED.format(most=150)} SELECT patch_id, CAST(t AS INTEGER) AS tile FROM picked, (SELECT unnest([0, 1, 2]) AS t)")
+def sample_index(spark, sf_dir):
+    """The tiles that stay when an index is sampled."""
+    scenes = order_classes(spark, sf_dir)
+    tiles = scenes.select("patch_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tile"))
+    return pipelines.sample_index(scenes, tiles, 150, native=True)[1]
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def semi_filter(spark, sf_dir):
     picked = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -545,7 +611,43 @@ def split_conflicts(spark, sf_dir):
 def scene_complete(spark, sf_dir):
     k = F.col("l_orderkey")
     files = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("R"), (k % 3).cast("string")).alias("region"), F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit("_1.5_2.5_3")).alias("scene"), (F.col("l_linenumber") - 1).alias("tile"))
-    return splits.complete_scenes(files, 3).select("region", F.col("scene_id").cast("long").alias("scene"), F.lit(3).cast("long").alias("n"))
+    return splits.complete_scenes(files, 3, incomplete="drop").select("region", F.col("scene_id").cast("long").alias("scene"), F.lit(3).cast("long").alias("n"))
+
+
+PROFILE = {"schema_version": 1, "name": "customers", "classes": [f"c{i}" for i in range(10)], "regions": {r: {} for rs in REGIONS.values() for r in rs}, "osm": {}, "imagery": {}, "split": {f"{k}_regions": v for k, v in REGIONS.items()}}
+
+
+def constructed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Splits from the names of files: each customer is a scene of three tiles with two labels."""
+    c = split_customers(spark, sf_dir)
+    k = F.col("c_custkey")
+    scene = F.concat_ws("_", F.lpad(k.cast("string"), 9, "0"), F.lit("1.5"), F.lit("-2.25"), (k % 10).cast("string"), (k % 3).cast("string"))
+    images = c.select(F.col("r_name").alias("region"), scene.alias("scene"))
+    files = images.withColumn("tile", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return pipelines.construct_splits(files, DataProfile.of(PROFILE), 3, images)
+
+
+@query(f"WITH {_SPLIT} SELECT r_name AS region, CAST(c_custkey AS INTEGER) AS scene_id, split, CAST(c_custkey % 10 AS INTEGER) AS first, CAST(c_custkey % 3 AS INTEGER) AS second, 1.5::DOUBLE AS lat, -2.25::DOUBLE AS lon FROM sp WHERE split IS NOT NULL")
+def split_scenes(spark, sf_dir):
+    return constructed(spark, sf_dir)[0].select("region", "scene_id", "split", F.get("labels", F.lit(0)).alias("first"), F.get("labels", F.lit(1)).alias("second"), "lat", "lon")
+
+
+@query(f"""WITH {_SPLIT}, l AS (SELECT unnest([c_custkey % 10, c_custkey % 3]) AS label_id FROM sp WHERE split IN ('train', 'valid')), n AS (SELECT count(*) AS n FROM sp WHERE split IN ('train', 'valid'))
+  SELECT CAST(i AS INTEGER) AS label_id, count(label_id) AS count, round(count(label_id) / any_value(n)::DOUBLE, 6) AS ratio FROM range(0, 10) r(i) CROSS JOIN n LEFT JOIN l ON label_id = i GROUP BY i""")
+def split_labels(spark, sf_dir):
+    return constructed(spark, sf_dir)[1].select("label_id", "count", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"""WITH {_SPLIT} SELECT split, c_custkey AS id, r_name || '/LR/' || c_custkey || '.jpg' AS lr_path, r_name || '/HR/' || c_custkey || '/0.jpg' AS hr_0, r_name || '/HR/' || c_custkey || '/2.jpg' AS hr_2,
+  CAST(c_custkey % 10 AS INTEGER) AS label_0, CAST(-1 AS INTEGER) AS label_3 FROM sp WHERE split IS NOT NULL""")
+def expand_manifest(spark, sf_dir):
+    c = split_customers(spark, sf_dir)
+    k = F.col("c_custkey")
+    path = F.concat(F.col("r_name"), F.lit("/LR/"), k.cast("string"), F.lit(".jpg"))
+    rows = c.select("split", k.alias("id"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), path.alias("filepath"), F.array((k % 10).cast("int"), (k % 3).cast("int")).alias("labels"))
+    out = pipelines.expand_manifest({name: rows.where(F.col("split") == name) for name in REGIONS}, 4, 3)
+    parts = [df.select(F.lit(name).alias("split"), "id", "lr_path", "hr_0", "hr_2", "label_0", F.coalesce("label_3", F.lit(-1)).alias("label_3")) for name, df in out.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("""WITH m AS (SELECT * FROM (VALUES ('ECONOMY', 1), ('STANDARD', 0), ('PROMO', 1), ('LARGE', 2)) t(s, g)),
@@ -643,6 +745,60 @@ def evaluate_shards(spark, sf_dir):
     return metrics.average_precision(rows).where("positives > 0").select("class_id", F.round("ap", 6).alias("ap"), "positives")
 
 
+def score_shards(spark, sf_dir) -> tuple[list[DataFrame], int]:
+    s = prototype_scores(spark, sf_dir)
+    return [shards.shard(s, i, 3) for i in range(3)], table(spark, sf_dir, "embeddings").count()
+
+
+@query(f"""WITH {SCORES}, {AP}, ms AS (SELECT score, sum(target) AS p, count(*) AS n FROM sc GROUP BY ALL),
+  mc AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS rk FROM ms WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+  SELECT round(avg(ap), 6) AS macro, round(sum(ap * positives) / sum(positives), 6) AS weighted, (SELECT round(sum(p * tp / rk::DOUBLE) / sum(p), 6) FROM mc) AS micro, count(*) AS classes FROM ap""")
+def evaluate_multi_label(spark, sf_dir):
+    """From shards to the report: merged, checked for coverage, scored."""
+    parts, n = score_shards(spark, sf_dir)
+    return pipelines.evaluate(parts, "multi-label", n).select(*(F.round(c, 6).alias(c) for c in ("macro", "weighted", "micro")), "classes")
+
+
+@query(f"""WITH {SCORES}, {_AT_K} SELECT g AS "group", CAST(k AS INTEGER) AS k, round(avg(ap), 6) AS map, count(*) AS classes
+  FROM (SELECT 'all' AS g, * FROM ak UNION ALL SELECT CASE WHEN class_id < 7 THEN 'base' ELSE 'novel' END, * FROM ak) GROUP BY g, k""")
+def evaluate_retrieval(spark, sf_dir):
+    parts, n = score_shards(spark, sf_dir)
+    return pipelines.evaluate(parts, "retrieval", n, (20, 100), 7, 10).select("group", "k", F.round("map", 6).alias("map"), "classes")
+
+
+@query(f"""WITH {SCORES}, b AS (SELECT *, row_number() OVER (PARTITION BY sample_idx ORDER BY score DESC, class_id) AS r FROM sc)
+  SELECT count(*) AS samples, CAST(sum(target) AS BIGINT) AS correct, round(avg(target), 6) AS accuracy FROM b WHERE r = 1""")
+def evaluate_single_label(spark, sf_dir):
+    parts, n = score_shards(spark, sf_dir)
+    return pipelines.evaluate(parts, "single-label", n).select("samples", "correct", F.round("accuracy", 6).alias("accuracy"))
+
+
+def cached_scores(spark, sf_dir) -> DataFrame:
+    """(sample_idx, router, hr, lr): arrays that stand for what models would give."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("router"))
+    return e.select("*", F.slice("router", 1, 10).alias("hr"), F.transform(F.slice("router", 1, 10), lambda x: x * x).alias("lr"))
+
+
+@query("""WITH v AS (SELECT vec_id AS sample_idx, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
+  t AS (SELECT sample_idx, string_agg(CAST(i AS VARCHAR), ',' ORDER BY x DESC, i) AS tiles FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY sample_idx ORDER BY x DESC, i) <= 6) GROUP BY sample_idx)
+  SELECT sample_idx, CAST(i AS INTEGER) AS class_id, round(x + 0.075::DOUBLE * (x - x * x), 6) AS score, tiles, 0.06::DOUBLE AS used_hr_ratio FROM v JOIN t USING (sample_idx) WHERE i < 10""")
+def single_query(spark, sf_dir):
+    """One class asked for, with its own budget of tiles."""
+    policy = Policy(tuple("abcdefghij"), (6, 4, 0, 12, 3, 6, 6, 9, 20, 1))
+    found = pipelines.single_query(cached_scores(spark, sf_dir), lambda: models.ColumnScorer("router"), lambda: models.ColumnScorer("hr"), lambda: models.ColumnScorer("lr"), policy, "f")
+    each = found.select("sample_idx", F.posexplode("class_scores").alias("class_id", "score"), F.array_join(F.transform("selected_indices", lambda t: t.cast("string")), ",").alias("tiles"), F.round("used_hr_ratio", 6).alias("used_hr_ratio"))
+    return each.withColumn("score", F.round("score", 6))
+
+
+@query("""WITH v AS (SELECT vec_id AS sample_idx, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings)
+  SELECT sample_idx, CAST(i AS INTEGER) AS class_id, CAST(i % 4 * 3 AS INTEGER) AS pc, round(x + i % 4 * 3 * 0.01::DOUBLE + 0.075::DOUBLE * (i % 4 * 3 * 0.01::DOUBLE), 6) AS score, round(x, 6) AS zero_score FROM v WHERE i < 10""")
+def classwise_scores(spark, sf_dir):
+    """All classes, each with its own number of tiles, from one ranking."""
+    policy = Policy(tuple("abcdefghij"), tuple(i % 4 * 3 for i in range(10)))
+    found = pipelines.classwise_scores(cached_scores(spark, sf_dir), lambda: models.ColumnScorer("router"), lambda: models.ColumnScorer("hr", 0.01), policy)
+    return found.select("sample_idx", "class_id", "pc", F.round("score", 6).alias("score"), F.round("zero_score", 6).alias("zero_score"))
+
+
 @query(f"""WITH {SCORES}, b AS (SELECT *, row_number() OVER (PARTITION BY sample_idx ORDER BY score DESC, class_id) AS r FROM sc)
   SELECT printf('{{"samples":%d,"correct":%d}}', count(*), CAST(sum(target) AS BIGINT)) AS report FROM b WHERE r = 1""")
 def report_json(spark, sf_dir):

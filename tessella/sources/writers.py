@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -17,7 +19,7 @@ def _mode(overwrite: bool) -> str:
 
 
 def scene_index_rows(patches: DataFrame) -> DataFrame:
-    """The text form of the scene index: classes joined by |, fractions with 4 (relative) and 8 (absolute) decimals."""
+    """The text form of the scene index, whose column names are fixed: classes joined by |, fractions with 4 (relative) and 8 (absolute) decimals."""
     return patches.select("patch_id", "center_lat", "center_lon", "sent_min_lat", "sent_min_lon", "sent_max_lat", "sent_max_lon", codec.encode_classes(F.col("classes")).alias("classes"), codec.encode_fractions(F.col("class_fracs"), 4).alias("class_fracs"), codec.encode_fractions(F.col("class_fracs_abs"), 8).alias("class_fracs_abs"))
 
 
@@ -29,6 +31,45 @@ def write_csv(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     rows.write.mode(_mode(overwrite)).option("header", True).csv(path)
 
 
+def write_counted(rows: DataFrame, path: str, overwrite: bool = False) -> int:
+    """Writes CSV and returns the number of rows, counted as they are written."""
+    seen = Observation()
+    write_csv(rows.observe(seen, F.count(F.lit(1)).alias("rows")), path, overwrite)
+    return int(seen.get["rows"])
+
+
+def publish_pair(rows: dict[str, DataFrame], root: str, name: str, overwrite: bool = False) -> str:
+    """Writes several tables that belong together, and publishes them at once: a version folder is filled first, then one file names it.
+
+    Readers (read_pair) only follow that file, so they see all tables of one version or all of another, also after a failure in between. An older version is left to whoever cleans up.
+    """
+    spark = next(iter(rows.values())).sparkSession
+    head = f"{root}/{name}/current"
+    if not overwrite and _exists(spark, head):
+        raise ValueError(f"{root}/{name} exists")
+    version = uuid.uuid4().hex
+    for table, df in rows.items():
+        df.write.mode("errorifexists").parquet(f"{root}/{name}/{version}/{table}")
+    spark.createDataFrame([(version, sorted(rows))], "version string, tables array<string>").coalesce(1).write.mode("overwrite").json(head)
+    return version
+
+
+def read_pair(spark: SparkSession, root: str, name: str) -> dict[str, DataFrame]:
+    """The tables that were last published under that name."""
+    head = spark.read.schema("version string, tables array<string>").json(f"{root}/{name}/current").first()
+    return {t: spark.read.parquet(f"{root}/{name}/{head['version']}/{t}") for t in head["tables"]}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("version string").json(path).limit(1).count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def write_index(patches: DataFrame, tiles: DataFrame, scene_path: str, tile_path: str, overwrite: bool = False) -> None:
     """Both tables of a spatial index."""
     write_csv(scene_index_rows(patches), scene_path, overwrite)
@@ -36,7 +77,7 @@ def write_index(patches: DataFrame, tiles: DataFrame, scene_path: str, tile_path
 
 
 def write_shard(rows: DataFrame, root: str, task: str, split: str, index: int, shards: int, overwrite: bool = False) -> str:
-    """Writes one shard of scores; its name holds its place."""
+    """Writes one shard of scores; its name holds its place (the form part-NNNNN-of-NNNNN is fixed)."""
     if not 0 <= index < shards:
         raise ValueError("shard index out of range")
     path = f"{root}/task={task}/split={split}/part-{index:05d}-of-{shards:05d}"

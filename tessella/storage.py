@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,10 +14,14 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset the context's checkpoint folder, or else a temporary one."""
+    """spark.checkpoint.dir, or where it is unset the context's checkpoint folder. With neither, a temporary folder in local mode and an error on a cluster, whose executors couldn't read it."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
-    path = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='tessella-')}")
+    path = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
     if not held.isDefined():
         context.setCheckpointDir(path)
     return path

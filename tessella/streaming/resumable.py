@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -12,14 +14,21 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_arriving_shards(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, index: str = "sample_idx") -> StreamingQuery:
-    """Appends each new shard file's rows to target, once: a batch's rows whose index is already there are an error for their query, not silently dropped.
+    """Appends each new shard file's rows to target, once: an index that comes twice, in one batch or in two, is an error for the query, not silently dropped.
 
     Batches have a folder of their own, so a batch that is tried again overwrites itself.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        twice = batch.groupBy(index).count().where("count > 1").limit(1).count()
-        if twice:
+        fresh = batch.select(index).withColumn("_batch", F.lit(number).cast("long"))
+        try:
+            held = batch.sparkSession.read.parquet(target).where(F.col("batch") != number).select(index, F.col("batch").cast("long").alias("_batch"))
+            fresh = fresh.unionByName(held)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        twice = fresh.groupBy(index).agg(F.count("*").alias("c"), F.max("_batch").alias("b")).where((F.col("c") > 1) & (F.col("b") >= number))
+        if not twice.isEmpty():
             raise ValueError(f"repeated {index} in batch {number}")
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 

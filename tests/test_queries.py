@@ -57,7 +57,7 @@ def test_tiles_of_all_scenes(spark):
 def test_fill_cells_of_all_orders(spark):
     cells = {(r["sample_idx"], r["tile"]): r["score"] for r in q.cell_scores(spark, SF).collect()}
     orders = {r[0] for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().collect()}
-    got = q.QUERIES["fill_cells_all"](spark, SF).toPandas()
+    got = q.QUERIES["fill_cells"](spark, SF).toPandas()
     want = {(o, t): (cells.get((o, t), -1.0), (o, t) in cells) for o in orders for t in range(100)}
     assert len(got) == len(want) and {(r.sample_idx, r.tile): (r.value, r.seen) for r in got.itertuples()} == want
 
