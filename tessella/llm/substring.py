@@ -15,6 +15,7 @@ it. Only windows that start more than once are edges. The steps:
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -296,21 +297,24 @@ class _Cutter:
         return marked.join(right, F.col(self.row) == F.col(self.claims + "_row"), "left").select(*columns, self.row, self.claims)
 
     def cut(self, bits, claims: DataFrame) -> DataFrame:
-        """names, then added: number of words, of removed ones, digest of the kept ones, and (path, digest of the words) of each claim."""
+        """names, then added: number of words, of removed ones, digest of the kept ones, and (path, digest of the words, how often) of its claims."""
         # A batch has the columns of names and row, and claims where there are any.
         width, text, names, added = len(self.names), self.text, self.names, self.added
-        schema = f"{self.schema(names)}, `{added[0]}` long, `{added[1]}` long, `{added[2]}` string, `{added[3]}` array<struct<path:bigint,digest:binary>>"
+        schema = f"{self.schema(names)}, `{added[0]}` long, `{added[1]}` long, `{added[2]}` string, `{added[3]}` array<struct<path:bigint,digest:binary,times:int>>"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at, spans, paths = _read(b.column(width + 1)) if b.num_columns > width + 1 else (np.zeros(b.num_rows + 1, np.int64), *[np.zeros(0, np.int64)] * 2)
-                texts, n_words, n_removed, digests, proofs = [], [], [], [], []
+                texts, n_words, n_removed, digests, proofs, n_proofs = [], [], [], [], [], []
                 column = b.column(text).cast(pa.binary())
                 for i in range(b.num_rows):
                     value = column[i].as_py()
                     words = (value or b"").split()
                     own = np.stack([spans[at[i] : at[i + 1]] >> 32, spans[at[i] : at[i + 1]] & _LOW], axis=1)
-                    proofs += [_digest(words[s : s + n]) for s, n in own.tolist()]
+                    # A text that says the same again and again has many claims on a path; they go on as one with their number.
+                    found = Counter((path, _digest(words[s : s + n])) for path, (s, n) in zip(paths[at[i] : at[i + 1]].tolist(), own.tolist(), strict=True))
+                    proofs += [(path, digest, times) for (path, digest), times in found.items()]
+                    n_proofs.append(len(found))
                     own[:, 1] += own[:, 0]
                     kept, gone = keep_words(words, merged(own)) if len(own) else (words, 0)
                     joined = b" ".join(kept)
@@ -319,8 +323,9 @@ class _Cutter:
                     n_removed.append(gone)
                     digests.append(hashlib.sha256(joined).hexdigest())
                 new = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text else b.column(i) for i in range(width)]
-                proof = pa.StructArray.from_arrays([pa.array(paths), pa.array(proofs, pa.binary())], names=["path", "digest"])
-                yield pa.RecordBatch.from_arrays([*new, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), _lists(np.diff(at), proof)], names=[*names, *added])
+                kinds = (pa.int64(), pa.binary(), pa.int32())
+                proof = pa.StructArray.from_arrays([pa.array([x[k] for x in proofs], kind) for k, kind in enumerate(kinds)], names=["path", "digest", "times"])
+                yield pa.RecordBatch.from_arrays([*new, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), _lists(np.array(n_proofs, np.int64), proof)], names=[*names, *added])
 
         return map_arrow(self.joined(bits, claims, names), run, schema).unionByName(self.split(bits, False, names, run, schema))
 
@@ -356,7 +361,7 @@ def _removed(spark: SparkSession, docs: DataFrame, window: int, k: int, hash_bit
         return staged(spark, cutter.cut(bits, claims), "cut")
 
     out = settled(found)
-    proofs = out.select(F.inline(cutter.added[3])).groupBy("path").agg(F.count("*").alias("c"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
+    proofs = out.select(F.inline(cutter.added[3])).groupBy("path").agg(F.sum("times").alias("c"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
     wrong = staged(spark, proofs.where("c < 2 OR d0 <> d1").select("path"), "wrong")
     if not wrong.isEmpty():
         claims = staged(spark, _claims(found.join(wrong, "path", "left_semi")), "claims")
