@@ -4,14 +4,17 @@ Each line of a text, and the whole text, is lower-cased, stripped of everything
 bigrams. A coefficient of t needs sizes within t / (2 - t) of each other, so most lines are dropped by their number of words, and templates by theirs.
 
 Notices that are wrapped or stand in a longer line are found in windows of consecutive words over all lines. The best windows begin and end with a bigram
-of their template and share t / (2 - t) of its bigrams, so only texts with as many of them are searched.
+of their template.
+
+Whatever reaches t, a line, a window or a whole text, shares t / (2 - t) of its template's bigrams. So a text is only read closely if it has as many of them,
+and only normalised if it has one of a few words without which it can't have.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from math import ceil, floor
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +47,30 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words))
 
 
+def witnesses(grams: list[str], threshold: float) -> list[str]:
+    """Words of which a text has one at least, if it has t / (2 - t) of these bigrams: the bigrams without them are fewer than that."""
+    most = ceil(len(grams) * threshold / (2 - threshold) - 1e-9) - 1  # bigrams that may be left without a witness
+    left, chosen = [g.split(" ") for g in grams], []
+    while len(left) > most:
+        # Long words are rare as a rule.
+        chosen.append(max(sorted({w for g in left for w in g}), key=lambda w: (sum(w in g for g in left) * len(w), w)))
+        left = [g for g in left if chosen[-1] not in g]
+    return chosen
+
+
+def candidate(text: Column, grams: dict[str, list[str]], threshold: float) -> Column:
+    """Whether a text has enough bigrams of a template, over its lines; null for a null text."""
+    words = sorted({w for g in grams.values() for w in witnesses(g, threshold)})
+    seen = F.exists(F.array(F.lower(text)), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in words)))
+
+    def enough(t: Column) -> Column:
+        has = {g: F.contains(t, F.lit(f" {g} ")).cast("int") for each in grams.values() for g in each}
+        return reduce(or_, (reduce(add, (has[g] for g in each)) >= len(each) * threshold / (2 - threshold) - 1e-9 for each in grams.values()))
+
+    flat = F.concat(F.lit(" "), F.translate(normalised(text), "\n", " "), F.lit(" "))
+    return seen & F.exists(F.array(F.regexp_replace(flat, " +", " ")), enough)
+
+
 def _let(c: Column, f) -> Column:
     """f(c) with c computed once."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
@@ -109,7 +136,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     distinct within a line; a line of one word has none and matches nothing. A null text has no lines; repeated rows give repeated results; very long lines
     are dropped by their size, and searched in windows; an empty table gives no row; other columns are ignored.
     """
-    grams = {name: bigrams_of(text) for name, text in templates}
+    grams = {name: found for name, text in templates if " " in "".join(found := bigrams_of(text))}
+    docs = docs.where(candidate(F.col("text"), grams, threshold)) if grams else docs.limit(0)
+    grams = grams or {"": ["none"]}
     least = min(map(len, grams.values())) * threshold / (2 - threshold)
     most = max(map(len, grams.values())) * (2 - threshold) / threshold
     rows = docs.select("doc_id", F.transform(F.split(normalised(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != "")).alias("lines"))
