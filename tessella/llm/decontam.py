@@ -22,8 +22,10 @@ COVER = ("1111", "11101110111")
 SHORTEST = 11
 #: Verified words around a hit, and how many of them have to agree.
 WINDOW, AGREE = 15, 13
-#: log2 of the longs in the filter that goes with the plan: 2**14 of them, 128 KB, at every size of input.
-FILTER_LONGS = 14
+#: log2 of the longs in the filter that goes with the plan: at least, and at most. In between there are 64 bits and more for each seed. The filter only saves rows.
+FILTER_LONGS = (14, 17)
+#: Words of test items that are broadcast, at most; more are shuffled.
+BROADCAST_WORDS = 2_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -42,9 +44,13 @@ def _starts(words: Column, mask: str) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """(item, item_id, words): the items that have words, with a number of their own."""
+    return items.select(F.monotonically_increasing_id().alias("item"), "item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(item_id, words, item_start, seed) of every place of every item; of the first place alone, over all words, where there are fewer than SHORTEST."""
-    rows = items.select("item_id", word_hashes(F.col("text")).alias("words"))
+    """(item, item_start, seed) of every place of every numbered item; of the first place alone, over all words, where there are fewer than SHORTEST."""
 
     def places(mask: str) -> Column:
         return F.transform(_starts(F.col("words"), mask), lambda i: F.struct(i.alias("item_start"), _seed(F.col("words"), i, mask).alias("seed")))
@@ -52,17 +58,19 @@ def item_seeds(items: DataFrame) -> DataFrame:
     each = F.concat(*map(places, COVER))
     for n in range(1, SHORTEST):
         each = F.when(F.size("words") == n, places("1" * n)).otherwise(each)
-    return rows.where(F.size("words") > 0).select("item_id", "words", F.inline(each))
+    return items.select("item", F.inline(each))
 
 
-def seed_filter(seeds: DataFrame) -> Column:
-    """An array literal with a bit for each seed; the driver gets at most 2**FILTER_LONGS numbers."""
+def seed_filter(seeds: DataFrame) -> tuple[Column, int]:
+    """(array literal with a bit for each seed, log2 of its length); the driver gets that many numbers at most."""
+    least, most = FILTER_LONGS
+    size = min(max(least, seeds.count().bit_length()), most)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("seed").bitwiseAND(F.lit(63)).cast("int"))
-    got = seeds.groupBy(F.shiftrightunsigned("seed", 64 - FILTER_LONGS).cast("int").alias("place")).agg(F.bit_or(bit).alias("bits")).collect()
-    longs = [0] * (1 << FILTER_LONGS)
+    got = seeds.groupBy(F.shiftrightunsigned("seed", 64 - size).cast("int").alias("place")).agg(F.bit_or(bit).alias("bits")).collect()
+    longs = [0] * (1 << size)
     for r in got:
         longs[r["place"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>"), size
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -73,16 +81,17 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
     of a longer item, doesn't count. Words are compared in lower case. Whole texts are searched; nulls and empty texts have no words;
     rows with one doc_id count as one document, as do those with a null one; an empty table on either side gives no row; other columns are ignored.
     """
+    items = staged(spark, numbered(items), "items")
     seeds = staged(spark, item_seeds(items), "seeds")
-    bits = seed_filter(seeds)
+    bits, size = seed_filter(seeds)
     # At most SHORTEST numbers reach the driver.
-    short = sorted(r["n"] for r in seeds.select(F.size("words").alias("n")).where(F.col("n") <= SHORTEST).distinct().collect())
+    short = sorted(r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") <= SHORTEST).distinct().collect())
     masks = [COVER[0], COVER[1], *("1" * n for n in short if n < SHORTEST)]
     least = min([SHORTEST, *short])
     words = docs.select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= least)
 
     def may(h: Column) -> Column:
-        return F.getbit(F.get(bits, F.shiftrightunsigned(h, 64 - FILTER_LONGS).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return F.getbit(F.get(bits, F.shiftrightunsigned(h, 64 - size).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def starts(mask: str) -> Column:
         every = _starts(F.col("words"), mask)
@@ -97,15 +106,17 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
         return F.transform(hit, lambda i: F.struct((i - WINDOW).alias("from"), seed(i).alias("seed"), near(i).alias("near")))
 
     hits = words.select("doc_id", F.inline(F.concat(*map(places, masks))))
-    seeds = seeds.select("item_id", F.col("words").alias("item"), F.col("item_start"), "seed")
-    if seeds.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8:
+    if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
-    met = hits.join(seeds, "seed")
+    known = items.select("item", "item_id", F.col("words").alias("its"))
+    if (known.agg(F.sum(F.size("its"))).first()[0] or 0) <= BROADCAST_WORDS:
+        known = F.broadcast(known)
+    met = hits.join(seeds, "seed").join(known, "item")
     # Aligned words: the document's at start + d and the item's at item_start + d, for d from -WINDOW.
     offset = F.sequence(F.lit(-WINDOW), F.lit(2 * WINDOW - 1))
     skipped = F.least(F.col("from"), F.lit(0))  # what is missing at the document's beginning
-    equal = F.transform(offset, lambda d: (F.get("item", F.when(F.col("item_start") + d >= 0, F.col("item_start") + d)) == F.get("near", F.when(d + WINDOW + skipped >= 0, d + WINDOW + skipped))).cast("int"))
-    met = met.select("doc_id", "item_id", F.size("item").alias("n"), F.filter(equal, lambda e: e.isNotNull()).alias("equal"))
+    equal = F.transform(offset, lambda d: (F.get("its", F.when(F.col("item_start") + d >= 0, F.col("item_start") + d)) == F.get("near", F.when(d + WINDOW + skipped >= 0, d + WINDOW + skipped))).cast("int"))
+    met = met.select("doc_id", "item_id", F.size("its").alias("n"), F.filter(equal, lambda e: e.isNotNull()).alias("equal"))
     met = met.withColumn("most", F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("equal") - WINDOW + 1, F.lit(1))), lambda s: F.aggregate(F.slice("equal", s, WINDOW), F.lit(0), lambda a, e: a + e))))
     worn = (F.size("equal") >= SHORTEST) & (F.col("most") >= F.least(F.size("equal"), F.lit(WINDOW)) - (WINDOW - AGREE))
     found = met.where(F.when(F.col("n") < SHORTEST, F.col("most") == F.col("n")).otherwise(worn))
@@ -113,10 +124,13 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that share no test item."""
+    """The rows of docs that share no test item, with the columns of docs as they are, whatever their names.
+
+    Texts decide, so repeated rows and rows with one doc_id each stay or go by their own text; rows without words stay; an empty table on either side removes nothing.
+    """
+    gone, at = distinct_name(docs, "_bad"), distinct_name(docs, "_at")
     keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = staged(spark, contaminated(spark, keyed, items).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    bad = staged(spark, contaminated(spark, keyed, items).select(F.col("doc_id").alias(gone)).distinct(), "contaminated")
     if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    at = distinct_name(docs, "_at")
-    return docs.withColumn(at, F.xxhash64("text")).join(bad, F.col(at) == F.col("_bad"), "left_anti").select(*docs.columns)
+    return docs.withColumn(at, F.xxhash64("text")).join(bad, F.col(at) == F.col(gone), "left_anti").select(*docs.columns)
