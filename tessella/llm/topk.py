@@ -8,6 +8,8 @@ and narrows the range that holds the kth best score; when ranges are one integer
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,10 @@ _CELL = "qg int, cg int, kind int, uid long, id long, dim int, ids binary, paylo
 
 
 def quantised(vectors: list, scale: float) -> list:
-    """floor(scale * x) of each component, as Python integers only where longs are too narrow; None for a vector that takes no part."""
+    """floor(scale * x) of each component, as Python integers only where longs are too narrow; None for a vector that takes no part.
+
+    Where scale * x is beyond a double, it is worked out exactly.
+    """
     out: list = []
     for v in vectors:
         x = None if v is None or any(c is None for c in v) else np.asarray(v, np.float64)
@@ -33,13 +38,19 @@ def quantised(vectors: list, scale: float) -> list:
             out.append(None)
             continue
         y = np.floor(scale * x)
-        if not np.isfinite(y).all():
-            out.append(None)
-            continue
-        out.append(y.astype(np.int64) if (np.abs(y) < 2.0**62).all() else np.array([int(c) for c in y], object))
+        if (np.abs(y) < 2.0**62).all():
+            out.append(y.astype(np.int64))
+        else:
+            out.append(np.array([int(c) if np.isfinite(c) else floor(Fraction(float(a)) * Fraction(scale)) for a, c in zip(x, y, strict=True)], object))
     return out
 
 
+def _norm(v: np.ndarray) -> float:
+    """The length of a vector, infinite where its square may be beyond a double."""
+    most = max(map(abs, v.tolist()), default=0) if v.dtype == object else 0
+    return float(np.sqrt((v.astype(np.float64) ** 2).sum())) if most < 1 << 500 else float("inf")
+
+
 def _packed(rows: list) -> tuple[int, bytes]:
     """Dimension and bytes of a block; shorter vectors are filled up with 0. The first byte says which type the integers have."""
     dim = max(map(len, rows), default=0)
@@ -81,7 +92,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale:
     """(query_id, rank, vec_id, score): the k best rows for each query row (a SQL condition over vec_id), all rows where there are fewer.
 
     Ties go to the smaller vec_id. A row is never its own candidate; another row with the same vec_id or vector is. Vectors that are null, or hold a
-    null, non-finite or (once scaled) infinite component, and rows with a null vec_id take no part. Vectors of different lengths are filled up with 0.
+    null or non-finite component, and rows with a null vec_id take no part. Vectors of different lengths are filled up with 0.
     Scores beyond a long are cut to its range. Other columns are ignored; an empty table gives no row.
     """
 
@@ -93,7 +104,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale:
             for at in range(0, len(rows), BLOCK_ROWS):
                 part = rows[at : at + BLOCK_ROWS]
                 dim, data = _packed([v for _, v in part])
-                norm = max(float(np.sqrt(float((v.astype(np.float64) ** 2).sum()))) for _, v in part)
+                norm = max(_norm(v) for _, v in part)
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((block, pa.int64()), (dim, pa.int32()), (np.array([i for i, _ in part], np.int64).tobytes(), pa.binary()), (data, pa.binary()), (norm, pa.float64()))], names=["block", "dim", "ids", "payload", "norm"])
                 block += 1 << 20
 
@@ -106,7 +117,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale:
                 ids = np.frombuffer(r["ids"], np.int64)
                 m = _unpacked(r["dim"], r["payload"], len(ids))
                 data = [_packed([x])[1] for x in m]
-                norm = [float(np.sqrt(float((x.astype(np.float64) ** 2).sum()))) for x in m]
+                norm = [_norm(x) for x in m]
                 yield pa.RecordBatch.from_arrays([pa.array(r["block"] + np.arange(len(ids)), pa.int64()), pa.array(ids), pa.array([r["dim"]] * len(ids), pa.int32()), pa.array(data, pa.binary()), pa.array(norm, pa.float64())], names=["uid", "id", "dim", "payload", "norm"])
 
     queries = map_arrow(blocks, rows, "uid long, id long, dim int, payload binary, norm double")
@@ -118,7 +129,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     groups = -(-n // GROUP_QUERIES)
     spread = max(1, -(-2 * partitions(spark) // groups))
-    bound = min(LONG // 2, int(longest * widest * (1 + 1e-9)) + 2)
+    most = longest * widest * (1 + 1e-9) + 2
+    bound = int(most) if most < LONG // 2 else LONG // 2
     state = queries.select("uid", F.lit(-bound).cast("long").alias("lo"), F.lit(-(-(2 * bound + 1) // BINS)).cast("long").alias("width"))
 
     def cells(state: DataFrame) -> DataFrame:
