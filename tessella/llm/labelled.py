@@ -12,11 +12,13 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(text, y) of at most `rows` labelled documents, those with the smallest hash of doc_id, without those held out; y is 0 or 1.
+    """(text, y) of at most `rows` labelled documents, those with the smallest hash of doc_id, without those held out; y is the label, a whole number from 0.
 
-    Null labels and ids are left out; a doc_id with labels of both kinds keeps the greater. `rows` bounds what is broadcast here.
+    Null and negative labels and null ids are left out; a doc_id with several labels keeps the greatest, one with several texts that with the smallest hash.
+    `rows` bounds what is broadcast here and what comes back. An empty table on either side gives no row; other columns are ignored.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    known = labels.where((F.col(label) >= 0) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(rows)
     known = known.select(F.col("doc_id").alias("_id"), "y")
-    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y")).select("text", "y")
