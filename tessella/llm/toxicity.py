@@ -1,7 +1,11 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are the presence of words and of word beginnings, hashed. Grades are ordered; P(grade >= j) = sigmoid(w.x - t_j), with one w for all thresholds.
-Labels only say toxic or not, so the grades of toxic training documents are cut by how many telltale features they have.
+Labels may hold grades, 0 for clean texts. Where they only say toxic or not, the grades of toxic training documents are cut by how many telltale features
+they have, so severity then is a matter of how much evidence there is.
+
+Only features that are surely more frequent in toxic documents than in others are kept: those some 20 times as frequent, or, where they leave toxic training
+documents without any, as few times as it takes (SURENESS, LEAST_ODDS, COVERED). A document without such a feature is graded as an empty one.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ SAMPLE = 8000
 BITS = 18
 #: Features that are kept, at most: those that tell most.
 KEPT = 20_000
-#: Standard errors below a feature's log-odds at which they still have to exceed LEAST_ODDS.
-SURENESS, LEAST_ODDS = 1.0, 3.0
+#: Standard errors below a feature's log-odds at which they still have to exceed the least: the first of these with which so many toxic documents have a feature.
+SURENESS, LEAST_ODDS, COVERED = 1.0, (3.0, 2.5, 2.0, 1.5, 1.0, 0.5, 0.0), 0.995
 PREFIXES = (4, 5)
 #: Punctuation and digits separate words here.
 SEPARATORS = SPACE.copy()
@@ -59,10 +63,18 @@ class ToxicityModel:
         self.cuts = np.full(self.grades - 1, 1.0)
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> "ToxicityModel":
-        """rows: distinct buckets of each document. Without toxic documents, or without others, the fit only has thresholds."""
-        y = np.asarray(y, np.int64)
-        order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), rows[i].tobytes()))
-        rows, y = [rows[i] for i in order], y[order]
+        """rows: distinct buckets of each document; y: its grade, or 1 for a toxic one and 0 for others. Without toxic documents, or without others, the fit only has thresholds.
+
+        Where grades above 1 occur, the greatest one sets how many there are.
+        """
+        grade = np.asarray(y, np.int64)
+        graded = bool(len(grade)) and int(grade.max()) > 1
+        if graded:
+            self.grades = int(grade.max()) + 1
+            self.cuts = np.full(self.grades - 1, 1.0)
+        order = sorted(range(len(rows)), key=lambda i: (grade[i], len(rows[i]), rows[i].tobytes()))
+        rows, grade = [rows[i] for i in order], grade[order]
+        y = np.minimum(grade, 1)
         if not len(rows):
             return self
         doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -72,15 +84,17 @@ class ToxicityModel:
         odds = np.log((has1 + 0.5) / (n1 + 1)) - np.log((has0 + 0.5) / (n0 + 1))
         # A feature has to be surer than its counts' chance: the lower bound of its log-odds counts.
         sure = odds - SURENESS * np.sqrt(1 / (has1 + 0.5) + 1 / (has0 + 0.5))
-        kept = np.argsort(-sure, kind="stable")[:KEPT]
-        kept = kept[sure[kept] > LEAST_ODDS]
+        best = np.argsort(-sure, kind="stable")[:KEPT]
         place = np.full(size, -1)
-        place[kept] = np.arange(len(kept))
+        for least in LEAST_ODDS:
+            kept = best[sure[best] > least]
+            place[kept] = np.arange(len(kept))
+            if len(np.unique(doc[(place[col] >= 0) & (y[doc] == 1)])) >= COVERED * (y == 1).sum():
+                break
         doc, col = doc[place[col] >= 0], place[col[place[col] >= 0]]
-        # Grades: 0 for clean documents; toxic ones by quantiles of how many telltale features they have.
+        # Grades that no label tells: toxic documents by quantiles of how many telltale features they have.
         many = np.bincount(doc, minlength=len(y)).astype(float)
-        grade = np.zeros(len(y), np.int64)
-        if (y == 1).any():
+        if not graded and (y == 1).any():
             steps = np.quantile(many[y == 1], np.arange(1, self.grades - 1) / (self.grades - 1))
             grade[y == 1] = 1 + np.searchsorted(steps, many[y == 1], side="right")
         # exp() keeps thresholds in order.
@@ -130,6 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, **parameters)
 def grade_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, severity, toxic) of every row of docs: severity is the expected grade, from 0; toxic is 1 if P(grade >= 1) reaches the threshold.
 
+    labels has doc_id and toxic: 0 or 1, or grades from 0.
+
     Whole texts count. A null text is graded as an empty one; repeated rows get equal grades; labels are learnt from rows that aren't held out, a null doc_id isn't;
     an empty table gives no row.
     """
