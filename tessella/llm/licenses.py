@@ -137,8 +137,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     are dropped by their size, and searched in windows; an empty table gives no row; other columns are ignored.
     """
     grams = {name: found for name, text in templates if " " in "".join(found := bigrams_of(text))}
-    docs = docs.where(candidate(F.col("text"), grams, threshold)) if grams else docs.limit(0)
-    grams = grams or {"": ["none"]}
+    if not grams:
+        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, line_no long, license string, dice double")
+    docs = docs.where(candidate(F.col("text"), grams, threshold))
     least = min(map(len, grams.values())) * threshold / (2 - threshold)
     most = max(map(len, grams.values())) * (2 - threshold) / threshold
     rows = docs.select("doc_id", F.transform(F.split(normalised(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != "")).alias("lines"))

@@ -93,7 +93,7 @@ def test_severity_rises_with_grade(spark):
 
 
 def test_toxicity_on_balanced_labels(spark):
-    docs, labels = labelled(spark)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
     toxic = labels.where("toxic = 1")
     balanced = toxic.unionByName(labels.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(toxic.count()))
     got = toxicity.grade_toxicity(spark, docs, balanced).join(labels.withColumnRenamed("toxic", "label"), "doc_id").where("held_out AND label IS NOT NULL").toPandas()
