@@ -28,7 +28,7 @@ BITS = 18
 #: Features that are kept, at most: those that tell most.
 KEPT = 20_000
 #: Standard errors below a feature's log-odds at which they still have to exceed the least: the first of these with which so many toxic documents have a feature.
-SURENESS, LEAST_ODDS, COVERED = 1.0, (3.0, 2.5, 2.0, 1.5, 1.0, 0.5, 0.0), 0.95
+SURENESS, LEAST_ODDS, COVERED = 1.0, (3.0, 2.5, 2.0, 1.5, 1.0, 0.5, 0.0), 0.9
 PREFIXES = (4, 5)
 #: Punctuation and digits separate words here.
 SEPARATORS = SPACE.copy()
