@@ -32,7 +32,17 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # A task holds a group of rows in memory until it is written.
     df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._staged_path = path
+    return held
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: all that was made of them has been written."""
+    for df in tables:
+        if path := getattr(df, "_staged_path", None):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
