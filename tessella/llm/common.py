@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, ship, staged
+from ..storage import forget, shared_dir, ship, staged
 
 #: Largest side that an operator broadcasts, in rows of a few longs each; larger sides are shuffled.
 BROADCAST_ROWS = 400_000
@@ -30,6 +30,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def large(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has too many rows to be broadcast."""
+    return df.limit(rows + 1).count() > rows
+
+
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """df.mapInArrow(f, schema), with this package on the executors and batches bounded by bytes: rows may hold whole books."""
     ship(df.sparkSession)
@@ -38,4 +43,4 @@ def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
-__all__ = ["BROADCAST_ROWS", "distinct_name", "map_arrow", "partitions", "shared_dir", "staged", "table"]
+__all__ = ["BROADCAST_ROWS", "distinct_name", "forget", "large", "map_arrow", "partitions", "shared_dir", "staged", "table"]

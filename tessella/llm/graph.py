@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import forget, staged
 
 
 def components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,8 +24,9 @@ def components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) ->
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small, "u")
+        linked, before = large.join(small, "u"), edges
         edges = staged(spark, linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        forget(spark, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard join of documents, and the groups that its links form.
 
 Documents with the same set of shingles are one node. Two sets can only reach the threshold if their prefixes, the rarest part of each in one global
-order, share a shingle. Sets that share one meet in a tile under the smallest of them (the lead); the most promising lead of each set is checked first,
-and what those links already hold together needs no further pairs. In the tiles that still hold several groups, sizes (in bands of the threshold's ratio)
-and bitmap signatures bound the overlap from above, and the pairs that are left are settled by intersecting sorted arrays.
+order, share a shingle. Sets that share one meet under the smallest of them (the lead); the most promising lead of each set is checked first, and what
+those links already hold together needs no further pairs. Sets under leads that still hold several groups are dealt into tiles by lead and band of size: a
+band is as wide as the threshold's ratio, so sets that may link are in one band or in two that follow each other. In a tile, sizes and bitmap signatures
+bound the overlap from above, and the pairs that are left are settled by intersecting sorted arrays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, distinct_name, map_arrow, staged
+from .common import BROADCAST_ROWS, distinct_name, forget, large, map_arrow, staged
 from .graph import components
 from .words import U, Chunk, chunks, longs, mix
 
@@ -25,8 +27,12 @@ SKETCH = 1 << 17
 LEAST_BITS = 256
 #: Bytes of signatures that are compared at a time.
 COMPARED = 1 << 24
-#: Members of a tile in one block, and of a lead in one group.
-TILE = 512
+#: Members of a tile in one block, and of a lead in one group; and their shingles, of 8 bytes each.
+TILE, TILE_SHINGLES = 512, 1 << 21
+#: Sets of one batch that share a prefix shingle from which on the shingle is hot: its sets then don't meet in one task.
+HOT, SALTS = 16, 1024
+#: Sets that a task remembers as sent already; copies of sets that it forgot are dropped after the shuffle.
+SEEN = 1 << 19
 _DOC, _HASH = 52, (1 << 52) - 1
 
 
@@ -131,12 +137,17 @@ def levels(counts: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, n: int, threshold: int, level: np.ndarray) -> DataFrame:
-    """(key, set, n) for the shingles in each set's prefix, once per set and task."""
-    order = docs.sparkSession.sparkContext.broadcast(level)
+    """(key, salt, set, n, hot) for the shingles in each set's prefix, once per set and batch.
+
+    A key is hot in a batch if many sets have it there. Its sets then get a salt, so that no task has to read them all, and the smallest of them has a further row without salt
+    that tells so (hot): it goes where the key's sets from other batches are.
+    """
+    order, least = docs.sparkSession.sparkContext.broadcast(level), HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
+            parts = []
             for _, c in chunks(b.column(0), lower=True):
                 m = len(c.count)
                 doc, h = shingles(c, n)
@@ -145,6 +156,8 @@ def postings(docs: DataFrame, n: int, threshold: int, level: np.ndarray) -> Data
                 mixed = np.concatenate([np.zeros(1, U), np.cumsum(mix(h + U(1)))])
                 ident = mix(mixed[first[1:]] - mixed[first[:-1]] + size.astype(U))
                 new = np.zeros(m, bool)
+                if len(seen) > SEEN:
+                    seen.clear()
                 for i in np.flatnonzero(size):
                     if (x := int(ident[i])) not in seen:
                         seen.add(x)
@@ -154,34 +167,65 @@ def postings(docs: DataFrame, n: int, threshold: int, level: np.ndarray) -> Data
                 key = doc.astype(U) << U(_DOC) | order.value[(h & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(48) | h >> U(4)
                 key.sort()
                 at = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(prefix)[:-1]]), prefix) + np.arange(prefix.sum())
-                yield pa.RecordBatch.from_arrays([longs(key[at] & U((1 << 48) - 1)), longs(np.repeat(ident, prefix)), longs(np.repeat(size, prefix))], names=["key", "set", "n"])
+                parts.append((key[at] & U((1 << 48) - 1), np.repeat(ident, prefix), np.repeat(size, prefix)))
+            if not parts:
+                continue
+            key, ident, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.lexsort((ident, size, key))
+            key, ident, size = key[by], ident[by], size[by]
+            opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            many = np.diff(np.r_[opens, len(key)])
+            hot = np.repeat(many >= least, many)
+            salt = np.where(hot, 1 + (mix(ident) % U(SALTS)).astype(np.int64), 0)
+            lead = opens[many >= least]
+            rows = ((np.r_[key, key[lead]], np.r_[salt, np.zeros(len(lead), np.int64)], np.r_[ident, ident[lead]], np.r_[size, size[lead]], np.r_[np.zeros(len(key), bool), np.ones(len(lead), bool)]))
+            yield pa.RecordBatch.from_arrays([longs(rows[0]), pa.array(rows[1].astype(np.int32)), longs(rows[2]), longs(rows[3]), pa.array(rows[4])], names=["key", "salt", "set", "n", "hot"])
 
-    return map_arrow(docs.select("text"), run, "key long, `set` long, n long")
+    return map_arrow(docs.select("text"), run, "key long, salt int, `set` long, n long, hot boolean")
 
 
 def tiles(rows: DataFrame) -> DataFrame:
-    """(a, b, na, nb): a is the smallest set that has the key, b each other one. Sorted input is read as a stream, so a key may have any number of sets."""
+    """(key, a, b, na, nb): a is the smallest set that has a key, b each other one; for the sets b of hot keys, a is null and key tells which.
+
+    Sorted input is read as a stream, so a key may have any number of sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lead, lead_n, seen_set = None, 0, 0, 0
+        last, lead, lead_n, seen_set, lead_hot = None, 0, 0, 0, False
         for b in batches:
-            key, ident, n = (b.column(i).to_numpy() for i in range(3))
+            key, salt, flag, ident, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(key):
                 continue
             opens = np.empty(len(key), bool)
-            opens[0] = last is None or key[0] != last
-            opens[1:] = key[1:] != key[:-1]
+            opens[0] = last is None or key[0] != last[0] or salt[0] != last[1]
+            opens[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
             at = np.maximum.accumulate(np.where(opens, np.arange(len(key)), -1))
             a = np.where(at >= 0, ident[at], lead)
             na = np.where(at >= 0, n[at], lead_n)
+            # Rows that tell that a key is hot come first.
+            hot = np.where(at >= 0, (flag == 0)[at], lead_hot) | (salt > 0)
             before = np.concatenate([[seen_set if not opens[0] else ~ident[0]], ident[:-1]])
-            keep = ~opens & (ident != a) & (ident != before)
-            last, lead, lead_n, seen_set = key[-1], a[-1], na[-1], ident[-1]
+            again = ~opens & (ident == before)
+            keep = np.where(hot, ~again | (flag == 0), ~opens & (ident != a) & ~again)
+            last, lead, lead_n, seen_set, lead_hot = (key[-1], salt[-1]), a[-1], na[-1], ident[-1], hot[-1]
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, ident, na, n)], names=["a", "b", "na", "nb"])
+                key, a, ident, na, n, hot = (x[keep] for x in (key, a, ident, na, n, hot))
+                yield pa.RecordBatch.from_arrays([pa.array(key, mask=~hot), pa.array(a, mask=hot), pa.array(ident), pa.array(na, mask=hot), pa.array(n)], names=["key", "a", "b", "na", "nb"])
+
+    dealt = rows.select("key", "salt", (~F.col("hot")).cast("int").alias("flag"), "set", "n").repartition("key", "salt").sortWithinPartitions("key", "salt", "flag", "n", "set")
+    return map_arrow(dealt, run, "key long, a long, b long, na long, nb long")
+
 
-    dealt = rows.repartition("key").sortWithinPartitions("key", "n", "set")
-    return map_arrow(dealt, run, "a long, b long, na long, nb long")
+def led(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """(a, b, na, nb, votes): how many prefix shingles bring the set b under the lead a. The lead of a hot key is the smallest of its sets, found by a minimum that is combined before the shuffle."""
+    found = staged(spark, found, "tiles")
+    hot = found.where("a IS NULL").select("key", "b", "nb")
+    stars = found.where("a IS NOT NULL").select("a", "b", "na", "nb")
+    leads = staged(spark, hot.groupBy("key").agg(F.min(F.struct("nb", "b")).alias("l")).select("key", F.col("l.b").alias("a"), F.col("l.nb").alias("na")), "hot")
+    more = hot.join(leads if large(leads) else F.broadcast(leads), "key").where("a <> b").select("a", "b", "na", "nb")
+    stars = staged(spark, stars.unionByName(more).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes")), "stars")
+    forget(spark, found, leads)
+    return stars
 
 
 def overlaps(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -227,23 +271,31 @@ def overlaps(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataF
 
 
 def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, x, y, set, n, root, block): the sets of each open tile that may reach the threshold, by sizes and bitmaps, with one of another group there.
+    """(a, band, x, y, set, n, root, block): the sets of each open tile that may reach the threshold, by sizes and bitmaps, with one of another group there.
 
-    A lead's tile is open while its members belong to different groups. One with many members is cut into blocks of about TILE, and x, y are the two that meet.
+    A lead is open while its sets belong to different groups. Its tiles are bands of sizes: a tile holds the sets of its band and those of the band below. One with many sets, or
+    large ones, is cut into blocks, and x, y are the two that meet.
     """
-    of = groups.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    to = groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    few = (lambda df: df) if large(groups) else F.broadcast
+    of = few(groups.select(F.col("node").alias("a"), F.col("root").alias("ra")))
+    to = few(groups.select(F.col("node").alias("b"), F.col("root").alias("rb")))
     open_ = stars.join(of, "a", "left").join(to, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    leads = open_.groupBy("a").agg(F.count("*").alias("c"))
-    members = stars.join(leads.select("a"), "a", "left_semi").select("a", "b").union(leads.select("a", F.col("a").alias("b")))
-    count = members.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    leads = staged(spark, open_.groupBy("a").agg(F.count("*").alias("c")).select("a"), "open")
+    few = (lambda df: df) if large(leads) else F.broadcast
+    members = stars.join(few(leads), "a", "left_semi").select("a", "b").union(leads.select("a", F.col("a").alias("b")))
     info = sets.select(F.col("set").alias("b"), "n", "bits")
-    members = members.join(count, "a").join(info, "b").join(to, "b", "left").select("a", "blocks", "b", "n", "bits", F.coalesce("rb", "b").alias("root"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    # Sets of one band or of neighbouring ones only can be within the ratio; the bands are a little wider, so that rounding loses none.
+    own = F.floor(F.log(F.col("n")) / (math.log(100 / threshold) * (1 + 1e-6))).cast("int") if threshold < 100 else F.col("n").cast("int")
+    members = members.join(info, "b").withColumn("own", own).join(to, "b", "left").select("a", "b", "n", "bits", "own", F.coalesce("rb", "b").alias("root"), F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"))
+    members = staged(spark, members, "members")
+    cut = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    count = members.groupBy("a", "band").agg(cut.alias("blocks"), F.max("own").alias("top"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("top = band AND r0 <> r1").select("a", "band", "blocks")
+    members = members.join(count if large(count) else F.broadcast(count), ["a", "band"]).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = members.select("a", "b", "n", "bits", "root", "block", other).select("a", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "b", "n", "bits", "root", "block")
+    dealt = members.select("a", "band", "b", "n", "bits", "own", "root", "block", other).select("a", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "b", "n", "bits", "own", "root", "block")
 
-    def settle(tile, ident, n, root, block, bits) -> Iterator[pa.RecordBatch]:
-        """One tile: its first block against its second, or a block against itself."""
+    def settle(tile, ident, n, own, root, block, bits) -> Iterator[pa.RecordBatch]:
+        """One tile: its first block against its second, or a block against itself. A pair of the band below has a tile of its own."""
         signs, needed = Signatures(bits), np.zeros(len(ident), bool)
         left = block == block.min()
         right = ~left if not left.all() else left
@@ -251,7 +303,7 @@ def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataF
         for s in range(0, len(li), 64):
             i = li[s : s + 64]
             big, little = np.maximum(n[i, None], n[None, ri]), np.minimum(n[i, None], n[None, ri])
-            may = (100 * little >= threshold * big) & (root[i, None] != root[None, ri]) & (ident[i, None] < ident[None, ri] if right is left else True)
+            may = (100 * little >= threshold * big) & (np.maximum(own[i, None], own[None, ri]) == tile[1]) & (root[i, None] != root[None, ri]) & (ident[i, None] < ident[None, ri] if right is left else True)
             p, q = np.nonzero(may)
             p, q = i[p], ri[q]
             keep = may_reach(n[p], n[q], signs.differences(p, q), threshold)
@@ -259,15 +311,15 @@ def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataF
             needed[p] = needed[q] = True
         at = np.flatnonzero(needed)
         if len(at):
-            where = [pa.array(np.full(len(at), v, t)) for v, t in zip(tile, (np.int64, np.int32, np.int32), strict=True)]
-            yield pa.RecordBatch.from_arrays([*where, pa.array(ident[at]), pa.array(n[at]), pa.array(root[at]), pa.array(block[at])], names=["a", "x", "y", "set", "n", "root", "block"])
+            where = [pa.array(np.full(len(at), v, t)) for v, t in zip(tile, (np.int64, np.int32, np.int32, np.int32), strict=True)]
+            yield pa.RecordBatch.from_arrays([*where, pa.array(ident[at]), pa.array(n[at]), pa.array(own[at]), pa.array(root[at]), pa.array(block[at])], names=["a", "band", "x", "y", "set", "n", "own", "root", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held, bits = None, [], []
         for b in batches:
-            head = np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)
-            cols = [b.column(k).to_numpy() for k in (3, 4, 6, 7)]
-            signs = b.column(5).to_pylist()
+            head = np.stack([b.column(k).to_numpy() for k in range(4)], axis=1)
+            cols = [b.column(k).to_numpy() for k in (4, 5, 6, 7, 8)]
+            signs = b.column(9).to_pylist()
             edges = [0, *(np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1), len(head)]
             for s, e in zip(edges, edges[1:], strict=False):
                 if s == e:
@@ -281,8 +333,8 @@ def rivals(spark: SparkSession, stars: DataFrame, groups: DataFrame, sets: DataF
         if held:
             yield from settle(tile, *(np.concatenate(x) for x in zip(*held, strict=True)), bits)
 
-    sorted_ = dealt.select("a", "x", "y", "b", "n", "bits", "root", "block").repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "b")
-    return map_arrow(sorted_, run, "a long, x int, y int, `set` long, n long, root long, block int")
+    sorted_ = dealt.select("a", "band", "x", "y", "b", "n", "own", "root", "block", "bits").repartition("a", "band", "x", "y").sortWithinPartitions("a", "band", "x", "y", "b")
+    return map_arrow(sorted_, run, "a long, band int, x int, y int, `set` long, n long, own int, root long, block int")
 
 
 def tile_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -294,9 +346,9 @@ def tile_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: D
     roles = staged(spark, roles, "roles")
     if roles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         roles = F.broadcast(roles)
-    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(roles, "row").select("a", "x", "y", "set", "root", "block", "text")
+    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(roles, "row").select("a", "band", "x", "y", "set", "own", "root", "block", "text")
 
-    def settle(ident, root, block, arrays) -> Iterator[pa.RecordBatch]:
+    def settle(tile, ident, own, root, block, arrays) -> Iterator[pa.RecordBatch]:
         group = {r: r for r in root}
 
         def find(r: int) -> int:
@@ -311,9 +363,10 @@ def tile_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: D
         left = [i for i, b in enumerate(block) if b == first]
         apart = len(left) < len(block)
         right = np.array([i for i, b in enumerate(block) if b != first] if apart else left)
-        found = []
+        found, own = [], np.array(own)
         for i in left:
             q = right if apart else right[right > i]
+            q = q[np.maximum(own[q], own[i]) == tile[1]]
             q = q[100 * np.minimum(size[q], size[i]) >= threshold * np.maximum(size[q], size[i])]
             q = q[np.array([root[j] != root[i] for j in q], bool)] if len(q) else q
             differ = signs.differences(np.full(len(q), i), q)
@@ -332,25 +385,25 @@ def tile_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, members: D
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, ([], [], [], [])
+        tile, held = None, ([], [], [], [], [])
         for b in batches:
-            heads = [b.column(k).to_pylist() for k in range(6)]
-            for at, c in chunks(b.column(6), lower=True):
+            heads = [b.column(k).to_pylist() for k in range(8)]
+            for at, c in chunks(b.column(8), lower=True):
                 doc, h = shingles(c, n)
                 first = _bounds(doc, len(c.count))
                 for i in range(len(c.count)):
-                    a, x, y, ident, root, block = (v[at + i] for v in heads)
-                    if tile != (a, x, y):
+                    *here, ident, own, root, block = (v[at + i] for v in heads)
+                    if tile != here:
                         if held[0]:
-                            yield from settle(*held)
-                        tile, held = (a, x, y), ([], [], [], [])
+                            yield from settle(tile, *held)
+                        tile, held = here, ([], [], [], [], [])
                     if not held[0] or held[0][-1] != ident:  # equal rows come one after the other
-                        for v, value in zip(held, (ident, root, block, h[first[i] : first[i + 1]].copy()), strict=True):
+                        for v, value in zip(held, (ident, own, root, block, h[first[i] : first[i + 1]].copy()), strict=True):
                             v.append(value)
         if held[0]:
-            yield from settle(*held)
+            yield from settle(tile, *held)
 
-    dealt = texts.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y", "set")
+    dealt = texts.repartition("a", "band", "x", "y").sortWithinPartitions("a", "band", "x", "y", "set")
     return map_arrow(dealt, run, "a long, b long")
 
 
@@ -386,16 +439,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, threshold:
     rows = rows.where("kind = 0").drop("kind")
     sets = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     sets = staged(spark, sets, "sets")
-    stars = tiles(postings(docs, n, threshold, order)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes"))
-    stars = staged(spark, stars, "stars")
+    stars = led(spark, tiles(postings(docs, n, threshold, order)))
     best = stars.where(100 * F.col("na") >= threshold * F.col("nb")).groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
     best = staged(spark, promising(best.select("a", "b"), sets, threshold), "leads")
     links = staged(spark, overlaps(spark, docs, sets, best, n, threshold), "links")
     groups = staged(spark, components(spark, links), "groups")
     more = staged(spark, rivals(spark, stars, groups, sets, threshold), "rivals")
     if not more.isEmpty():
-        links = links.unionByName(staged(spark, tile_links(spark, docs, sets, more, n, threshold), "links"))
+        first, links = links, links.unionByName(staged(spark, tile_links(spark, docs, sets, more, n, threshold), "links"))
         groups = staged(spark, components(spark, links), "groups")
+        forget(spark, first)
+    forget(spark, stars, best, more)
     named = sets.select("set", "doc_id", "copies").join(groups, sets["set"] == groups["node"], "left").select("set", "doc_id", "copies", F.coalesce("root", "set").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "root").select("set", "root", "component_id", "copies")
@@ -410,6 +464,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame
     times = found.where("n_shingles > 0").groupBy("row").agg(F.count("*").alias("times"))
     firsts = firsts.select(F.col("k.row").alias("row")).join(times, "row")
     keep = staged(spark, firsts.unionByName(found.where("n_shingles = 0").select("row", F.lit(1).cast("long").alias("times")).distinct()), "keep")
+    forget(spark, found)
     at, row, times = (distinct_name(docs, x) for x in ("_at", "_row", "_times"))
     hint = keep.toDF(row, times)
     if keep.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_name, map_arrow, staged
+from .common import distinct_name, forget, map_arrow, staged
 from .words import U, Chunk, chunks, longs, mix
 
 #: Bits of the filters that go to all tasks: 2**25 bits are 4 MB, at every size of input. They only save rows; joins decide.
@@ -351,22 +351,29 @@ def _removed(spark: SparkSession, docs: DataFrame, window: int, k: int, hash_bit
     row = distinct_name(docs, "_row")
     rows = staged(spark, docs.withColumn(row, F.monotonically_increasing_id()), "texts")
     texts = staged(spark, by_row(edges(spark, rows.select("text", F.col(row).alias("row")), window, k, hash_bits)), "edges")
-    found = paths(spark, texts).select("row", "start", (F.col("n") + (window - 1)).alias("words"), "path")
+    paths_of = paths(spark, texts)
+    found = paths_of.select("row", "start", (F.col("n") + (window - 1)).alias("words"), "path")
     cutter = _Cutter(rows, row)
 
     def settled(spans: DataFrame) -> DataFrame:
         # Most texts have no repeated span: only those whose bit is set are sent to where their spans are.
         claims = staged(spark, _claims(spans), "claims")
         bits = spark.sparkContext.broadcast(bit_filter(claims, "row"))
-        return staged(spark, cutter.cut(bits, claims), "cut")
+        out = staged(spark, cutter.cut(bits, claims), "cut")
+        bits.destroy()
+        forget(spark, claims)
+        return out
 
+    forget(spark, texts)
     out = settled(found)
     proofs = out.select(F.inline(cutter.added[3])).groupBy("path").agg(F.sum("times").alias("c"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
     wrong = staged(spark, proofs.where("c < 2 OR d0 <> d1").select("path"), "wrong")
     if not wrong.isEmpty():
         claims = staged(spark, _claims(found.join(wrong, "path", "left_semi")), "claims")
         bits = spark.sparkContext.broadcast(bit_filter(claims, "row"))
+        forget(spark, out)
         out = settled(found.join(wrong, "path", "left_anti").unionByName(cutter.by_words(bits, claims, window)))
+    forget(spark, rows, paths_of, wrong)
     return out, cutter.added[:3]
 
 

@@ -94,6 +94,25 @@ def test_many_near_copies_stay_one_component(spark):
     assert sorted(map(tuple, got), key=repr) == brute_near(every, ids)
 
 
+@pytest.mark.parametrize("hot, tile, shingles", [(3, 8, 1 << 21), (2, 512, 600), (10**9, 8, 1 << 21)])
+def test_near_copies_in_small_tiles(spark, texts, monkeypatch, hot, tile, shingles):
+    """Hot keys and tiles of several blocks, by number and by size, in several tasks, give the same links."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", shingles)
+    rng = random.Random(18)
+    base = prose(rng, 120).split()
+    every = list(texts)
+    for i in range(70):  # from near to far, so that groups meet under one lead without all being linked
+        w = list(base)
+        for j in rng.sample(range(120), 1 + i % 9):
+            w[j] = f"y{rng.randrange(10**6)}"
+        every.append(" ".join(w[: 120 - i % 40]))
+    ids = list(range(len(every)))
+    got = ngram_join.near_duplicates(spark, docs_of(spark, every).repartition(5)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_near(every, ids)
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     texts = ["a b c d e f"] * 3 + ["a b c d e f", "g h i j k l", None, None, ""]
     docs = docs_of(spark, texts, ids=[5, 5, 9, 4, 6, 1, 2, 3])
