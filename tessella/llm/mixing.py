@@ -99,7 +99,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
     budget = sum(r["size"] for r in totals)
     recipe = spark.createDataFrame([(r["source"], i, w, r["size"], t) for i, (r, w, t) in enumerate(zip(totals, by, targets, strict=True))], "source string, s long, weight double, source_size long, target double")
     shuffled = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8"))
-    dealt = rows.join(F.broadcast(recipe), rows["source"].eqNullSafe(recipe["source"])).select("doc_id", rows["source"], "size", "tie", "s", "weight", "source_size", "target", shuffled.alias("h"))
+    dealt = rows.join(F.broadcast(recipe) if len(totals) <= BROADCAST_ROWS else recipe, rows["source"].eqNullSafe(recipe["source"])).select("doc_id", rows["source"], "size", "tie", "s", "weight", "source_size", "target", shuffled.alias("h"))
     queued = running_sum(spark, dealt, ["s", "h", "doc_id", "tie"], "size", "sent", "s")
     queued = staged(spark, queued.withColumn("row", F.monotonically_increasing_id()), "queues")
     turn = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))

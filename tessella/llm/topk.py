@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, partitions, staged
 
 BLOCK_ROWS = 4096
+#: Vectors for which a partition of its own is worth while.
+LEAST_ROWS = 1024
 GROUP_QUERIES = 1024
 BINS = 256
 LONG = (1 << 63) - 1
@@ -108,7 +110,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale:
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((block, pa.int64()), (dim, pa.int32()), (np.array([i for i, _ in part], np.int64).tobytes(), pa.binary()), (data, pa.binary()), (norm, pa.float64()))], names=["block", "dim", "ids", "payload", "norm"])
                 block += 1 << 20
 
-    source = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v")).repartition(partitions(spark))
+    # Each block adds histogram rows of its own to every query, so a small table isn't cut into many.
+    dealt = max(1, min(partitions(spark), -(-vectors.count() // LEAST_ROWS)))
+    source = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v")).repartition(dealt)
     blocks = staged(spark, map_arrow(source, pack, "block long, dim int, ids binary, payload binary, norm double"), "blocks")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +132,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale:
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     groups = -(-n // GROUP_QUERIES)
-    spread = max(1, -(-2 * partitions(spark) // groups))
+    spread = max(1, min(-(-2 * partitions(spark) // groups), blocks.count()))
     most = longest * widest * (1 + 1e-9) + 2
     bound = int(most) if most < LONG // 2 else LONG // 2
     state = queries.select("uid", F.lit(-bound).cast("long").alias("lo"), F.lit(-(-(2 * bound + 1) // BINS)).cast("long").alias("width"))
