@@ -34,12 +34,12 @@ def policy_gather(scores: DataFrame, policy: DataFrame) -> DataFrame:
     missing = policy.join(scores.select("class_id", "pc").distinct(), ["class_id", "pc"], "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"no score rows for {[tuple(r) for r in missing]}")
-    return scores.join(F.broadcast(policy), ["class_id", "pc"])
+    return scores.join(policy, ["class_id", "pc"])
 
 
 def resolve_count(queries: DataFrame, policy: DataFrame, default: int, name: str = "name") -> DataFrame:
     """queries with pc: that of a known class name, else the default."""
-    return queries.join(F.broadcast(policy.select(name, "pc")), name, "left").withColumn("pc", F.coalesce("pc", F.lit(default)))
+    return queries.join(policy.select(name, "pc"), name, "left").withColumn("pc", F.coalesce("pc", F.lit(default)))
 
 
 def observation_ratio(selected: DataFrame, count: str = "selected_count", tiles: int = 100) -> DataFrame:

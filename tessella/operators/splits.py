@@ -62,7 +62,7 @@ def label_histogram(rows: DataFrame, classes: int, labels: str = "labels") -> Da
     n = rows.agg(F.count("*").alias("rows"))
     seen = rows.select(F.explode(labels).alias("label_id")).groupBy("label_id").agg(F.count("*").alias("c"))
     every = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("label_id"))
-    joined = every.join(F.broadcast(seen), "label_id", "left").join(F.broadcast(n))
+    joined = every.join(seen, "label_id", "left").join(F.broadcast(n))
     return joined.select("label_id", F.coalesce("c", F.lit(0)).cast("long").alias("count"), F.when(F.col("rows") > 0, F.coalesce("c", F.lit(0)) / F.col("rows")).otherwise(F.lit(0.0)).alias("ratio"))
 
 
@@ -85,5 +85,5 @@ def map_label_groups(rows: DataFrame, mapping: DataFrame, key: str, labels: str
     twice = mapping.groupBy("source_label").agg(F.count("*").alias("c")).where("c > 1").limit(5).collect()
     if twice:
         raise ValueError(f"mapped twice: {[r[0] for r in twice]}")
-    each = rows.select(key, F.explode_outer(labels).alias("source_label")).join(F.broadcast(mapping), "source_label", "left")
+    each = rows.select(key, F.explode_outer(labels).alias("source_label")).join(mapping, "source_label", "left")
     return each.groupBy(key).agg(F.array_sort(F.collect_set("group_id")).alias("groups"))

@@ -41,7 +41,7 @@ def read_manifest(spark: SparkSession, path: str, schema: str, required: list[st
     blocks = rows.groupBy("_0", "_1").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_0", "_1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("_0", "_1", (before - F.col("first")).alias("_shift"))
-    return rows.join(F.broadcast(blocks), ["_0", "_1"]).withColumn(out, (F.col("ord") + F.col("_shift")).cast("long")).drop("_0", "_1", "_shift", "ord")
+    return rows.join(blocks, ["_0", "_1"]).withColumn(out, (F.col("ord") + F.col("_shift")).cast("long")).drop("_0", "_1", "_shift", "ord")
 
 
 def read_scene_index(spark: SparkSession, path: str) -> DataFrame:
