@@ -7,7 +7,7 @@ Notices that are wrapped or stand in a longer line are found in windows of conse
 of their template.
 
 Whatever reaches t, a line, a window or a whole text, shares t / (2 - t) of its template's bigrams. So a text is only read closely if it has as many of them,
-and only normalised if it has one of a few words without which it can't have.
+and only normalised if it has as many of their words, among them one of a few without which it can't have enough.
 """
 
 from __future__ import annotations
@@ -60,15 +60,23 @@ def witnesses(grams: list[str], threshold: float) -> list[str]:
 
 def candidate(text: Column, grams: dict[str, list[str]], threshold: float) -> Column:
     """Whether a text has enough bigrams of a template, over its lines; null for a null text."""
-    words = sorted({w for g in grams.values() for w in witnesses(g, threshold)})
-    seen = F.exists(F.array(F.lower(text)), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in words)))
+
+    def may(t: Column) -> Column:
+        """Whether enough words of a template stand anywhere in t. The words of a template are linked by its bigrams, so each missing word takes one bigram at least."""
+        tests = []
+        for each in grams.values():
+            words = sorted({w for g in each for w in g.split(" ")})
+            least = len(words) - (len(each) - ceil(len(each) * threshold / (2 - threshold) - 1e-9))
+            one = reduce(or_, (F.contains(t, F.lit(w)) for w in witnesses(each, threshold)))
+            tests.append(one & (reduce(add, (F.contains(t, F.lit(w)).cast("int") for w in words)) >= least))
+        return reduce(or_, tests)
 
     def enough(t: Column) -> Column:
         has = {g: F.contains(t, F.lit(f" {g} ")).cast("int") for each in grams.values() for g in each}
         return reduce(or_, (reduce(add, (has[g] for g in each)) >= len(each) * threshold / (2 - threshold) - 1e-9 for each in grams.values()))
 
     flat = F.concat(F.lit(" "), F.translate(normalised(text), "\n", " "), F.lit(" "))
-    return seen & F.exists(F.array(F.regexp_replace(flat, " +", " ")), enough)
+    return F.exists(F.array(F.lower(text)), may) & F.exists(F.array(F.regexp_replace(flat, " +", " ")), enough)
 
 
 def _let(c: Column, f) -> Column:
@@ -108,7 +116,7 @@ def _windows(lines: Column, hits: Column, best, grams: dict[str, list[str]], thr
             return F.array_compact(_let(places, lambda p: F.transform(p, lambda at, i: ends(at, F.slice(p, i + 1, many)))))
 
         names = [name for name in sorted(grams) if " " in grams[name][0]]
-        whole = lambda words, at, line: _let(best(_bigrams(words)), lambda b: span(b["dice"], b["license"], F.size(words), at, line, True))
+        whole = lambda words, at, line: _let(_let(_bigrams(words), best), lambda b: span(b["dice"], b["license"], F.size(words), at, line, True))
         each = F.transform(lines, lambda w, i: F.when(F.size(w) > 1, whole(w, F.array_position(line_of, i) - 1, i)))
         taken = F.filter(F.concat(F.array(whole(words, F.lit(0), F.lit(-1))), F.array_compact(each)), lambda x: x["d"] <= -threshold)
 
