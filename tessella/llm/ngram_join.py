@@ -34,6 +34,8 @@ HOT, SALTS = 16, 1024
 #: Sets that a task remembers as sent already; copies of sets that it forgot are dropped after the shuffle.
 SEEN = 1 << 19
 _DOC, _HASH = 52, (1 << 52) - 1
+#: Bits of a shingle in a key.
+_SHINGLE = 48
 
 
 def shingles(c: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,10 +139,10 @@ def levels(counts: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, n: int, threshold: int, level: np.ndarray) -> DataFrame:
-    """(key, salt, set, n, hot) for the shingles in each set's prefix, once per set and batch.
+    """(key, set, n) for the shingles in each set's prefix, once per set and batch.
 
-    A key is hot in a batch if many sets have it there. Its sets then get a salt, so that no task has to read them all, and the smallest of them has a further row without salt
-    that tells so (hot): it goes where the key's sets from other batches are.
+    A shingle is hot in a batch if many sets have it there. Its sets then get a salt, so that no task has to read them all, and the smallest of them has a further row without salt
+    that tells so: it goes where the shingle's sets from other batches are. key holds salt, shingle, and 0 for such a row, else 1, from the upper bits down.
     """
     order, least = docs.sparkSession.sparkContext.broadcast(level), HOT
 
@@ -164,10 +166,10 @@ def postings(docs: DataFrame, n: int, threshold: int, level: np.ndarray) -> Data
                         new[i] = True
                 prefix = np.where(new, size - -(-threshold * size // 100) + 1, 0)
                 # Rarest level first, then by hash; 4 bits of the hash make room for the level.
-                key = doc.astype(U) << U(_DOC) | order.value[(h & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(48) | h >> U(4)
+                key = doc.astype(U) << U(_DOC) | order.value[(h & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(_SHINGLE) | h >> U(4)
                 key.sort()
                 at = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(prefix)[:-1]]), prefix) + np.arange(prefix.sum())
-                parts.append((key[at] & U((1 << 48) - 1), np.repeat(ident, prefix), np.repeat(size, prefix)))
+                parts.append((key[at] & U((1 << _SHINGLE) - 1), np.repeat(ident, prefix), np.repeat(size, prefix)))
             if not parts:
                 continue
             key, ident, size = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -178,10 +180,10 @@ def postings(docs: DataFrame, n: int, threshold: int, level: np.ndarray) -> Data
             hot = np.repeat(many >= least, many)
             salt = np.where(hot, 1 + (mix(ident) % U(SALTS)).astype(np.int64), 0)
             lead = opens[many >= least]
-            rows = ((np.r_[key, key[lead]], np.r_[salt, np.zeros(len(lead), np.int64)], np.r_[ident, ident[lead]], np.r_[size, size[lead]], np.r_[np.zeros(len(key), bool), np.ones(len(lead), bool)]))
-            yield pa.RecordBatch.from_arrays([longs(rows[0]), pa.array(rows[1].astype(np.int32)), longs(rows[2]), longs(rows[3]), pa.array(rows[4])], names=["key", "salt", "set", "n", "hot"])
+            packed = np.r_[salt.astype(U) << U(_SHINGLE + 1) | key << U(1) | U(1), key[lead] << U(1)]
+            yield pa.RecordBatch.from_arrays([longs(packed), longs(np.r_[ident, ident[lead]]), longs(np.r_[size, size[lead]])], names=["key", "set", "n"])
 
-    return map_arrow(docs.select("text"), run, "key long, salt int, `set` long, n long, hot boolean")
+    return map_arrow(docs.select("text"), run, "key long, `set` long, n long")
 
 
 def tiles(rows: DataFrame) -> DataFrame:
@@ -193,26 +195,27 @@ def tiles(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lead, lead_n, seen_set, lead_hot = None, 0, 0, 0, False
         for b in batches:
-            key, salt, flag, ident, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            if not len(key):
+            packed, ident, n = (b.column(i).to_numpy() for i in range(3))
+            if not len(packed):
                 continue
+            key, tells = packed >> 1, packed & 1 == 0
             opens = np.empty(len(key), bool)
-            opens[0] = last is None or key[0] != last[0] or salt[0] != last[1]
-            opens[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+            opens[0] = last is None or key[0] != last
+            opens[1:] = key[1:] != key[:-1]
             at = np.maximum.accumulate(np.where(opens, np.arange(len(key)), -1))
             a = np.where(at >= 0, ident[at], lead)
             na = np.where(at >= 0, n[at], lead_n)
             # Rows that tell that a key is hot come first.
-            hot = np.where(at >= 0, (flag == 0)[at], lead_hot) | (salt > 0)
+            hot = np.where(at >= 0, tells[at], lead_hot) | (key >> _SHINGLE > 0)
             before = np.concatenate([[seen_set if not opens[0] else ~ident[0]], ident[:-1]])
             again = ~opens & (ident == before)
-            keep = np.where(hot, ~again | (flag == 0), ~opens & (ident != a) & ~again)
-            last, lead, lead_n, seen_set, lead_hot = (key[-1], salt[-1]), a[-1], na[-1], ident[-1], hot[-1]
+            keep = np.where(hot, ~again | tells, ~opens & (ident != a) & ~again)
+            last, lead, lead_n, seen_set, lead_hot = key[-1], a[-1], na[-1], ident[-1], hot[-1]
             if keep.any():
                 key, a, ident, na, n, hot = (x[keep] for x in (key, a, ident, na, n, hot))
-                yield pa.RecordBatch.from_arrays([pa.array(key, mask=~hot), pa.array(a, mask=hot), pa.array(ident), pa.array(na, mask=hot), pa.array(n)], names=["key", "a", "b", "na", "nb"])
+                yield pa.RecordBatch.from_arrays([pa.array(key & ((1 << _SHINGLE) - 1), mask=~hot), pa.array(a, mask=hot), pa.array(ident), pa.array(na, mask=hot), pa.array(n)], names=["key", "a", "b", "na", "nb"])
 
-    dealt = rows.select("key", "salt", (~F.col("hot")).cast("int").alias("flag"), "set", "n").repartition("key", "salt").sortWithinPartitions("key", "salt", "flag", "n", "set")
+    dealt = rows.select("key", "set", "n").repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "n", "set")
     return map_arrow(dealt, run, "key long, a long, b long, na long, nb long")
 
 
