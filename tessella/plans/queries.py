@@ -319,6 +319,62 @@ def tag_whitelist(spark, sf_dir):
     return tagged_parts(spark, sf_dir).select("p_partkey", T.whitelisted(F.col("tags"), keys).alias("kept"))
 
 
+def rule_pairs() -> list[tuple[str, str]]:
+    """Tags that the rules ask for: every key and value, lists for tokens, and one key that no rule has."""
+    found = {("name", "none")}
+    for line in T.RULES_66.strip().splitlines():
+        for term in (t.strip().lstrip("!") for t in line.split(": ", 1)[1].replace(" / ", " + ").split(" + ")):
+            if term.startswith("*"):
+                found.add((term[1:], "yes"))
+            elif "~" in term:
+                key, token = term.split("~")
+                found |= {(key, token), (key, f"golf; {token}"), (key, f"table_{token}"), (key, f"table_{token},chess")}
+            elif not term.startswith("@"):
+                key, values = term.split("=")
+                found |= {(key, v) for v in values.split("|")}
+    return sorted(found)
+
+
+def rule_sql(line: str, table: dict[str, str]) -> str:
+    """A rule as SQL over a map called tags."""
+
+    def term(t: str) -> str:
+        t = t.strip()
+        if t[0] == "!":
+            return f"NOT ({term(t[1:])})"
+        if t[0] == "*":
+            return f"list_contains(map_keys(tags), '{t[1:]}')"
+        if t[0] == "@":
+            return f"({rule_sql(table[t[1:]], table)})"
+        key, token = t.replace("~", "=").split("=")
+        raw = f"coalesce(tags['{key}'], '')"
+        if "~" not in t:
+            return f"{raw} IN ({', '.join(repr(v) for v in token.split('|'))})"
+        cut = " ".join(f"WHEN contains({raw}, '{x}') THEN list_contains(list_transform(string_split({raw}, '{x}'), lambda y: trim(y)), '{token}')" for x in T.SEPARATORS)
+        return f"CASE {cut} ELSE contains({raw}, '{token}') END"
+
+    return " OR ".join("(" + " AND ".join(map(term, a.split(" + "))) + ")" for a in line.split(" / "))
+
+
+_PAIRS = rule_pairs()
+_TABLE = dict(line.split(": ", 1) for line in T.RULES_66.strip().splitlines())
+
+
+@query(f"""WITH p AS (SELECT [{", ".join(f"['{k}', '{v}']" for k, v in _PAIRS)}] AS pairs),
+  l AS (SELECT l_orderkey, l_linenumber, pairs[1 + (l_orderkey * 7 + l_linenumber) % {len(_PAIRS)}] AS a, pairs[1 + (l_orderkey * 7 + l_linenumber) // {len(_PAIRS)} % {len(_PAIRS)}] AS b FROM lineitem, p),
+  t AS (SELECT l_orderkey, l_linenumber, CASE WHEN a[1] = b[1] THEN MAP([a[1]], [a[2]]) ELSE MAP([a[1], b[1]], [a[2], b[2]]) END AS tags FROM l)
+  SELECT l_orderkey, l_linenumber, array_to_string(list_filter([{", ".join(f"CASE WHEN {rule_sql(r, _TABLE)} THEN {i} END" for i, r in enumerate(_TABLE.values()))}], lambda x: x IS NOT NULL), ',') AS classes
+  FROM t WHERE len(list_intersect(map_keys(tags), [{", ".join(f"'{k}'" for k in T.TAG_KEYS)}])) > 0""")
+def tag_all_classes(spark, sf_dir):
+    """All rules and the whole list of keys, over pairs of tags that the rules ask for."""
+    n = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _PAIRS))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.get(pairs, (n % len(_PAIRS)).cast("int")).alias("a"), F.get(pairs, (F.floor(n / len(_PAIRS)) % len(_PAIRS)).cast("int")).alias("b"))
+    tags = F.when(F.col("a.k") == F.col("b.k"), F.map_from_entries(F.array("a"))).otherwise(F.map_from_entries(F.array("a", "b")))
+    rows = rows.withColumn("tags", tags).where(T.whitelisted(F.col("tags")))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(F.transform(T.classify(F.col("tags")), lambda c: c.cast("string")), ",").alias("classes"))
+
+
 # Space: customers as features, suppliers as scenes.
 
 SPACING = 0.24
