@@ -437,9 +437,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, threshold:
     of such rows alone has a null id. root names the component. Other columns are ignored; an empty table gives no row. copies: rows with the same set. Sets are named by
     64-bit hashes and shingles compared by 52 bits of theirs.
     """
-    rows = staged(spark, described(docs, n), "described")
-    order = levels(rows.where("kind = 1"))
-    rows = rows.where("kind = 0").drop("kind")
+    told = staged(spark, described(docs, n), "described")
+    order = levels(told.where("kind = 1"))
+    rows = told.where("kind = 0").drop("kind")
     sets = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     sets = staged(spark, sets, "sets")
     stars = led(spark, tiles(postings(docs, n, threshold, order)))
@@ -449,20 +449,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, threshold:
     groups = staged(spark, components(spark, links), "groups")
     more = staged(spark, rivals(spark, stars, groups, sets, threshold), "rivals")
     if not more.isEmpty():
-        first, links = links, links.unionByName(staged(spark, tile_links(spark, docs, sets, more, n, threshold), "links"))
-        groups = staged(spark, components(spark, links), "groups")
-        forget(spark, first)
-    forget(spark, stars, best, more)
+        forget(spark, groups)
+        further = staged(spark, tile_links(spark, docs, sets, more, n, threshold), "links")
+        groups = staged(spark, components(spark, links.unionByName(further)), "groups")
+        forget(spark, further)
+    forget(spark, stars, best, links, more)
     named = sets.select("set", "doc_id", "copies").join(groups, sets["set"] == groups["node"], "left").select("set", "doc_id", "copies", F.coalesce("root", "set").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "root").select("set", "root", "component_id", "copies")
     out = rows.join(named, "set", "left")
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "root")
+    out = out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "root")
+    out = staged(spark, out, "near")
+    forget(spark, told, sets, groups)
+    return out
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id (null last; of several such rows, the one with the smallest hash). Rows without words all stay."""
-    found = staged(spark, near_duplicates(spark, docs, **parameters), "found")
+    found = near_duplicates(spark, docs, **parameters)
     firsts = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("k"), F.count("*").alias("rows"))
     times = found.where("n_shingles > 0").groupBy("row").agg(F.count("*").alias("times"))
     firsts = firsts.select(F.col("k.row").alias("row")).join(times, "row")
