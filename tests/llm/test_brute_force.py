@@ -297,6 +297,27 @@ def test_license_candidates_lose_nothing(spark):
     assert licenses.scan_licenses(docs, templates=()).count() == 0
 
 
+def test_whole_license_texts(spark):
+    """Texts of realistic length: wrapped at 70 characters, after a copyright line, with some words changed, between prose."""
+    import textwrap
+
+    rng = random.Random(31)
+    long = {name: text for name, text in licenses.TEMPLATES if len(text.split()) > 60}
+    rows, want = [], {}
+    for i, (name, text) in enumerate(sorted(long.items())):
+        words = text.split()
+        for j in rng.sample(range(len(words)), 3):
+            words[j] = "changed"
+        wrapped = "\n".join(textwrap.wrap(" ".join(words), 70))
+        rows.append((i, f"{prose(rng, 40)}\nCopyright 2024 A. Uthor\n{wrapped}\n{prose(rng, 300)}"))
+        rows.append((100 + i, f"{prose(rng, 200)}\n{' '.join(words[: len(words) // 3])}"))
+        want[i] = name
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["license"]) for r in got}
+    assert set(want.items()) <= found
+    assert not any(d >= 100 and name in long for d, name in found)
+
+
 def test_mixing_of_very_long_texts(spark):
     docs = spark.createDataFrame([(1, "w " * 200000, "a"), (2, "w", None), (3, None, "b"), (4, "é\x0bü " * 10, "a")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["copies_taken"] for r in mixing.mix(spark, docs).collect()}
