@@ -84,7 +84,7 @@ def witnesses(grams: list[str], threshold: float) -> list[str]:
     left, chosen = [g.split(" ") for g in grams], []
     while len(left) > most:
         # Long words are rare as a rule.
-        chosen.append(max(sorted({w for g in left for w in g}), key=lambda w: (sum(w in g for g in left) * len(w), w)))
+        chosen.append(max(sorted({w for g in left for w in g}), key=lambda w: (sum(w in g for g in left) * len(w) ** 4, w)))
         left = [g for g in left if chosen[-1] not in g]
     return chosen
 

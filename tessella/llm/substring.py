@@ -174,8 +174,8 @@ def _neighbours(start: pa.ListArray, n: pa.ListArray) -> tuple[np.ndarray, np.nd
     return at, s, m, follows
 
 
-def paths(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """(path, row, start, n): the nonbranching paths along the edges of each text; path names the edges on it."""
+def paths(spark: SparkSession, texts: DataFrame, window: int) -> DataFrame:
+    """(row, claims): the nonbranching paths along the edges of each text, as structs of span (first word << 32 | number of words) and path, which names the edges on it."""
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,9 +227,11 @@ def paths(spark: SparkSession, texts: DataFrame) -> DataFrame:
             total = np.add.reduceat(m, first)
             last = np.r_[first[1:], len(edge)] - 1
             name = mix(mix(edge[first]) + edge[last] + mix(total.astype(U) << U(32) | (last - first).astype(U)))
-            yield pa.RecordBatch.from_arrays([longs(name), pa.array(np.repeat(b.column(0).to_numpy(), np.diff(at))[first]), pa.array(s[first].astype(np.int32)), pa.array(total.astype(np.int32))], names=["path", "row", "start", "n"])
+            claims = pa.StructArray.from_arrays([pa.array(s[first] << 32 | total + (window - 1)), longs(name)], names=["span", "path"])
+            # No list of edges is empty, so each text has as many claims as paths begin between its edges.
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(np.diff(np.searchsorted(first, at)), claims)], names=["row", "claims"])
 
-    found = staged(spark, map_arrow(joined, compact, "path long, row long, start int, n int"), "paths")
+    found = staged(spark, map_arrow(joined, compact, "row long, claims array<struct<span:bigint,path:bigint>>"), "paths")
     known.destroy()
     return found
 
@@ -258,9 +260,8 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _claims(spans: DataFrame) -> DataFrame:
-    """(row, claims): the spans (row, start, words, path) of each text, as structs of start << 32 | words, and path."""
-    packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("words").cast("long"))
-    return spans.groupBy("row").agg(F.collect_list(F.struct(packed.alias("span"), F.col("path"))).alias("claims"))
+    """(row, claims) of (row, span, path)."""
+    return spans.groupBy("row").agg(F.collect_list(F.struct("span", "path")).alias("claims"))
 
 
 def _read(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,7 +331,7 @@ class _Cutter:
         return map_arrow(self.joined(bits, claims, names), run, schema).unionByName(self.split(bits, False, names, run, schema))
 
     def by_words(self, bits, claims: DataFrame, window: int) -> DataFrame:
-        """(row, start, words, path) of the windows under the claims whose words come again, compared by a digest of the words themselves."""
+        """(row, span, path) of the windows under the claims whose words come again, compared by a digest of the words themselves."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -343,7 +344,8 @@ class _Cutter:
 
         found = staged(self.rows.sparkSession, map_arrow(self.joined(bits, claims, ["text"]), run, "row long, start int, digest binary"), "digests")
         again = found.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
-        return found.join(again, "digest", "left_semi").select("row", "start", F.lit(window).alias("words"), F.lit(0).cast("long").alias("path"))
+        span = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.lit(window).cast("long"))
+        return found.join(again, "digest", "left_semi").select("row", span.alias("span"), F.lit(0).cast("long").alias("path"))
 
 
 def _removed(spark: SparkSession, docs: DataFrame, window: int, k: int, hash_bits: int) -> tuple[DataFrame, list[str]]:
@@ -351,29 +353,30 @@ def _removed(spark: SparkSession, docs: DataFrame, window: int, k: int, hash_bit
     row = distinct_name(docs, "_row")
     rows = staged(spark, docs.withColumn(row, F.monotonically_increasing_id()), "texts")
     texts = staged(spark, by_row(edges(spark, rows.select("text", F.col(row).alias("row")), window, k, hash_bits)), "edges")
-    paths_of = paths(spark, texts)
-    found = paths_of.select("row", "start", (F.col("n") + (window - 1)).alias("words"), "path")
+    found = paths(spark, texts, window)
+    forget(spark, texts)
     cutter = _Cutter(rows, row)
 
-    def settled(spans: DataFrame) -> DataFrame:
+    def settled(claims: DataFrame) -> DataFrame:
         # Most texts have no repeated span: only those whose bit is set are sent to where their spans are.
-        claims = staged(spark, _claims(spans), "claims")
         bits = spark.sparkContext.broadcast(bit_filter(claims, "row"))
         out = staged(spark, cutter.cut(bits, claims), "cut")
         bits.destroy()
-        forget(spark, claims)
         return out
 
-    forget(spark, texts)
     out = settled(found)
     proofs = out.select(F.inline(cutter.added[3])).groupBy("path").agg(F.sum("times").alias("c"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
     wrong = staged(spark, proofs.where("c < 2 OR d0 <> d1").select("path"), "wrong")
     if not wrong.isEmpty():
-        claims = staged(spark, _claims(found.join(wrong, "path", "left_semi")), "claims")
-        bits = spark.sparkContext.broadcast(bit_filter(claims, "row"))
         forget(spark, out)
-        out = settled(found.join(wrong, "path", "left_anti").unionByName(cutter.by_words(bits, claims, window)))
-    forget(spark, rows, paths_of, wrong)
+        each = found.select("row", F.inline("claims"))
+        doubtful = staged(spark, _claims(each.join(wrong, "path", "left_semi")), "claims")
+        bits = spark.sparkContext.broadcast(bit_filter(doubtful, "row"))
+        sure = each.join(wrong, "path", "left_anti").select("row", "span", "path")
+        claims = staged(spark, _claims(sure.unionByName(cutter.by_words(bits, doubtful, window))), "claims")
+        out = settled(claims)
+        forget(spark, doubtful, claims)
+    forget(spark, rows, found, wrong)
     return out, cutter.added[:3]
 
 
