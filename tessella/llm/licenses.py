@@ -7,7 +7,7 @@ Notices that are wrapped or stand in a longer line are found in windows of conse
 of their template.
 
 Whatever reaches t, a line, a window or a whole text, shares t / (2 - t) of its template's bigrams. So a text is only read closely if it has as many of them,
-and only normalised if it has as many of their words, among them one of a few without which it can't have enough.
+and the words for that.
 """
 
 from __future__ import annotations
@@ -78,36 +78,33 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words))
 
 
-def witnesses(grams: list[str], threshold: float) -> list[str]:
-    """Words of which a text has one at least, if it has t / (2 - t) of these bigrams: the bigrams without them are fewer than that."""
-    most = ceil(len(grams) * threshold / (2 - threshold) - 1e-9) - 1  # bigrams that may be left without a witness
-    left, chosen = [g.split(" ") for g in grams], []
-    while len(left) > most:
-        # Long words are rare as a rule.
-        chosen.append(max(sorted({w for g in left for w in g}), key=lambda w: (sum(w in g for g in left) * len(w) ** 4, w)))
-        left = [g for g in left if chosen[-1] not in g]
-    return chosen
+def words_of(text: Column) -> Column:
+    """The words of a text over all its lines; the first and the last may be empty."""
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
+def least_words(grams: list[str], threshold: float) -> int:
+    """How many words of a template stand in whatever has t / (2 - t) of its bigrams, at least: the bigrams link all its words, so each that is missing takes one of them."""
+    return len({w for g in grams for w in g.split(" ")}) - (len(grams) - ceil(len(grams) * threshold / (2 - threshold) - 1e-9))
 
 
 def candidate(text: Column, grams: dict[str, list[str]], threshold: float) -> Column:
-    """Whether a text has enough bigrams of a template, over its lines; null for a null text."""
+    """Whether a text has enough words, and then enough bigrams, of a template; null for a null text."""
+    lits = lambda values: F.array(*map(F.lit, sorted(values)))
+    words = {name: {w for g in each for w in g.split(" ")} for name, each in grams.items()}
+    known, pairs = lits(set().union(*words.values())), lits(set().union(*grams.values()))
+
+    def reach(found: Column, sets: dict, least: dict) -> Column:
+        return reduce(or_, (F.size(F.array_intersect(found, lits(sets[name]))) >= least[name] - 1e-9 for name in grams))
 
-    def may(t: Column) -> Column:
-        """Whether enough words of a template stand anywhere in t. The words of a template are linked by its bigrams, so each missing word takes one bigram at least."""
-        tests = []
-        for each in grams.values():
-            words = sorted({w for g in each for w in g.split(" ")})
-            least = len(words) - (len(each) - ceil(len(each) * threshold / (2 - threshold) - 1e-9))
-            one = reduce(or_, (F.contains(t, F.lit(w)) for w in witnesses(each, threshold)))
-            tests.append(one & (reduce(add, (F.contains(t, F.lit(w)).cast("int") for w in words)) >= least))
-        return reduce(or_, tests)
+    some = {name: least_words(each, threshold) for name, each in grams.items()}
+    enough = {name: len(each) * threshold / (2 - threshold) for name, each in grams.items()}
+    one = lambda c, test: F.exists(F.array(c), test)
 
-    def enough(t: Column) -> Column:
-        has = {g: F.contains(t, F.lit(f" {g} ")).cast("int") for each in grams.values() for g in each}
-        return reduce(or_, (reduce(add, (has[g] for g in each)) >= len(each) * threshold / (2 - threshold) - 1e-9 for each in grams.values()))
+    def may(w: Column) -> Column:
+        return one(F.array_intersect(w, known), lambda f: (F.size(f) >= min(some.values())) & reach(f, words, some)) & one(F.array_intersect(_bigrams(w), pairs), lambda f: reach(f, grams, enough))
 
-    flat = F.concat(F.lit(" "), F.translate(normalised(text), "\n", " "), F.lit(" "))
-    return F.exists(F.array(F.lower(text)), may) & F.exists(F.array(F.regexp_replace(flat, " +", " ")), enough)
+    return one(words_of(text), may)
 
 
 def _let(c: Column, f) -> Column:
@@ -179,6 +176,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     if not grams:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, line_no long, license string, dice double")
     docs = docs.where(candidate(F.col("text"), grams, threshold))
+    pairs = sorted(set().union(*grams.values()))
     least = min(map(len, grams.values())) * threshold / (2 - threshold)
     most = max(map(len, grams.values())) * (2 - threshold) / threshold
     rows = docs.select("doc_id", F.transform(F.split(normalised(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != "")).alias("lines"))
@@ -191,7 +189,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     def best(mine: Column) -> Column:
         """The greatest coefficient; of equal ones the first in order of name."""
         scored = F.array_compact(F.array(*(dice(name, mine) for name in sorted(grams))))
-        return F.aggregate(scored, F.expr("named_struct('dice', -1.0D, 'license', '')"), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
+        none = F.expr("named_struct('dice', -1.0D, 'license', '')")
+        # Most lines have no bigram of any template.
+        return F.when(F.exists(mine, lambda g: g.isin(pairs)), F.aggregate(scored, none, lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))).otherwise(none)
 
     # Every word but the first that is new to a line makes a new bigram, so many distinct words are too many bigrams.
     numbered = F.transform("lines", lambda w, i: F.struct(i.cast("long").alias("line_no"), w.alias("words")))
