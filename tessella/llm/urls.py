@@ -17,35 +17,39 @@ from .words import VALUE, U, _bytes, mix
 #: (verdict, host, path) of each rule.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: The labelled table: invented sites by name. Both kinds get the same forms in turn, so that it is the names that tell.
+#: The labelled table: invented sites. Names of both kinds are made of a word and an affix, and get the same forms in turn, so that it is the words that tell.
 FORMS = (
     "http://{}.com/en/1", "https://www.{}.net/de/22", "https://{}.org/2021/03/page.html", "http://m.{}.com/fr/7/", "https://blog.{}.net/item?id=4", "https://{}.example.org/en/9#top", "http://{}.example.com/es/318",
-    "https://{}.info/a/b/c", "https://{}.example.net/",
+    "https://{}.info/a/b/c", "https://{}.example.net/", "https://www.{}.org/news/", "http://{}.net/index",
 )
-UNWANTED_NAMES = (
-    "adult-videos", "adultchat", "free-adult-cams", "hot-adult-dating", "xxx-movies", "xxxtube", "live-sex-cams", "sexdating", "porn-hd", "pornstars", "nude-pics", "escort-girls",
-    "casino-online", "royalcasino", "best-casino-bonus", "casinoslots", "poker-bonus", "online-poker-room", "jackpot-slots", "slot-machines", "sportsbets", "bet-now", "betting-tips", "live-bets", "bingo-bonus",
-    "win-money", "win-big-prizes", "lottery-win", "instant-win", "cheap-viagra", "viagra-online", "buy-cheap-meds", "pills-online", "diet-pills", "pharma-discount", "cialis-pharmacy", "cheap-rolex", "replica-watches",
-    "payday-loans", "quick-cash-loans", "work-from-home-cash", "get-rich-fast", "free-iphone", "free-gift-cards", "click-here-to-win", "ad-server", "adclicks", "ads-network", "popup-ads", "track-clicks", "pixel-tracker",
-    "click-track", "banner-ads", "spam-mailer", "spamlinks", "bulk-email-spam", "link-farm", "backlinks-farm", "content-farm", "warez-downloads", "cracked-games", "keygen-serial", "free-movies-torrent",
-    "phishing-login", "account-verify-login", "malware-codec", "free-virus-scan", "cheap-hosting-spam",
+AFFIXES = ("{}", "free-{}", "{}-online", "best-{}", "my{}", "cheap-{}", "{}24", "{}-now", "the-{}", "{}-club", "hot-{}", "{}hub", "new-{}")
+UNWANTED_WORDS = (
+    "adult", "sex", "xxx", "porn", "escort", "nude", "dating", "casino", "poker", "slots", "bingo", "jackpot", "bets", "betting", "lottery", "roulette", "viagra", "cialis", "pills", "pharma", "diet-pills",
+    "replica", "rolex", "loans", "payday", "fast-cash", "prizes", "ads", "adserver", "banner", "popup", "clicks", "tracker", "tracking", "spam", "spam-mail", "backlinks", "link-farm", "warez", "cracked", "keygen",
+    "torrent", "phishing", "malware",
 )
+WANTED_WORDS = (
+    "library", "university", "museum", "history", "gardening", "news", "herald", "weather", "recipes", "kitchen", "hospital", "atlas", "poetry", "choir", "railway", "river", "mountain", "winter", "north", "theatre", "thistle",
+    "leather", "brother", "mother", "together", "another", "hearth", "anthem", "methods", "earth", "athletics", "ethics", "rhythm", "author", "worth", "strength", "orchestra", "southern", "station", "nation",
+    "fiction", "lecture", "teaching", "learning", "reader", "writer", "listener", "painter", "engineer", "shore", "heritage", "reference", "interest", "story", "parish", "harvest",
+)
+#: Further names of wanted sites: plain words, also such as share letters with unwanted ones.
 WANTED_NAMES = (
-    "city-library", "university-press", "science-museum", "history-journal", "gardening", "daily-news", "morning-herald", "weather", "recipes", "the-cookbook", "hospital", "open-atlas", "poetry", "choir", "railways",
-    "river-walks", "mountain-huts", "winter-sports", "north-coast", "thirteen-moons", "theatre", "thistle", "leather-craft", "brother-and-sister", "motherhood", "fatherhood", "together", "another-world", "hearth", "anthem",
-    "methods", "earth-science", "athletics", "ethics-forum", "rhythm", "author-notes", "worth-reading", "strength", "youth-orchestra", "southern-trails", "art-history", "birdwatching", "seashore", "astronomy",
-    "station", "nation", "fiction", "lectures", "teaching", "learning", "reader", "writers", "listener", "painters", "engineering", "ornithology", "shoreline", "heritage", "reference", "interest", "storyteller",
-    "parish", "harvest", "dairy-farmers", "farmhouse", "window-gardens", "winery", "tracks-and-trails", "addresses", "roads", "ballads", "windmill", "shepherd", "chess-club", "freedom", "freight", "better-health",
-    "alphabet", "tibet-travel", "pillar", "spanish-course", "slope", "sextant", "expedition", "adulthood", "oceans", "teapots", "courthouse", "parliament", "council", "statistics", "mathematics", "herbarium",
-    "orchards", "thermal-baths", "lighthouse", "inland-waters", "tin-mines", "eastern-light", "hand-tools", "on-the-shore", "the-other-side", "an-hour", "read-and-listen", "into-the-north", "heron", "tides",
+    "city-library", "science-museum", "morning-herald", "the-cookbook", "river-walks", "mountain-huts", "winter-sports", "north-coast", "thirteen-moons", "brother-and-sister", "fatherhood", "another-world",
+    "earth-science", "author-notes", "worth-reading", "youth-orchestra", "southern-trails", "art-history", "birdwatching", "seashore", "astronomy", "ornithology", "storyteller", "dairy-farmers", "farmhouse",
+    "window-gardens", "winery", "tracks-and-trails", "addresses", "roads", "ballads", "windmill", "shepherd", "chess-club", "freedom", "freight", "better-health", "alphabet", "tibet-travel", "pillar",
+    "spanish-course", "slope", "sextant", "expedition", "adulthood", "oceans", "teapots", "courthouse", "council", "statistics", "mathematics", "herbarium", "thermal-baths", "lighthouse", "inland-waters",
+    "tin-mines", "eastern-light", "hand-tools", "on-the-shore", "the-other-side", "an-hour", "read-and-listen", "into-the-north", "heron", "tides", "in-the-thick", "thatched-roofs", "that-and-this", "here-and-there",
 )
 
 
-def listed(names: tuple[str, ...]) -> tuple[str, ...]:
+def listed(words: tuple[str, ...], each: int, names: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """URLs of `each` names of every word, and of the names."""
+    names = [*(AFFIXES[(each * i + j) % len(AFFIXES)].format(word) for i, word in enumerate(words) for j in range(each)), *names]
     return tuple(FORMS[i % len(FORMS)].format(name) for i, name in enumerate(names))
 
 
-UNWANTED, WANTED = listed(UNWANTED_NAMES), listed(WANTED_NAMES)
+UNWANTED, WANTED = listed(UNWANTED_WORDS, 3), listed(WANTED_WORDS, 2, WANTED_NAMES)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -92,7 +96,7 @@ class UrlModel:
 
     sizes: tuple[int, ...] = (3, 4)
     bits: int = 14
-    l2: float = 1e-4
+    l2: float = 1e-3
     steps: int = 1500
     rate: float = 1.0
 
