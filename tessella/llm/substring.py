@@ -197,17 +197,22 @@ def paths(spark: SparkSession, texts: DataFrame, window: int) -> DataFrame:
     known = spark.sparkContext.broadcast(bit_filter(nodes, "edge"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each edge of a text that may branch, once, however often it comes."""
         for b in batches:
             at, edge = _flat(b.column(1))
-            edge = edge.to_numpy()
-            keep = np.flatnonzero(_in(known.value, edge))
-            row = np.repeat(b.column(0).to_numpy(), np.diff(at))[keep]
-            i = (np.arange(len(edge)) - np.repeat(at[:-1], np.diff(at)))[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(i.astype(np.int32)), pa.array(edge[keep])], names=["row", "i", "edge"])
-
-    met = map_arrow(texts.select("row", "edge"), places, "row long, i int, edge long").join(nodes, "edge")
-    marks = met.select("row", (F.col("i") * 4 + F.col("before").cast("int") * 2 + F.col("after").cast("int")).alias("mark")).groupBy("row").agg(F.collect_list("mark").alias("marks"))
-    joined = texts.join(marks, "row", "left").select("row", "start", "n", "edge", F.coalesce("marks", F.expr("cast(array() as array<int>)")).alias("marks"))
+            row, edge = np.repeat(b.column(0).to_numpy(), np.diff(at)), edge.to_numpy()
+            keep = _in(known.value, edge)
+            row, edge = row[keep], edge[keep]
+            order = np.lexsort((edge, row))
+            row, edge = row[order], edge[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (edge[1:] != edge[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(edge[first])], names=["row", "edge"])
+
+    met = map_arrow(texts.select("row", "edge"), places, "row long, edge long").join(nodes, "edge")
+    side = (F.col("before").cast("int") * 2 + F.col("after").cast("int")).alias("side")
+    marks = met.groupBy("row").agg(F.collect_list(F.struct("edge", side)).alias("marks"))
+    joined = texts.join(marks, "row", "left").select("row", "start", "n", "edge", F.coalesce("marks", F.expr("cast(array() as array<struct<edge:bigint,side:int>>)")).alias("marks"))
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,14 +220,17 @@ def paths(spark: SparkSession, texts: DataFrame, window: int) -> DataFrame:
             edge = _flat(b.column(3))[1].to_numpy().view(U)
             if not len(edge):
                 continue
-            marked, mark = _flat(b.column(4))
-            mark = mark.to_numpy().astype(np.int64)
-            place = np.repeat(at[:-1], np.diff(marked)) + mark // 4
-            before, after = np.zeros(len(edge), bool), np.zeros(len(edge), bool)
-            before[place[mark & 2 > 0]] = True
-            after[place[mark & 1 > 0]] = True
-            opens = ~follows | before
-            opens[1:] |= after[:-1]
+            marked, mark, side = _read(b.column(4))
+            # A text's edges are looked up among its marks, by text and edge.
+            kinds = np.unique(edge)
+            key = np.repeat(np.arange(b.num_rows), np.diff(at)) * len(kinds) + np.searchsorted(kinds, edge)
+            known_key = np.repeat(np.arange(b.num_rows), np.diff(marked)) * len(kinds) + np.searchsorted(kinds, mark.view(U))
+            order = np.argsort(known_key)
+            known_key, side = np.append(known_key[order], -1), np.append(side[order], 0)
+            at_mark = np.searchsorted(known_key[:-1], key)
+            own = np.where(known_key[at_mark] == key, side[at_mark], 0)
+            opens = ~follows | (own & 2 > 0)
+            opens[1:] |= own[:-1] & 1 > 0
             first = np.flatnonzero(opens)
             total = np.add.reduceat(m, first)
             last = np.r_[first[1:], len(edge)] - 1
