@@ -128,7 +128,8 @@ def _windows(lines: Column, hits: Column, best, grams: dict[str, list[str]], thr
     """array<struct<line_no, license, dice>>: windows, the best first, none of which overlaps a better one or a line that says the same or more."""
 
     def span(dice: Column, license: Column, size: Column, at: Column, line: Column, whole: bool) -> Column:
-        return F.struct((-dice).alias("d"), license.alias("license"), size.cast("int").alias("size"), at.cast("int").alias("at"), line.cast("long").alias("line_no"), F.lit(whole).alias("whole"))
+        # The order of windows: the best, of equal ones the longest, of these the first by name.
+        return F.struct((-dice).alias("d"), (-size).cast("int").alias("shorter"), license.alias("license"), size.cast("int").alias("size"), at.cast("int").alias("at"), line.cast("long").alias("line_no"), F.lit(whole).alias("whole"))
 
     def found(words: Column, line_of: Column) -> Column:
         def of(name: str) -> Column:

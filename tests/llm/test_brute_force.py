@@ -315,10 +315,13 @@ def test_whole_license_texts(spark):
         rows.append((i, f"{prose(rng, 40)}\nCopyright 2024 A. Uthor\n{wrapped}\n{prose(rng, 300)}"))
         rows.append((100 + i, f"{prose(rng, 200)}\n{' '.join(words[: len(words) // 3])}"))
         want[i] = name
+        rows.append((200 + i, f"{prose(rng, 40)} {text} {prose(rng, 40)}"))
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # What a text says as a whole goes before the shorter notice that it holds.
+    assert {(r["doc_id"], r["license"], r["dice"]) for r in got if r["doc_id"] >= 200} == {(200 + i, name, 1.0) for i, name in enumerate(sorted(long))}
     found = {(r["doc_id"], r["license"]) for r in got}
     assert set(want.items()) <= found
-    assert not any(d >= 100 and name in long for d, name in found)
+    assert not any(100 <= d < 200 and name in long for d, name in found)
 
 
 def test_mixing_of_very_long_texts(spark):
