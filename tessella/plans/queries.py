@@ -498,7 +498,7 @@ def box_features(spark, sf_dir) -> DataFrame:
 
 def box_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     foot = spark.createDataFrame([((0.5, 0.0, 9.4, 9.9),)], "box struct<x0:double,y0:double,x1:double,y1:double>")
-    tile_foot = spark.createDataFrame([((0.0, 2.001, 9.0, 9.9),)], "box struct<x0:double,y0:double,x1:double,y1:double>")
+    tile_foot = spark.createDataFrame([((0.0, 2.0005, 9.0, 9.9),)], "box struct<x0:double,y0:double,x1:double,y1:double>")
     return pipelines.build_index(box_features(spark, sf_dir), "all", foot, tile_foot, halfwidth=_REACH / 10, spacing=0.5)
 
 
@@ -525,7 +525,7 @@ def index_boxes(spark, sf_dir):
 
 @query(f"""WITH {_INDEX},
   ti AS (SELECT patch_id, t, lon - {_REACH}::DOUBLE + t % 10 * {_REACH / 5}::DOUBLE AS x0, lat + {_REACH}::DOUBLE - (t // 10 + 1) * {_REACH / 5}::DOUBLE AS y0, center FROM id JOIN pa USING (center), range(0, 100) r(t)),
-  kept AS (SELECT * FROM ti WHERE y0 + {_REACH / 5}::DOUBLE >= 2.001::DOUBLE AND x0 <= 9.0::DOUBLE),
+  kept AS (SELECT * FROM ti WHERE y0 + {_REACH / 5}::DOUBLE >= 2.0005::DOUBLE AND x0 <= 9.0::DOUBLE),
   ta AS (SELECT patch_id, t, unnest(cl) AS class_id, greatest(least(x0 + {_REACH / 5}::DOUBLE, lon + {_HALF}::DOUBLE) - greatest(x0, lon - {_HALF}::DOUBLE), 0)
       * greatest(least(y0 + {_REACH / 5}::DOUBLE, lat + {_HALF}::DOUBLE) - greatest(y0, lat - {_HALF}::DOUBLE), 0) AS a FROM kept JOIN ov USING (center)),
   tc AS (SELECT patch_id, t, class_id, sum(a) AS a FROM ta WHERE a > 1e-12 GROUP BY ALL),
