@@ -263,12 +263,12 @@ def pool_modes(spark, sf_dir):
 
 @query("""WITH g AS (SELECT c_nationkey AS sample_idx, CAST(c_custkey % 7 AS INTEGER) AS r, CAST(c_custkey // 7 % 7 AS INTEGER) AS c, avg(c_acctbal) AS v FROM customer GROUP BY ALL),
   b AS (SELECT i, i * 7 // 3 AS s, -((-(i + 1) * 7) // 3) AS e0, CAST(ceil((i + 1) * 7 / 3.0) AS BIGINT) AS e FROM range(0, 3) t(i))
-  SELECT sample_idx, CAST(x.i AS INTEGER) AS "row", CAST(y.i AS INTEGER) AS col, round(avg(v), 4) AS value
+  SELECT sample_idx, CAST(x.i AS INTEGER) AS "row", CAST(y.i AS INTEGER) AS col, round(avg(v), 8) AS value
   FROM g JOIN b x ON r >= x.s AND r < x.e JOIN b y ON c >= y.s AND c < y.e GROUP BY ALL""")
 def adaptive_pool(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     cells = c.groupBy(F.col("c_nationkey").alias("sample_idx"), (F.col("c_custkey") % 7).cast("int").alias("row"), (F.floor(F.col("c_custkey") / 7) % 7).cast("int").alias("col")).agg(F.avg("c_acctbal").alias("value"))
-    return selection.adaptive_pool(cells, 7, 3).select("sample_idx", "row", "col", F.round("value", 4).alias("value"))
+    return selection.adaptive_pool(cells, 7, 3).select("sample_idx", "row", "col", F.round("value", 8).alias("value"))
 
 
 # Tagged features: parts with tags by type, brand and name.
