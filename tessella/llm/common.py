@@ -35,12 +35,29 @@ def large(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() > rows
 
 
+def _trimmed(f):
+    """f, after which a worker gives its free memory back: workers are kept for later tasks, several for each core."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from f(batches)
+        # Only glibc has it; elsewhere memory is kept.
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """df.mapInArrow(f, schema), with this package on the executors and batches bounded by bytes: rows may hold whole books."""
     ship(df.sparkSession)
     if df.sparkSession.conf.get(_BATCH, None) is None:
         df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(_trimmed(f), schema)
 
 
 __all__ = ["BROADCAST_ROWS", "distinct_name", "forget", "large", "map_arrow", "partitions", "shared_dir", "staged", "table"]

@@ -26,7 +26,7 @@ SKETCH = 1 << 17
 #: Bits of the smallest signature. A set of n shingles has the next power of two that is at least n, so signatures bound overlaps alike at every size.
 LEAST_BITS = 256
 #: Bytes of signatures that are compared at a time.
-COMPARED = 1 << 24
+COMPARED = 1 << 21
 #: Members of a tile in one block, and of a lead in one group; and their shingles, of 8 bytes each.
 TILE, TILE_SHINGLES = 512, 1 << 21
 #: Sets of one batch that share a prefix shingle from which on the shingle is hot: its sets then don't meet in one task.
