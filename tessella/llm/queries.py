@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, mixing, ngram_join, quality, substring, topk, toxicity, urls
-from .common import table
+from . import chat, codes, decontam, licenses, mixing, ngram_join, pieces, quality, substring, topk, toxicity, trie, urls
+from .common import forget, staged, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,39 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_substring_dedup, op4_toxicity, op5_quality, op6_exact_top_k, op7_license_scan, op8_decontaminate, op9_chat_format, op10_url_filter)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered(spark, table(spark, sf_dir, "conversations"))
+    lengths = turns.groupBy("conv_id").agg(F.max("pos").alias("length"))
+    shared = (F.crc32(F.encode(F.col("conv_id").cast("string"), "UTF-8")) % 9).alias("h")
+    plans = lengths.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), shared)
+    plans = plans.join(lengths.withColumnsRenamed({"conv_id": "base", "length": "there"}), "base", "left")
+    plans = staged(spark, plans.select("conv_id", "base", "h", F.least("h", F.coalesce("there", F.lit(0))).alias("taken")), "plans")
+    own = turns.join(plans.select("conv_id", "h", "taken"), "conv_id").where("pos > h").withColumn("pos", F.col("pos") - F.col("h") + F.col("taken"))
+    # A conversation lends its first eight turns to at most five.
+    heads = turns.where("pos <= 8").withColumnRenamed("conv_id", "base").join(plans.select("conv_id", "base", "taken"), "base").where("pos <= taken")
+    rebuilt = staged(spark, own.select(*turns.columns).unionByName(heads.select(*turns.columns)), "rebuilt")
+    nodes = trie.build(spark, rebuilt, plans)
+    forget(spark, turns, plans, rebuilt)
+    return nodes
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encode(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    read = pieces.decode(spark, ids, model)
+    said = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(said, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(spark, table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256.0)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return codes.with_label_errors(coded).select("vec_id", code.alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_substring_dedup, op4_toxicity, op5_quality, op6_exact_top_k, op7_license_scan, op8_decontaminate, op9_chat_format, op10_url_filter, op11_prefix_trie, op12_sentencepiece, op13_vector_codes)}
 
 #: Words of a text column; the class is the complement of 0x20 and 0x09-0x0D.
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -73,6 +105,35 @@ def _picked(mask: str, words: str, start: str) -> str:
     return " || ' ' || ".join(f"{words}[{start} + {i + 1}]" for i, c in enumerate(mask) if c == "1")
 
 
+def _vector_codes(rounds: int = 2) -> str:
+    """Parts as lists of integers, codebooks round by round."""
+
+    def nearest(k: int) -> str:
+        return f"""
+        a{k} AS (
+          SELECT u, p, x, d AS error, e FROM (
+            SELECT v.u, v.p, v.x, c.e, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d,
+              row_number() OVER (PARTITION BY v.u, v.p ORDER BY d, c.e) AS k FROM v JOIN c{k} c USING (p)) WHERE k = 1)"""
+
+    steps = []
+    for k in range(rounds):
+        steps.append(nearest(k))
+        steps.append(f"""
+        m{k} AS (SELECT p, e, list(m ORDER BY i) AS x FROM (
+          SELECT p, e, i, CAST(floor_div(sum(v), count(*)) AS BIGINT) AS m FROM (SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e),
+        c{k + 1} AS (SELECT p, e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (p, e))""".replace("floor_div(sum(v), count(*))", "(sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*)"))
+    return f"""
+        WITH q AS (
+          SELECT row_number() OVER () AS u, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS (SELECT u, p, q[p * w + 1:(p + 1) * w] AS x FROM (SELECT u, q, len(q) // 16 AS w, unnest(range(16)) AS p FROM q)),
+        o AS (SELECT u, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e FROM q),
+        c0 AS (SELECT p, e, x FROM v JOIN o USING (u) WHERE e < 64),{",".join(steps)},{nearest(rounds)},
+        r AS (SELECT u, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(error) AS BIGINT) AS error FROM a{rounds} GROUP BY u),
+        h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN q USING (u), h"""
+
+
 def _seeds(source: str, key: str) -> str:
     """Rows (key, mask, p, seed): p is where the mask is laid, from 0."""
     return " UNION ALL ".join(f"SELECT {key}, {m} AS mask, p, {_picked(mask, 'ws', 'p')} AS seed FROM (SELECT {key}, ws, unnest(range(0, len(ws) - {len(mask)} + 1)) AS p FROM {source})" for m, mask in enumerate(decontam.MASKS))
@@ -156,6 +217,34 @@ ORACLE_SQL = {
           FROM v a JOIN v b ON a.row_id <> b.row_id WHERE a.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_prefix_trie": """
+        WITH t AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+        n AS (SELECT conv_id, max(pos) AS length FROM t GROUP BY conv_id),
+        crc AS (
+          SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: CAST(i AS BIGINT))), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS h
+          FROM n),
+        p AS (SELECT crc.conv_id, crc.conv_id - crc.conv_id % 5 AS base, h, least(h, coalesce(b.length, 0)) AS taken FROM crc LEFT JOIN n b ON b.conv_id = crc.conv_id - crc.conv_id % 5),
+        r AS (
+          SELECT conv_id, pos - h + taken AS pos, role, text FROM t JOIN p USING (conv_id) WHERE pos > h
+          UNION ALL SELECT p.conv_id, pos, role, text FROM p JOIN t ON t.conv_id = p.base WHERE pos <= taken),
+        k AS (
+          SELECT conv_id, pos AS depth, strlen(text) AS bytes, string_agg(sha256(role || chr(10) || sha256(text)), '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS prefix FROM r
+          UNION ALL SELECT conv_id, 0, 0, '' FROM p),
+        node AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM k GROUP BY depth, prefix),
+        own AS (SELECT k.conv_id, k.depth, k.prefix, node.conv_id AS owner, max(k.depth) OVER (PARTITION BY k.conv_id) AS length FROM k JOIN node USING (depth, prefix)),
+        above AS (SELECT depth, prefix, min(up) AS parent_conv_id FROM (SELECT depth, prefix, lag(owner) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM own) GROUP BY depth, prefix),
+        kids AS (SELECT node.depth - 1 AS depth, left(prefix, 64 * (node.depth - 1)) AS prefix, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1, 2),
+        sub AS (
+          SELECT a.depth, a.prefix, sum(CASE WHEN kids.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens
+          FROM node b LEFT JOIN kids USING (depth, prefix) JOIN own a ON a.conv_id = b.conv_id AND a.depth <= b.depth GROUP BY a.depth, a.prefix),
+        e AS (SELECT depth, prefix, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM own WHERE depth = length GROUP BY depth, prefix)
+        SELECT node.conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+          CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM node JOIN above USING (depth, prefix) JOIN sub USING (depth, prefix) LEFT JOIN kids USING (depth, prefix) LEFT JOIN e USING (depth, prefix)""",
+    "op13_vector_codes": _vector_codes(),
     "op9_chat_format": r"""
         WITH rows AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
