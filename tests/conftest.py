@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -36,7 +37,7 @@ def comparable(df):
     """Rows as sorted tuples of plain values, by column name."""
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if hasattr(v, "item"):
             v = v.item()
