@@ -1,20 +1,18 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 A text's characters are its first symbols. The agenda holds every pair of adjacent symbols whose concatenation is a piece; the pair of the highest score is
-merged first, of equal scores the leftmost, until none is left. Where no piece of a vocabulary goes on with a blank mark after another character, no merge
-crosses such a place, so texts are cut there and each different segment is encoded once for many texts: short ones all together, a step of every
-segment's agenda at a time, long ones from a heap. The library encodes the same texts, and a difference is an error.
+merged first, of equal scores the leftmost, until none is left. No merge joins two characters that stand side by side in no piece, so texts are cut between such
+characters, and each different segment is encoded once for many texts: short ones all together, a step of every segment's agenda at a time, long ones from
+a heap. The library encodes the same texts, and a difference is an error.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -127,11 +125,23 @@ class Vocabulary:
         return np.array(self.scores, np.float32)
 
     @cached_property
-    def cut(self) -> re.Pattern | None:
-        """Cuts a text where no merge can cross, if there is such a place."""
-        if any(re.search(f"[^{BLANK}]{BLANK}", p) for p, t in zip(self.pieces, self.types, strict=True) if t == _NORMAL):
-            return None
-        return re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+    def joins(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each code point, 0 for those of no piece of several characters, and a table of which two may stand side by side in a piece."""
+        long = [p for p, t in zip(self.pieces, self.types, strict=True) if t == _NORMAL and len(p) > 1]
+        number = np.zeros(0x110000, np.int32)
+        letters = sorted({ord(c) for p in long for c in p})
+        number[letters] = np.arange(1, len(letters) + 1)
+        table = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        pairs = sorted({p[i : i + 2] for p in long for i in range(len(p) - 1)})
+        ends = number[np.frombuffer("".join(pairs).encode("utf-32-le"), "<u4")].reshape(-1, 2)
+        table[ends[:, 0], ends[:, 1]] = True
+        return number, table
+
+    def starts(self, text: str) -> np.ndarray:
+        """Whether a segment starts at each character: a merge across two characters would make a piece that holds both side by side, so a text is cut between two that no piece does."""
+        number, table = self.joins
+        at = number[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        return np.concatenate([[True], ~table[at[:-1], at[1:]]])
 
     @cached_property
     def said(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -301,27 +311,18 @@ class Encoder:
         self.first[at + 1 : at + 1 + len(fresh)] = ends
         self.flat[used : ends[-1]] = found
 
-    def _parts(self, text: str) -> Iterator[str]:
-        """Parts of a text of bounded size, cut where no merge can cross."""
-        if not text:
-            return
-        text, at = (BLANK if self.voc.dummy_prefix else "") + text.replace(" ", BLANK), 0
-        while self.voc.cut and len(text) - at > PART_CHARS:
-            end = text.find(BLANK, at + PART_CHARS)
-            while end > 0 and text[end - 1] == BLANK:
-                end = text.find(BLANK, end + 1)
-            if end <= 0:
-                break
-            yield text[at:end]
-            at = end
-        yield text[at:]
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has; no begin or end ids."""
-        out, counts, held, owners = [], np.zeros(len(texts), np.int64), [], []
+        out, counts, held, owners, chars = [], np.zeros(len(texts), np.int64), [], [], 0
 
         def flush() -> None:
-            segments = list(chain.from_iterable(held))
+            ends = np.cumsum(list(map(len, held)))
+            joined = "".join(held)
+            mask = self.voc.starts(joined)
+            mask[ends[:-1]] = True
+            starts = np.flatnonzero(mask)
+            to = [*starts[1:].tolist(), len(joined)]
+            segments = [joined[a:b] for a, b in zip(starts.tolist(), to, strict=True)]
             if fresh := list(set(segments).difference(self.number)):
                 if len(self.number) > REMEMBERED:
                     self._clear()
@@ -329,19 +330,26 @@ class Encoder:
                 self._learn(fresh)
             at = np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))
             size = self.first[at + 1] - self.first[at]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1])])
-            np.add.at(counts, np.repeat(owners, list(map(len, held))), size)
+            sums = np.cumsum(size)
+            out.append(self.flat[np.repeat(self.first[at] - sums + size, size) + np.arange(sums[-1])])
+            np.add.at(counts, np.array(owners)[np.searchsorted(ends, starts, side="right")], size)
             held.clear()
             owners.clear()
 
-        chars = 0
         for i, text in enumerate(texts):
-            for part in self._parts(text):
-                held.append(self.voc.cut.findall(part) if self.voc.cut else [part])
+            text, at = ((BLANK if self.voc.dummy_prefix else "") + text.replace(" ", BLANK), 0) if text else ("", 0)
+            while at < len(text):
+                end = min(at + PART_CHARS - chars, len(text))
+                # A long text goes on where a segment starts, which is looked for in the next characters.
+                while end < len(text) and not (cuts := self.voc.starts(text[end - 1 : end + PART_CHARS])[1:]).any():
+                    end = min(end + PART_CHARS, len(text))
+                if end < len(text):
+                    end += int(cuts.argmax())
+                held.append(text[at:end])
                 owners.append(i)
-                chars += len(part)
-                if chars > PART_CHARS:
+                chars += end - at
+                at = end
+                if chars >= PART_CHARS:
                     flush()
                     chars = 0
         if held:
@@ -350,11 +358,10 @@ class Encoder:
 
 
 def decoded(voc: Vocabulary, ids: pa.Array) -> pa.Array:
-    """Texts of a list array of ids: one leading blank of the first piece goes, byte pieces join to characters, bytes that make none become U+FFFD each. A null list is an empty text."""
+    """Texts of a list array of ids: one leading blank of the first piece goes, byte pieces join to characters, bytes that make none become U+FFFD each."""
     said, blank, control = voc.said
-    lists = ids.fill_null([]) if ids.null_count else ids
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     if len(flat) and (flat.min() < 0 or flat.max() >= len(voc.pieces)):
         raise ValueError("an id that the vocabulary doesn't have")
     ends = np.cumsum(size)
@@ -427,8 +434,9 @@ def encode(spark: SparkSession, rows: DataFrame, model: str, text: str = "text",
             ids, counts = encoder.encode(texts)
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             if library:
-                for t, s, e in zip(texts, ends, ends[1:], strict=False):
-                    if not np.array_equal(library.encode(t), ids[s:e]):
+                flat = ids.tolist()
+                for t, s, e in zip(texts, ends.tolist(), ends[1:].tolist(), strict=False):
+                    if library.encode(t) != flat[s:e]:
                         raise ValueError(f"ids that differ from the library's, for a text of {len(t)} characters")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), lists], names=[*kept, out])
@@ -446,10 +454,12 @@ def decode(spark: SparkSession, rows: DataFrame, model: str, ids: str = "ids", o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, library = vocabulary(data.value), _library(data.value) if check else None
         for b in batches:
-            lists = b.column(kept.index(ids))
+            lists = b.column(kept.index(ids)).fill_null([])
             texts = decoded(voc, lists)
-            if library and [library.decode(x or []) for x in lists.to_pylist()] != texts.to_pylist():
-                raise ValueError("a text that differs from the library's")
+            if library:
+                flat, ends = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+                if [library.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)] != texts.to_pylist():
+                    raise ValueError("a text that differs from the library's")
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), texts], names=[*kept, out])
 
     types = dict(rows.dtypes)
