@@ -30,8 +30,8 @@ class Stage:
 
 
 def _index(spark: SparkSession, a: argparse.Namespace) -> dict[str, Any]:
-    box = lambda path: readers.dissolved(readers.read_footprints(spark, path)) if path else None
-    scenes, tiles = pipelines.build_index(readers.read_features(spark, a.features), a.region, box(a.footprint), box(a.tile_footprint), a.predicate, a.halfwidth, a.scale, least_classes=a.least_classes, coverage_min=a.coverage, spacing=a.spacing, limit=a.limit)
+    shape = lambda path: readers.read_footprints(spark, path).select("parts") if path else None
+    scenes, tiles = pipelines.build_index(readers.read_features(spark, a.features), a.region, shape(a.footprint), shape(a.tile_footprint), a.predicate, a.halfwidth, a.scale, least_classes=a.least_classes, coverage_min=a.coverage, spacing=a.spacing, limit=a.limit)
     version = writers.publish_pair({"scenes": scenes, "tiles": tiles}, a.output, a.region, a.overwrite)
     found = writers.read_pair(spark, a.output, a.region)
     return {"region": a.region, "version": version, **{name: df.count() for name, df in found.items()}}

@@ -72,10 +72,11 @@ def tile_overlaps(pairs: DataFrame, patch_box: str, feature_box: str, grid: int
     return out.withColumn("tile_overlap", G.overlap_area(G.tile_box(p, F.col("tile"), grid), f)).where("tile_overlap > 0")
 
 
-def dominant_class(areas: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, tile_class, fraction): the class with the largest relative fraction, the lower id of equal ones."""
-    best = areas.groupBy(*keys).agg(F.max(F.struct(F.round("relative", 12).alias("r"), (-F.col("class_id")).alias("c"))).alias("b"))
-    return best.select(*keys, (-F.col("b.c")).alias("tile_class"), F.col("b.r").alias("fraction"))
+def dominant_class(areas: DataFrame, keys: list[str], fractions: str | None = None) -> DataFrame:
+    """(keys, tile_class, fraction): the class with the largest relative fraction, the lower id of equal ones; with fractions, a map of all of them under that name."""
+    every = [F.map_from_entries(F.collect_list(F.struct("class_id", "relative"))).alias(fractions)] if fractions else []
+    best = areas.groupBy(*keys).agg(F.max(F.struct(F.round("relative", 12).alias("r"), (-F.col("class_id")).alias("c"))).alias("b"), *every)
+    return best.select(*keys, (-F.col("b.c")).alias("tile_class"), F.col("b.r").alias("fraction"), *([fractions] if fractions else []))
 
 
 def tile_frame(patches: DataFrame, grid: int = 10) -> DataFrame:

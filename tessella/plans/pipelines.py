@@ -11,22 +11,18 @@ from ..config import DataProfile, Policy, RobustStatistics
 from ..functions import geometry as G
 from ..functions import scores as S
 from ..functions import tags as T
-from ..operators import metrics, models, sampling, selection, shards, spatial, splits
-from ..storage import staged
+from ..operators import metrics, models, polygons, sampling, selection, shards, spatial, splits
+from ..storage import forget, staged
 
 
 def classified_features(features: DataFrame) -> DataFrame:
-    """Features with a key of the whitelist, a ring and a class: their parts, box, centre and class ids.
+    """Features with a key of the whitelist and a class, with class_ids and parts.
 
-    A feature is one polygon, rings: its outer ring, then holes; or several, parts: an array of such rings. A part whose outer ring has fewer than three corners is left out.
+    A feature is one polygon, rings: its outer ring, then holes; or several, parts: an array of such rings.
     """
     parts = F.col("parts") if "parts" in features.columns else F.array("rings")
-    kept = features.where(T.whitelisted(F.col("tags"))).withColumn("parts", F.filter(F.coalesce(parts, F.array()), lambda r: (F.size(r) > 0) & (F.size(F.get(r, F.lit(0))) >= 3))).where(F.size("parts") > 0)
-    kept = kept.withColumn("class_ids", T.classify(F.col("tags"))).where(F.size("class_ids") > 0)
-    outer = F.flatten(F.transform("parts", lambda r: F.get(r, F.lit(0))))
-    x, y = F.transform(outer, lambda p: p["x"]), F.transform(outer, lambda p: p["y"])
-    box = F.struct(F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
-    return kept.withColumn("fbox", box).withColumn("at", G.multipolygon_centroid(F.col("parts"))).withColumn("lat", F.col("at.lat")).withColumn("lon", F.col("at.lon")).drop("at")
+    kept = features.where(T.whitelisted(F.col("tags"))).withColumn("parts", parts).where(F.size("parts") > 0)
+    return kept.withColumn("class_ids", T.classify(F.col("tags"))).where(F.size("class_ids") > 0)
 
 
 def one_box(footprint: DataFrame | None) -> Column | None:
@@ -39,46 +35,78 @@ def one_box(footprint: DataFrame | None) -> Column | None:
     return F.struct(*(F.lit(rows[0]["box"][k]).alias(k) for k in ("x0", "y0", "x1", "y1")))
 
 
-def build_index(features: DataFrame, region: str, footprint: DataFrame | None = None, tile_footprint: DataFrame | None = None, predicate: str = "covers", halfwidth: float = 0.0012, scale: float = 10, grid: int = 10, least_classes: int = 2, coverage_min: float = 0.0, spacing: float = 0.01, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def within_footprint(boxes: DataFrame, key: str, box: str, footprint: DataFrame | None, predicate: str) -> DataFrame:
+    """Rows of boxes that a footprint holds (covers, contains) or meets (intersects): the union of its polygons if it has a column parts, else its one box. No footprint keeps all."""
+    if footprint is None:
+        return boxes
+    if "parts" not in footprint.columns:
+        return boxes.where(G.footprint_keeps(one_box(footprint), F.col(box), predicate))
+    found = polygons.footprint_test(boxes, key, box, footprint).where("meets" if predicate == "intersects" else "within")
+    return boxes.join(found.select(key), key, "left_semi")
+
+
+def feature_edges(features: DataFrame, invalid: str = "drop") -> tuple[DataFrame, DataFrame]:
+    """(features, edges), both staged: uid, feature_id, ord, class_ids, fbox, lat, lon of classified features, and the edges of each uid.
+
+    lat and lon are the centroid's. Shapes that aren't valid (polygons.invalid_shapes) are left out; with invalid="keep" only polygons whose outer ring has fewer than three corners.
+    """
+    if invalid not in ("drop", "keep"):
+        raise ValueError("invalid is drop or keep")
+    spark = features.sparkSession
+    kept = staged(spark, classified_features(features).select("feature_id", "ord", "class_ids", "parts").withColumn("uid", F.monotonically_increasing_id()), "classified")
+    edges = staged(spark, polygons.edge_rows(kept, "parts", "uid"), "edges")
+    if invalid == "drop":
+        sound, every = edges, edges.join(polygons.invalid_shapes(edges, "uid").select("uid").distinct(), "uid", "left_anti")
+    else:
+        short = edges.where("ring = 0 AND n < 3").select("uid", "part").distinct()
+        sound, every = edges, edges.join(short, ["uid", "part"], "left_anti")
+    edges = staged(spark, every, "edges")
+    facts = polygons.shape_facts(edges, "uid").withColumnRenamed("box", "fbox")
+    found = staged(spark, kept.select("uid", "feature_id", "ord", "class_ids").join(facts, "uid"), "features")
+    forget(spark, kept, sound)
+    return found, edges
+
+
+def build_index(
+    features: DataFrame, region: str, footprint: DataFrame | None = None, tile_footprint: DataFrame | None = None, predicate: str = "covers", halfwidth: float = 0.0012, scale: float = 10, grid: int = 10,
+    least_classes: int = 2, coverage_min: float = 0.0, spacing: float = 0.01, limit: int | None = None, invalid: str = "drop", bare: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """(scenes, tiles) of one region: centres of features thinned by grid, boxes around them, overlapped with features, classes by area, dense ids.
 
-    limit counts centres before scenes are rejected. Areas are those of clipped polygons. Scenes have to lie within footprint (predicate: covers or contains), tiles to
-    meet tile_footprint; each is a table of one box.
+    limit counts centres before scenes are rejected. Areas are those of polygons within boxes. Scenes have to lie within footprint (predicate: covers or contains) and tiles
+    to meet tile_footprint, tables of polygons (parts) or of one box; a scene without any tile is left out unless bare. coverage_min is the least share of a scene that the union of its
+    features covers. Shapes that aren't valid are left out (invalid="keep" keeps them). Scenes are made at once; tiles are made when they are read.
     """
-    foot, tile_foot = one_box(footprint), one_box(tile_footprint)
     spark = features.sparkSession
-    features = staged(spark, classified_features(features), "features")
+    features, edges = feature_edges(features, invalid)
     centres = spatial.thin_centers(features.select("ord", "lat", "lon"), spacing)
     if limit is not None:
         centres = centres.orderBy("ord").limit(limit)
     side = 2 * halfwidth * scale
     patches = centres.withColumn("box", G.box_around(F.col("lat"), F.col("lon"), halfwidth, scale=scale)).select(F.col("ord").alias("center"), "lat", "lon", "box")
-    if foot is not None:
-        patches = patches.where(G.footprint_keeps(foot, F.col("box"), predicate))
-    pairs = spatial.overlap_join(patches, features.select("feature_id", "class_ids", "parts", "fbox"), side, "box", "fbox")
-    pairs = pairs.withColumn("overlap", G.multipolygon_overlap(F.col("parts"), F.col("box"))).where("overlap > 0")
-    pairs = staged(spark, pairs, "pairs")
+    patches = staged(spark, within_footprint(patches, "center", "box", footprint, predicate), "patches")
+    met = spatial.overlap_join(patches, features.select("uid", "class_ids", "fbox"), side, "box", "fbox").drop("overlap")
+    pairs = staged(spark, polygons.areas_within(met, edges, "uid", "box", ["center", "uid"], ["box", "fbox", "class_ids"]).withColumnRenamed("area", "overlap"), "pairs")
     areas = spatial.enough_classes(spatial.class_areas(pairs, "center", "class_ids", G.area(F.col("box"))), "center", least_classes)
     if coverage_min > 0:
-        covered = spatial.box_union_area(pairs.select("center", F.struct(F.greatest("box.x0", "fbox.x0").alias("x0"), F.greatest("box.y0", "fbox.y0").alias("y0"), F.least("box.x1", "fbox.x1").alias("x1"), F.least("box.y1", "fbox.y1").alias("y1")).alias("b")), "center", "b")
+        covered = polygons.union_areas(pairs.select("center", "uid", "box").join(edges, "uid"), "center", "uid", "box")
         areas = areas.join(covered.where(F.col("covered") / (side * side) >= coverage_min).select("center"), "center", "left_semi")
     entry = F.struct("class_id", "relative")
     scenes = areas.groupBy("center").agg(F.array_sort(F.collect_list("class_id")).alias("classes"), F.map_from_entries(F.collect_list(entry)).alias("class_fracs"), F.map_from_entries(F.collect_list(F.struct("class_id", "absolute"))).alias("class_fracs_abs"))
-    scenes = scenes.join(patches, "center").withColumn("region", F.lit(region))
-    scenes = staged(spark, spatial.dense_ids(staged(spark, scenes, "scenes"), "region", "center"), "scenes")
-    cut = spatial.tile_overlaps(pairs.join(scenes.select("center", "patch_id"), "center"), "box", "fbox", grid)
-    cut = cut.withColumn("overlap", G.multipolygon_overlap(F.col("parts"), G.tile_box(F.col("box"), F.col("tile"), grid))).where("overlap > 0")
-    keyed = cut.withColumn("key", F.struct("patch_id", "tile"))
-    keyed = staged(spark, keyed, "tiles")
-    tile_areas = spatial.class_areas(keyed, "key", "class_ids", G.area(F.col("box")) / (grid * grid))
-    best = spatial.dominant_class(tile_areas, ["key"]).select("key", "tile_class")
-    fractions = tile_areas.groupBy("key").agg(F.map_from_entries(F.collect_list(entry)).alias("tile_class_fracs"))
-    frame = spatial.tile_frame(scenes.select("patch_id", "box"), grid).withColumn("key", F.struct("patch_id", "tile"))
-    tiles = frame.join(best.join(fractions, "key"), "key", "left")
-    b = G.tile_box(F.col("box"), F.col("tile"), grid)
-    if tile_foot is not None:
-        tiles = tiles.where(G.footprint_keeps(tile_foot, b, "intersects"))
-    empty = F.expr("cast(map() as map<int,double>)")
+    scenes = staged(spark, scenes.join(patches, "center").withColumn("region", F.lit(region)), "scenes")
+    frame = spatial.tile_frame(scenes.select("center", "box"), grid).withColumn("tbox", G.tile_box(F.col("box"), F.col("tile"), grid)).drop("box")
+    if tile_footprint is not None:
+        frame = staged(spark, within_footprint(frame.withColumn("at", F.struct("center", "tile")), "at", "tbox", tile_footprint, "intersects").drop("at"), "frame")
+        if not bare:
+            scenes = scenes.join(frame.select("center").distinct(), "center", "left_semi")
+    scenes = staged(spark, spatial.dense_ids(scenes, "region", "center"), "scenes")
+
+    cut = spatial.tile_overlaps(pairs.drop("overlap").join(scenes.select("center", "patch_id"), "center"), "box", "fbox", grid).withColumn("box", G.tile_box(F.col("box"), F.col("tile"), grid))
+    cut = polygons.areas_within(cut, edges, "uid", "box", ["patch_id", "tile", "uid"], ["box", "class_ids"]).withColumnRenamed("area", "overlap").withColumn("key", F.struct("patch_id", "tile"))
+    found = spatial.dominant_class(spatial.class_areas(cut, "key", "class_ids", G.area(F.col("box"))), ["key"], fractions="tile_class_fracs")
+    frame = frame.join(scenes.select("center", "patch_id"), "center").withColumn("key", F.struct("patch_id", "tile"))
+    tiles = frame.join(found, "key", "left")
+    b, empty = F.col("tbox"), F.expr("cast(map() as map<int,double>)")
     tiles = tiles.select("patch_id", F.floor(F.col("tile") / grid).cast("int").alias("tile_row"), (F.col("tile") % grid).alias("tile_col"), F.col("tile").alias("tile_index"), b["y0"].alias("tile_min_lat"), b["x0"].alias("tile_min_lon"), b["y1"].alias("tile_max_lat"), b["x1"].alias("tile_max_lon"), "tile_class", F.coalesce("tile_class_fracs", empty).alias("tile_class_fracs"))
     scenes = scenes.select("patch_id", F.col("lat").alias("center_lat"), F.col("lon").alias("center_lon"), F.col("box.y0").alias("sent_min_lat"), F.col("box.x0").alias("sent_min_lon"), F.col("box.y1").alias("sent_max_lat"), F.col("box.x1").alias("sent_max_lon"), "classes", "class_fracs", "class_fracs_abs")
     return scenes, tiles

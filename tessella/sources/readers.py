@@ -116,18 +116,24 @@ def read_image_list(spark: SparkSession, path: str, classes: list[str]) -> DataF
 
 
 def read_footprints(spark: SparkSession, path: str) -> DataFrame:
-    """(box) of each geometry of GeoJSON files: a FeatureCollection, a Feature, or a bare geometry; polygons and multipolygons, as bounds."""
-    geometry = "struct<type:string,coordinates:string>"
+    """(parts, box) of each geometry of GeoJSON files: a FeatureCollection, a Feature, or a bare geometry; polygons, multipolygons, and collections of these, as an array of polygons and as bounds.
+
+    A polygon is an array of rings of corners struct<x,y>, the outer ring first. Other kinds of geometry have no area and are left out.
+    """
+    inner = "type:string,coordinates:string"
+    geometry = f"struct<{inner},geometries:array<struct<{inner}>>>"
     raw = spark.read.text(path, wholetext=True)
-    schema = f"type string, coordinates string, geometry {geometry}, features array<struct<geometry:{geometry}>>"
-    j = raw.select(F.from_json("value", schema).alias("j"))
-    bare = F.array(F.struct(F.col("j.type").alias("type"), F.col("j.coordinates").alias("coordinates")))
+    j = raw.select(F.from_json("value", f"type string, coordinates string, geometries array<struct<{inner}>>, geometry {geometry}, features array<struct<geometry:{geometry}>>").alias("j"))
+    bare = F.array(F.struct(F.col("j.type").alias("type"), F.col("j.coordinates").alias("coordinates"), F.col("j.geometries").alias("geometries")))
     every = F.when(F.col("j.features").isNotNull(), F.transform("j.features", lambda f: f["geometry"])).when(F.col("j.geometry").isNotNull(), F.array("j.geometry")).otherwise(bare)
-    each = j.select(F.explode(every).alias("g")).where("g.coordinates IS NOT NULL")
-    numbers = F.transform(F.regexp_extract_all("g.coordinates", F.lit(r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)"), 0), lambda s: F.transform(F.split(F.regexp_replace(s, r"[\[\s]", ""), ","), lambda v: v.cast("double")))
-    points = each.select(numbers.alias("p")).where(F.size("p") > 0)
-    at = lambda i: F.transform("p", lambda v: F.get(v, F.lit(i)))
-    return points.select(F.struct(F.array_min(at(0)).alias("x0"), F.array_min(at(1)).alias("y0"), F.array_max(at(0)).alias("x1"), F.array_max(at(1)).alias("y1")).alias("box"))
+    each = j.select(F.explode(every).alias("g")).where("g IS NOT NULL").select(F.explode(F.coalesce("g.geometries", F.array(F.struct("g.type", "g.coordinates")))).alias("g"))
+    polygon = F.array(F.from_json("g.coordinates", "array<array<array<double>>>"))
+    several = F.from_json("g.coordinates", "array<array<array<array<double>>>>")
+    parts = F.when(F.col("g.type") == "Polygon", polygon).when(F.col("g.type") == "MultiPolygon", several)
+    corner = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    shapes = each.select(F.transform(parts, lambda rings: F.transform(rings, lambda r: F.transform(r, corner))).alias("parts")).where("size(flatten(flatten(parts))) > 0")
+    at = lambda c: F.transform(F.flatten(F.flatten("parts")), lambda p: p[c])
+    return shapes.select("parts", F.struct(F.array_min(at("x")).alias("x0"), F.array_min(at("y")).alias("y0"), F.array_max(at("x")).alias("x1"), F.array_max(at("y")).alias("y1")).alias("box"))
 
 
 def dissolved(footprints: DataFrame) -> DataFrame:
