@@ -137,10 +137,10 @@ class Vocabulary:
         table[ends[:, 0], ends[:, 1]] = True
         return number, table
 
-    def starts(self, text: str) -> np.ndarray:
-        """Whether a segment starts at each character: a merge across two characters would make a piece that holds both side by side, so a text is cut between two that no piece does."""
+    def starts(self, letters: np.ndarray) -> np.ndarray:
+        """Whether a segment starts at each code point: a merge across two characters would make a piece that holds both side by side, so a text is cut between two that no piece does."""
         number, table = self.joins
-        at = number[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        at = number[letters]
         return np.concatenate([[True], ~table[at[:-1], at[1:]]])
 
     @cached_property
@@ -276,6 +276,10 @@ class Vocabulary:
         return out, size
 
 
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
 _read: dict[int, tuple[bytes, Vocabulary]] = {}
 
 
@@ -318,17 +322,21 @@ class Encoder:
         def flush() -> None:
             ends = np.cumsum(list(map(len, held)))
             joined = "".join(held)
-            mask = self.voc.starts(joined)
+            letters = _letters(joined)
+            mask = self.voc.starts(letters)
             mask[ends[:-1]] = True
             starts = np.flatnonzero(mask)
-            to = [*starts[1:].tolist(), len(joined)]
-            segments = [joined[a:b] for a, b in zip(starts.tolist(), to, strict=True)]
-            if fresh := list(set(segments).difference(self.number)):
+            # Where the segments start in UTF-8; only different ones become Python strings.
+            bytes_of = np.cumsum(1 + (letters >= 0x80).astype(np.int8) + (letters >= 0x800) + (letters >= 0x10000), dtype=np.int64)
+            offsets = np.concatenate([[0], bytes_of[starts[1:] - 1], bytes_of[-1:]]).astype(np.int32)
+            words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(joined.encode())).dictionary_encode()
+            segments = words.dictionary.to_pylist()
+            if fresh := [s for s in segments if s not in self.number]:
                 if len(self.number) > REMEMBERED:
                     self._clear()
-                    fresh = list(set(segments))
+                    fresh = segments
                 self._learn(fresh)
-            at = np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))
+            at = np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))[words.indices.to_numpy()]
             size = self.first[at + 1] - self.first[at]
             sums = np.cumsum(size)
             out.append(self.flat[np.repeat(self.first[at] - sums + size, size) + np.arange(sums[-1])])
@@ -341,7 +349,7 @@ class Encoder:
             while at < len(text):
                 end = min(at + PART_CHARS - chars, len(text))
                 # A long text goes on where a segment starts, which is looked for in the next characters.
-                while end < len(text) and not (cuts := self.voc.starts(text[end - 1 : end + PART_CHARS])[1:]).any():
+                while end < len(text) and not (cuts := self.voc.starts(_letters(text[end - 1 : end + PART_CHARS]))[1:]).any():
                     end = min(end + PART_CHARS, len(text))
                 if end < len(text):
                     end += int(cuts.argmax())

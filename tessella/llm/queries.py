@@ -83,7 +83,7 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     ids = pieces.encode(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     read = pieces.decode(spark, ids, model)
-    said = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    said = F.expr("replace(trim(BOTH '[]' FROM cast(ids AS string)), ', ', ',')")
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(said, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
