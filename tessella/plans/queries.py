@@ -472,10 +472,10 @@ def index_tiles(spark, sf_dir):
     return pipelines.build_index(polygon_features(spark, sf_dir), "all", halfwidth=0.012, spacing=0.5)[1]
 
 
-def polygon_features(spark, sf_dir) -> DataFrame:
-    c = customer_boxes(spark, sf_dir).select(F.col("c_custkey").alias("feature_id"), F.col("c_custkey").alias("ord"), "lat", "lon")
+def polygon_features(spark, sf_dir, shift: float = 0.0, sizes: int = 1) -> DataFrame:
+    c = customer_boxes(spark, sf_dir).select(F.col("c_custkey").alias("feature_id"), F.col("c_custkey").alias("ord"), (F.col("lat") + shift).alias("lat"), (F.col("lon") + shift).alias("lon"))
     corners = ((0.05, 0.02), (0.02, 0.05), (-0.02, 0.05), (-0.05, 0.02), (-0.05, -0.02), (-0.02, -0.05), (0.02, -0.05), (0.05, -0.02))
-    ring = F.array(*(F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y")) for dx, dy in corners))
+    ring = F.array(*(F.struct((F.col("lon") + (1 + F.col("ord") % sizes) * dx).alias("x"), (F.col("lat") + (1 + F.col("ord") % sizes) * dy).alias("y")) for dx, dy in corners))
     tags = F.when(F.col("ord") % 3 == 0, F.create_map(F.lit("landuse"), F.lit("farmland"))).when(F.col("ord") % 3 == 1, F.create_map(F.lit("natural"), F.lit("wood"), F.lit("leisure"), F.lit("park"))).otherwise(F.create_map(F.lit("building"), F.lit("office")))
     return c.select("feature_id", "ord", tags.alias("tags"), F.array(ring).alias("rings"))
 
