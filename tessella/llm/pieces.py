@@ -29,7 +29,7 @@ _NORMAL, _UNKNOWN, _CONTROL, _BYTE_TYPE = 1, 2, 3, 6
 #: Segments up to so many characters are merged together; for longer ones, a heap saves the square.
 SHORT = 40
 #: Different segments that a task remembers; then it starts anew.
-REMEMBERED = 3 << 17
+REMEMBERED = 1 << 19
 #: Characters of a text that are cut into segments at a time.
 PART_CHARS = 1 << 20
 
