@@ -143,21 +143,56 @@ def test_url_scores_equal_plain_python(spark):
     table = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
     for r in urls.judge_urls(table).collect():
         key = ("^" + re.sub("[0-9]", "0", r["host"] + r["path"]) + "$").encode()
-        found = {mixed((polynomial(key[i : i + n]) + n) & FULL) >> 50 for n in (3, 4) for i in range(len(key) - n + 1)} if len(key) < 5000 else None
-        if found is not None:
-            assert abs(r["score"] - sigmoid(sum(float(model.w[b]) for b in found) / math.sqrt(max(1, len(found))) + model.b)) < 1e-6, r["host"]
-
-
-def test_url_table_generalises(spark):
-    """Names that the table doesn't hold: those of the test pages by what they say, and clean ones."""
-    bad = re.compile("adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm")
-    assert not any(bad.search(u) for u in urls.UNWANTED + urls.WANTED)
-    hosts = {urls.split_text(r["url"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").where("url LIKE '%://%'").collect()}
-    model = urls.train()
-    scores = {h: model.score([urls.UrlModel.key(*h)])[0] >= 0.5 for h in hosts}
-    hit = [y for (h, _), y in scores.items() if bad.search(h)]
-    clean = [y for (h, _), y in scores.items() if not bad.search(h)]
-    assert np.mean(hit) >= 0.9 and np.mean(clean) <= 0.02
+        found = {mixed((polynomial(key[i : i + n]) + n) & FULL) >> 50 for n in (3, 4) for i in range(len(key) - n + 1)}
+        assert abs(r["score"] - sigmoid(sum(float(model.w[b]) for b in found) / math.sqrt(max(1, len(found))) + model.b)) < 1e-6, r["host"]
+
+
+#: Names that were written down before the model was first fitted to its table, none of which the table holds.
+HELD_OUT_UNWANTED = (
+    "royal-casino-lounge", "livepokerroom", "roulette-wheel-bonus", "megajackpots", "betting-odds-daily", "bookmaker-review", "bingohall", "slotsparadise", "hardcoreporn", "sexcam-live", "nudegirls", "cityescorts", "erotic-stories",
+    "viagra-shop", "buy-cialis", "pills-direct", "steroids-depot", "slimmingpills", "paydayloan-today", "instant-loans", "forex-robot", "replicawatches", "counterfeit-bags", "warez-vault", "torrentbay", "keygen-depot", "cracked-games",
+    "phishingkit", "malware-host", "trojan-drop", "adserver-eu", "popunder-network", "clickbait-factory", "spammers", "bulkmailer", "seoboosters", "banner-exchange", "adtracker",
+)
+HELD_OUT_WANTED = (
+    "state-university-press", "villageschool", "grammar-exercises", "librarycatalogue", "parliament-watch", "townhall-meetings", "children-hospital", "dentist-hamburg", "weatherstation", "local-gazette", "particle-physics", "astronomy-club-north",
+    "botanicgarden", "theatre-tickets", "museumoftransport", "chamber-orchestra", "poetryreading", "cyclingtours", "tennis-league", "alpineclimbing", "railwaymodels", "ferry-crossings", "youthhostel", "gardenersworld", "kitchentable", "knitting-patterns",
+    "compiler-design", "database-tuning", "linuxkernel", "parishnews", "charityshop", "scoutsgroup", "accounting-basics", "secondhandbookshop", "insurance-advice", "birdswatching", "forestwalks", "mountainhuts", "castle-tours", "family-genealogy",
+    "sussex-rowing", "essex-history", "expedition-diary", "addresses-and-maps", "paperpolish", "betterbread", "slopestyle", "blacksmith", "adventure-playground", "spanishlessons", "pillarbox", "lottery-of-birth-essays",
+    "quiet-harbours", "xylophone", "teapots", "ourfamily", "jansen-en-zoon", "dupont", "müller", "okonkwo", "zzyzx", "hwbw", "trgl", "aeiou", "qrstq",
+)
+
+
+def test_url_table_generalises():
+    """Precision and recall on names that were fixed before fitting, as bare hosts and in pages."""
+    table = {urls.split_text(u)[0] for u in urls.UNWANTED + urls.WANTED}
+    model = urls.shipped()
+    judged = {}
+    for form in ("http://{}.com/", "https://www.{}.net/en/12", "http://{}.org/about.html"):
+        for names, bad in ((HELD_OUT_UNWANTED, True), (HELD_OUT_WANTED, False)):
+            for n in names:
+                host, path = urls.split_text(form.format(n))
+                assert host not in table
+                judged[host, path] = (bad, model.score([urls.UrlModel.key(host, path)])[0] >= 0.5)
+    hits, blocked, every = sum(b and s for b, s in judged.values()), sum(s for _, s in judged.values()), sum(b for b, _ in judged.values())
+    print(f"recall {hits / every:.3f}, precision {hits / blocked:.3f}")
+    assert hits / every >= 0.9 and hits / blocked >= 0.8
+
+
+def test_url_fit_equals_plain_python():
+    """The same steps on a small table, written out by feature."""
+    unwanted, wanted = ["http://spam.com/1", "http://ads.net/"], ["http://birds.org/a", "http://river.net/", "http://choir.org/b"]
+    model = urls.train(unwanted, wanted, steps=40, bits=10)
+    keys = [urls.UrlModel.key(*urls.split_text(u)) for u in unwanted + wanted]
+    rows = [sorted({mixed((polynomial(k[i : i + n]) + n) & FULL) >> 54 for n in (3, 4) for i in range(len(k) - n + 1)}) for k in keys]
+    w, bias = defaultdict(float), 0.0
+    for _ in range(40):
+        g = []
+        for x, y in zip(rows, [1, 1, 0, 0, 0], strict=True):
+            g.append((sigmoid(sum(w[f] for f in x) / math.sqrt(len(x)) + bias) - y) / len(rows) * 4)
+        for f in {f for x in rows for f in x}:
+            w[f] -= model.rate * (sum(g[i] / math.sqrt(len(x)) for i, x in enumerate(rows) if f in x) + model.l2 * w[f])
+        bias -= model.rate * sum(g)
+    assert abs(bias - model.b) < 1e-9 and all(abs(model.w[f] - v) < 1e-9 for f, v in w.items())
 
 
 def brute_mix(rows, weights=(1, 2, 3), copies=3, seed=20):

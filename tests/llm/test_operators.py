@@ -282,6 +282,10 @@ def test_urls(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow"))
     assert urls.judge_urls(table.limit(0)).count() == 0
+    ties = (("block", "a.org", "/"), ("allow", "org", "/xy"), ("block", "org", "/"))
+    for rules, want in ((ties, ("a.org/", "block")), ((ties[1], ties[0], ties[2]), ("org/xy", "allow"))):
+        r = urls.judge_urls(spark.createDataFrame([(0, "http://a.org/xy")], "page_id long, url string"), rules=rules).first()
+        assert (r["rule"], r["verdict"]) == want
 
 
 def test_url_model_on_held_out_labels():
