@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-
+from ..storage import staged
 
 #: Grid levels: cells of level l are 2**l times the spacing. A box beyond the last one goes to as many cells of it as it touches.
 LEVELS = 40
+#: Pairs of rows that may meet in a cell before it is quartered, and how often at most.
+DENSE, DEPTH = 1 << 24, 20
 
 
 def box_level(box: Column, spacing: float) -> Column:
@@ -23,29 +27,97 @@ def overlap_join(left: DataFrame, right: DataFrame, spacing: float, left_box: st
 
     Each box goes to the cells that it touches in the grid of its size, and in the coarser grids that the other side's boxes need; cells meet by an equi-join. Two boxes meet in
     the grid of the larger one, and their pair is kept in the one cell that holds the lower left corner of their overlap, so pairs come once. No box goes to more than four cells
-    of a grid. spacing is the size of the smallest cells. The levels that occur, LEVELS + 1 numbers at most, are looked up first.
+    of a grid. spacing is the size of the smallest cells. Cells are counted first; those in which more than DENSE pairs would meet are quartered, again and again, like a quadtree,
+    and where that doesn't help, as the boxes lie on top of each other, their rows are dealt to blocks that meet each other once.
     """
+    # The levels that occur, LEVELS + 1 numbers at most.
     at = lambda df, box: sorted(r["l"] for r in df.select(box_level(F.col(box), spacing).alias("l")).distinct().collect() if r["l"] is not None)
     levels = {left_box: at(left, left_box), right_box: at(right, right_box)}
 
     def binned(df: DataFrame, box: str, other: str, own: str) -> DataFrame:
-        b = F.col(box)
-        df = df.withColumn(own, box_level(b, spacing))
+        df = df.withColumn(own, box_level(F.col(box), spacing))
         if max([*levels[box], *levels[other], 0]) == 0:
             df = df.withColumn("_level", F.lit(0))
         else:
             coarser = F.filter(F.array(*map(F.lit, levels[other])).cast("array<int>"), lambda x: x > F.col(own))
             df = df.withColumn("_level", F.explode(F.concat(F.array(own), coarser)))
-        size = F.lit(spacing) * F.pow(F.lit(2.0), F.col("_level"))
+        b, size = F.col(box), _cell_size(spacing)
         x = F.sequence(F.floor(b["x0"] / size), F.floor(b["x1"] / size))
         y = F.sequence(F.floor(b["y0"] / size), F.floor(b["y1"] / size))
         return df.withColumn("_cx", F.explode(x)).withColumn("_cy", F.explode(y))
 
-    pairs = binned(left, left_box, right_box, "_ll").join(binned(right, right_box, left_box, "_lr"), ["_level", "_cx", "_cy"])
+    one, two = binned(left, left_box, right_box, "_ll"), binned(right, right_box, left_box, "_lr")
+    one, two, size = _thinned(one, two, spacing, left_box, right_box)
+    pairs = one.join(two, [c for c in [*_CELL, "_i", "_j"] if c in one.columns])
     a, b = F.col(left_box), F.col(right_box)
-    size = F.lit(spacing) * F.pow(F.lit(2.0), F.col("_level"))
     first = (F.col("_cx") == F.floor(F.greatest(a["x0"], b["x0"]) / size)) & (F.col("_cy") == F.floor(F.greatest(a["y0"], b["y0"]) / size)) & (F.col("_level") == F.greatest("_ll", "_lr"))
-    return pairs.where(first).withColumn("overlap", G.overlap_area(a, b)).where("overlap > 0").drop("_cx", "_cy", "_level", "_ll", "_lr")
+    return pairs.where(first).withColumn("overlap", G.overlap_area(a, b)).where("overlap > 0").drop(*_CELL, "_i", "_j", "_ll", "_lr")
+
+
+#: A cell: the level of its grid, how often it was quartered, and its place among cells of its size.
+_CELL = ["_level", "_depth", "_cx", "_cy"]
+
+
+def _cell_size(spacing: float, depth: bool = False) -> Column:
+    return F.lit(spacing) * F.pow(F.lit(2.0), F.col("_level") - F.col("_depth") if depth else F.col("_level"))
+
+
+def _thinned(one: DataFrame, two: DataFrame, spacing: float, left_box: str, right_box: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with cells in which no more than DENSE pairs meet, and the size of a row's cell. Of dense cells, only their rows are read again."""
+
+    def crowded(one: DataFrame, two: DataFrame, cell: list[str]) -> DataFrame:
+        rows = one.select(*cell, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(two.select(*cell, F.lit(0).alias("l"), F.lit(1).alias("r")))
+        counts = rows.groupBy(*cell).agg(F.sum("l").alias("_l"), F.sum("r").alias("_r"))
+        return counts.where(F.col("_l") * F.col("_r") > DENSE)
+
+    flat = [c for c in _CELL if c != "_depth"]
+    hot = crowded(one, two, flat)
+    if hot.isEmpty():
+        return one, two, _cell_size(spacing)
+    spark = one.sparkSession
+    hot = staged(spark, hot.withColumn("_depth", F.lit(0)), "crowded")
+    one, two = one.withColumn("_depth", F.lit(0)), two.withColumn("_depth", F.lit(0))
+    alone = lambda df, hot: df.join(hot.select(*_CELL), _CELL, "left_anti")
+    done = [(alone(one, hot), alone(two, hot))]
+    one, two = (staged(spark, df.join(hot.select(*_CELL), _CELL, "left_semi"), "crowded") for df in (one, two))
+
+    def quartered(df: DataFrame, box: str) -> DataFrame:
+        b, half = F.col(box), _cell_size(spacing, True) / 2
+        low = lambda v, c: F.greatest(F.floor(v / half), 2 * F.col(c))
+        high = lambda v, c: F.least(F.floor(v / half), 2 * F.col(c) + 1)
+        df = df.withColumn("_x", F.explode(F.sequence(low(b["x0"], "_cx"), high(b["x1"], "_cx")))).withColumn("_y", F.explode(F.sequence(low(b["y0"], "_cy"), high(b["y1"], "_cy"))))
+        return df.withColumns({"_cx": F.col("_x"), "_cy": F.col("_y"), "_depth": F.col("_depth") + 1}).drop("_x", "_y")
+
+    for _ in range(DEPTH):
+        fours = staged(spark, quartered(one, left_box), "crowded"), staged(spark, quartered(two, right_box), "crowded")
+        above = hot.select("_level", (F.col("_depth") + 1).alias("_depth"), F.col("_cx").alias("_px"), F.col("_cy").alias("_py"), (F.col("_l") * F.col("_r")).alias("_pairs"))
+        dense = crowded(*fours, _CELL).withColumn("_px", F.floor(F.col("_cx") / 2)).withColumn("_py", F.floor(F.col("_cy") / 2)).join(above, ["_level", "_depth", "_px", "_py"])
+        # Quarters that hold nearly as many pairs as the whole are of boxes on top of each other.
+        dense = staged(spark, dense.select(*_CELL, "_l", "_r", (F.col("_l") * F.col("_r") <= F.col("_pairs") * 0.9).alias("_better")), "crowded")
+        hot, stuck = dense.where("_better"), dense.where("NOT _better")
+        done.append(tuple(alone(df, dense) for df in fours))
+        done.append(_dealt(*(df.join(stuck.select(*_CELL), _CELL, "left_semi") for df in fours), stuck))
+        one, two = (df.join(hot.select(*_CELL), _CELL, "left_semi") for df in fours)
+        if hot.isEmpty():
+            break
+        one, two = staged(spark, one, "crowded"), staged(spark, two, "crowded")
+    else:
+        done.append(_dealt(one, two, hot))
+    fill = lambda df: df if "_i" in df.columns else df.withColumn("_i", F.lit(0)).withColumn("_j", F.lit(0))
+    one, two = (reduce(DataFrame.unionByName, map(fill, side)) for side in zip(*done, strict=True))
+    return one, two, _cell_size(spacing, True)
+
+
+def _dealt(one: DataFrame, two: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of crowded cells dealt to blocks of about sqrt(DENSE): a row of the left side's block i goes to (i, j) for every block j of the right side, and the other way round."""
+    side = int(DENSE**0.5)
+    blocks = cells.select(*_CELL, F.ceil(F.col("_l") / side).cast("int").alias("_m"), F.ceil(F.col("_r") / side).cast("int").alias("_n"))
+
+    def deal(df: DataFrame, own: str, other: str, count: str, others: str) -> DataFrame:
+        df = df.join(blocks, _CELL).withColumn(own, F.floor(F.rand(7) * F.col(count)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("_m", "_n")
+
+    return deal(one, "_i", "_j", "_m", "_n"), deal(two, "_j", "_i", "_n", "_m")
 
 
 def class_areas(pairs: DataFrame, patch: str, classes: str, patch_area: Column) -> DataFrame:
