@@ -423,6 +423,41 @@ def _texts(column: pa.Array) -> list[str]:
     return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], data: bytes, kept: list[str], out: str, check: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of columns kept and a text, with the text's ids instead of it."""
+    voc, library = vocabulary(data), _library(data) if check else None
+    encoder = Encoder(voc)
+    for b in batches:
+        texts = _texts(b.column(len(kept)))
+        ids, counts = encoder.encode(texts)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        if library:
+            flat = ids.tolist()
+            for t, s, e in zip(texts, ends.tolist(), ends[1:].tolist(), strict=False):
+                if library.encode(t) != flat[s:e]:
+                    raise ValueError(f"ids that differ from the library's, for a text of {len(t)} characters")
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), lists], names=[*kept, out])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], data: bytes, kept: list[str], ids: str, out: str, check: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of columns kept, of which ids is one, with the text of the ids."""
+    voc, library = vocabulary(data), _library(data) if check else None
+    for b in batches:
+        lists = b.column(kept.index(ids)).fill_null([])
+        texts = decoded(voc, lists)
+        if library:
+            flat, ends = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+            if [library.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)] != texts.to_pylist():
+                raise ValueError("a text that differs from the library's")
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), texts], names=[*kept, out])
+
+
+def _columns(rows: DataFrame, kept: list[str], *more: str) -> str:
+    types = dict(rows.dtypes)
+    return ", ".join([*(f"`{c}` {types[c]}" for c in kept), *more])
+
+
 def encode(spark: SparkSession, rows: DataFrame, model: str, text: str = "text", out: str = "ids", check: bool = True) -> DataFrame:
     """rows with column out (array<int>, replaced if there) instead of text: the ids of each whole text, without begin and end ids.
 
@@ -433,43 +468,23 @@ def encode(spark: SparkSession, rows: DataFrame, model: str, text: str = "text",
     vocabulary(data.value)
     kept = [c for c in rows.columns if c.lower() not in (text.lower(), out.lower())]
     held = distinct_name(rows.select(*kept), "_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, library = vocabulary(data.value), _library(data.value) if check else None
-        encoder = Encoder(voc)
-        for b in batches:
-            texts = _texts(b.column(len(kept)))
-            ids, counts = encoder.encode(texts)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            if library:
-                flat = ids.tolist()
-                for t, s, e in zip(texts, ends.tolist(), ends[1:].tolist(), strict=False):
-                    if library.encode(t) != flat[s:e]:
-                        raise ValueError(f"ids that differ from the library's, for a text of {len(t)} characters")
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), lists], names=[*kept, out])
-
-    types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), f"`{out}` array<int>"])
-    return map_arrow(rows.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias(held)), run, schema)
+    run = lambda batches: _encoded(batches, data.value, kept, out, check)
+    return map_arrow(rows.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias(held)), run, _columns(rows, kept, f"`{out}` array<int>"))
 
 
 def decode(spark: SparkSession, rows: DataFrame, model: str, ids: str = "ids", out: str = "text", check: bool = True) -> DataFrame:
     """rows with column out (string, replaced if there): the text of each array of ids; null or empty ids give an empty text, an id that isn't there an error. check as in encode."""
     data = spark.sparkContext.broadcast(Path(model).read_bytes())
     kept = [c for c in rows.columns if c.lower() != out.lower()]
+    run = lambda batches: _decoded(batches, data.value, kept, ids, out, check)
+    return map_arrow(rows.select(*(F.col(f"`{c}`") for c in kept)), run, _columns(rows, kept, f"`{out}` string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, library = vocabulary(data.value), _library(data.value) if check else None
-        for b in batches:
-            lists = b.column(kept.index(ids)).fill_null([])
-            texts = decoded(voc, lists)
-            if library:
-                flat, ends = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
-                if [library.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)] != texts.to_pylist():
-                    raise ValueError("a text that differs from the library's")
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), texts], names=[*kept, out])
 
-    types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), f"`{out}` string"])
-    return map_arrow(rows.select(*(F.col(f"`{c}`") for c in kept)), run, schema)
+def round_trip(spark: SparkSession, rows: DataFrame, model: str, text: str = "text", ids: str = "ids", out: str = "decoded", check: bool = True) -> DataFrame:
+    """encode, then decode into column out, of the same batch in one task: rows with ids and out instead of text."""
+    data = spark.sparkContext.broadcast(Path(model).read_bytes())
+    vocabulary(data.value)
+    kept = [c for c in rows.columns if c.lower() not in (text.lower(), ids.lower(), out.lower())]
+    held = distinct_name(rows.select(*kept), "_text")
+    run = lambda batches: _decoded(_encoded(batches, data.value, kept, ids, check), data.value, [*kept, ids], ids, out, check)
+    return map_arrow(rows.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias(held)), run, _columns(rows, kept, f"`{ids}` array<int>", f"`{out}` string"))

@@ -142,6 +142,9 @@ def test_pieces_equal_the_library(spark, model, library, monkeypatch):
         assert r["ids"] == library.encode(texts[r["doc_id"]] or ""), texts[r["doc_id"]]
     for r in pieces.decode(spark, got, model, check=False).collect():
         assert r["text"] == library.decode(library.encode(texts[r["doc_id"]] or ""))
+    both = pieces.round_trip(spark, docs.withColumnRenamed("_text", "other"), model, check=False)
+    assert both.columns == ["doc_id", "other", "ids", "decoded"]
+    assert {r["doc_id"]: (r["ids"], r["decoded"]) for r in both.collect()} == {i: (x := library.encode(t or ""), library.decode(x)) for i, t in enumerate(texts)}
     assert pieces.encode(spark, docs.limit(0), model).count() == pieces.decode(spark, got.limit(0), model).count() == 0
 
 
