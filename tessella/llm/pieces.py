@@ -327,9 +327,10 @@ class Encoder:
             mask[ends[:-1]] = True
             starts = np.flatnonzero(mask)
             # Where the segments start in UTF-8; only different ones become Python strings.
-            bytes_of = np.cumsum(1 + (letters >= 0x80).astype(np.int8) + (letters >= 0x800) + (letters >= 0x10000), dtype=np.int64)
-            offsets = np.concatenate([[0], bytes_of[starts[1:] - 1], bytes_of[-1:]]).astype(np.int32)
-            words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(joined.encode())).dictionary_encode()
+            data = joined.encode()
+            first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            offsets = np.append(first[starts], len(data)).astype(np.int32)
+            words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
             segments = words.dictionary.to_pylist()
             if fresh := [s for s in segments if s not in self.number]:
                 if len(self.number) > REMEMBERED:
@@ -340,7 +341,7 @@ class Encoder:
             size = self.first[at + 1] - self.first[at]
             sums = np.cumsum(size)
             out.append(self.flat[np.repeat(self.first[at] - sums + size, size) + np.arange(sums[-1])])
-            np.add.at(counts, np.array(owners)[np.searchsorted(ends, starts, side="right")], size)
+            np.add.at(counts, owners, np.add.reduceat(size, np.searchsorted(starts, np.concatenate([[0], ends[:-1]]))))
             held.clear()
             owners.clear()
 

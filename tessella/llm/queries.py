@@ -83,7 +83,7 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     read = pieces.round_trip(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     said = F.expr("replace(trim(BOTH '[]' FROM cast(ids AS string)), ', ', ',')")
-    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(said, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
