@@ -377,10 +377,20 @@ def decoded(voc: Vocabulary, ids: pa.Array) -> pa.Array:
     words = said.take(pa.array(flat))
     at = np.frombuffer(words.buffers()[1], np.int64, len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
     data = bytes(words.buffers()[2] or b"") if len(flat) else b""
-    shown = np.flatnonzero(~control[flat])
+    hidden = control[flat]
+    plain = not hidden.any()
+    shown = np.flatnonzero(~hidden) if not plain else np.empty(0)
     out = []
     for s, e in zip((ends - size).tolist(), ends.tolist(), strict=True):
         text = data[at[s] : at[e]]
+        if plain:
+            if voc.dummy_prefix and s < e and blank[flat[s]]:
+                text = text[1:]
+            try:
+                out.append(text.decode())
+            except UnicodeDecodeError:
+                out.append(_each(text))
+            continue
         k = int(np.searchsorted(shown, s))
         if int(np.searchsorted(shown, e)) - k < e - s:
             # Bytes on either side of a control piece don't join.
@@ -424,34 +434,30 @@ def _texts(column: pa.Array) -> list[str]:
     return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], data: bytes, kept: list[str], out: str, check: bool) -> Iterator[pa.RecordBatch]:
-    """Batches of columns kept and a text, with the text's ids instead of it."""
-    voc, library = vocabulary(data), _library(data) if check else None
-    encoder = Encoder(voc)
-    for b in batches:
-        texts = _texts(b.column(len(kept)))
-        ids, counts = encoder.encode(texts)
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        if library:
-            flat = ids.tolist()
-            for t, s, e in zip(texts, ends.tolist(), ends[1:].tolist(), strict=False):
-                if library.encode(t) != flat[s:e]:
-                    raise ValueError(f"ids that differ from the library's, for a text of {len(t)} characters")
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), lists], names=[*kept, out])
-
-
-def _decoded(batches: Iterator[pa.RecordBatch], data: bytes, kept: list[str], ids: str, out: str, check: bool) -> Iterator[pa.RecordBatch]:
-    """Batches of columns kept, of which ids is one, with the text of the ids."""
-    voc, library = vocabulary(data), _library(data) if check else None
-    for b in batches:
-        lists = b.column(kept.index(ids)).fill_null([])
-        texts = decoded(voc, lists)
-        if library:
-            flat, ends = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
-            if [library.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)] != texts.to_pylist():
-                raise ValueError("a text that differs from the library's")
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), texts], names=[*kept, out])
+def _ids_of(texts: list[str], encoder: Encoder, library) -> tuple[pa.Array, list[int] | None]:
+    """Lists of ids, and with a library, which they are compared with, all of them as one list."""
+    ids, counts = encoder.encode(texts)
+    ends, flat = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), None
+    if library:
+        flat = ids.tolist()
+        for t, s, e in zip(texts, ends.tolist(), ends[1:].tolist(), strict=False):
+            if library.encode(t) != flat[s:e]:
+                raise ValueError(f"ids that differ from the library's, for a text of {len(t)} characters")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())), flat
+
+
+def _texts_of(lists: pa.Array, voc: Vocabulary, library, flat: list[int] | None = None) -> pa.Array:
+    """Texts of lists of ids, compared with a library's if there is one. flat: all ids, if they are known as a list."""
+    texts = decoded(voc, lists)
+    if library:
+        flat, ends = flat or lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+        if [library.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)] != texts.to_pylist():
+            raise ValueError("a text that differs from the library's")
+    return texts
+
+
+def _batch(b: pa.RecordBatch, kept: list[str], **more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *more.values()], names=[*kept, *more])
 
 
 def _columns(rows: DataFrame, kept: list[str], *more: str) -> str:
@@ -469,7 +475,12 @@ def encode(spark: SparkSession, rows: DataFrame, model: str, text: str = "text",
     vocabulary(data.value)
     kept = [c for c in rows.columns if c.lower() not in (text.lower(), out.lower())]
     held = distinct_name(rows.select(*kept), "_text")
-    run = lambda batches: _encoded(batches, data.value, kept, out, check)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, library = Encoder(vocabulary(data.value)), _library(data.value) if check else None
+        for b in batches:
+            yield _batch(b, kept, **{out: _ids_of(_texts(b.column(len(kept))), encoder, library)[0]})
+
     return map_arrow(rows.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias(held)), run, _columns(rows, kept, f"`{out}` array<int>"))
 
 
@@ -477,7 +488,12 @@ def decode(spark: SparkSession, rows: DataFrame, model: str, ids: str = "ids", o
     """rows with column out (string, replaced if there): the text of each array of ids; null or empty ids give an empty text, an id that isn't there an error. check as in encode."""
     data = spark.sparkContext.broadcast(Path(model).read_bytes())
     kept = [c for c in rows.columns if c.lower() != out.lower()]
-    run = lambda batches: _decoded(batches, data.value, kept, ids, out, check)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, library = vocabulary(data.value), _library(data.value) if check else None
+        for b in batches:
+            yield _batch(b, kept, **{out: _texts_of(b.column(kept.index(ids)).fill_null([]), voc, library)})
+
     return map_arrow(rows.select(*(F.col(f"`{c}`") for c in kept)), run, _columns(rows, kept, f"`{out}` string"))
 
 
@@ -487,5 +503,11 @@ def round_trip(spark: SparkSession, rows: DataFrame, model: str, text: str = "te
     vocabulary(data.value)
     kept = [c for c in rows.columns if c.lower() not in (text.lower(), ids.lower(), out.lower())]
     held = distinct_name(rows.select(*kept), "_text")
-    run = lambda batches: _decoded(_encoded(batches, data.value, kept, ids, check), data.value, [*kept, ids], ids, out, check)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, library = Encoder(vocabulary(data.value)), _library(data.value) if check else None
+        for b in batches:
+            lists, flat = _ids_of(_texts(b.column(len(kept))), encoder, library)
+            yield _batch(b, kept, **{ids: lists, out: _texts_of(lists, encoder.voc, library, flat)})
+
     return map_arrow(rows.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias(held)), run, _columns(rows, kept, f"`{ids}` array<int>", f"`{out}` string"))
