@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 
 def parse_classes(c: Column) -> Column:
     """`1|2|3` to array<int>; blank parts are skipped, null or empty gives an empty array, anything else that is no number is an error."""
@@ -20,23 +21,61 @@ def parse_fractions(c: Column) -> Column:
 
 
 def half_even(x: Column, digits: int) -> Column:
-    """x as text with that many decimals, rounded half to even on the exact binary value; Spark's own formatting rounds the shortest decimal text. For export, so in Arrow batches of Python."""
+    """x as text with that many decimals (15 at most), rounded half to even on the exact binary value; Spark's own formatting rounds the shortest decimal text.
 
-    @F.pandas_udf("string")
-    def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None or v != v else f"{v:.{digits}f}")
+    The fraction times 10**digits is worked out as a double and the exact rest of the product, by splitting both factors; the rest decides where the double ends in a half.
+    Null and NaN give null; whole parts of 38 digits and more, too.
+    """
+    if not 0 <= digits <= 15:
+        raise ValueError("digits must be from 0 to 15")
+    power = 10.0**digits
+    high = power * 134217729.0 - (power * 134217729.0 - power)
+    low = power - high
 
-    return text(x.cast("double"))
+    def parts(a: Column) -> Column:
+        """Whole part, and the fraction times the power with its rest."""
+        f = a - F.floor(a).cast("double")
+        c = F.lit(134217729.0) * f
+        top = c - (c - f)
+        product = f * F.lit(power)
+        rest = ((top * F.lit(high) - product) + top * F.lit(low) + (f - top) * F.lit(high)) + (f - top) * F.lit(low)
+        return F.struct(product.alias("p"), rest.alias("e"))
 
+    def rounded(s: Column) -> Column:
+        down = F.floor(s["p"])
+        half = s["p"] - down.cast("double") == 0.5
+        return F.when(half & (s["e"] > 0), down + 1).when(half & (s["e"] < 0), down).otherwise(F.rint(s["p"]).cast("long"))
 
-def encode_fractions(m: Column, digits: int) -> Column:
-    """map<int,double> to `k:v|k:v`, sorted by key."""
+    def text(a: Column) -> Column:
+        whole = F.floor(a).cast("decimal(38,0)")
+
+        def joined(n: Column) -> Column:
+            carried = (whole + F.when(n >= int(power), 1).otherwise(0).cast("decimal(1,0)")).cast("decimal(38,0)").cast("string")
+            return F.concat(carried, F.lit("."), F.lpad((n % int(power)).cast("string"), digits, "0")) if digits else carried
+
+        # Without decimals, half to even is about the whole number.
+        if not digits:
+            return F.when(a < 2.0**52, F.rint(a).cast("decimal(38,0)").cast("string")).otherwise(_exact_whole(a).cast("string"))
+        return F.when(a < 2.0**52, let(let(parts(a), rounded), joined)).otherwise(F.concat(_exact_whole(a).cast("string"), F.lit("." + "0" * digits)))
+
+    def signed(v: Column) -> Column:
+        sign = F.when(F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
+        return F.when(F.isnan(v), None).when(F.abs(v) == float("inf"), F.concat(sign, F.lit("inf"))).when(F.abs(v) < 1e37, F.concat(sign, text(F.abs(v))))
 
-    @F.pandas_udf("string")
-    def text(maps: pd.Series) -> pd.Series:
-        return maps.map(lambda m: None if m is None else "|".join(f"{k}:{v:.{digits}f}" for k, v in sorted(dict(m).items())))
+    return let(x.cast("double"), signed)
 
-    return text(m)
+
+def _exact_whole(a: Column) -> Column:
+    """A double of 2**52 or more, which is whole, as a decimal: its parts above and below 2**62 are exact longs."""
+    above = F.floor(a / F.lit(2.0**62))
+    below = (a - above.cast("double") * F.lit(2.0**62)).cast("long")
+    return (above.cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + below.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def encode_fractions(m: Column, digits: int) -> Column:
+    """map<int,double> to `k:v|k:v`, sorted by key."""
+    entries = F.array_sort(F.map_entries(m))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"].cast("string"), F.lit(":"), half_even(e["value"], digits))), "|")
 
 
 def encode_classes(c: Column) -> Column:

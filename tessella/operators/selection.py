@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scores as S
+
 
 def router_topk(scores: DataFrame, k: int, sample: str = "sample_idx", tile: str = "tile", score: str = "score") -> DataFrame:
     """The k best tiles of each sample, with rank from 1; the lower tile of equal ones."""
@@ -67,6 +69,27 @@ def pool_scores(scores: DataFrame, mode: str, keys: tuple[str, ...] = ("sample_i
     return scores.groupBy(*keys).agg(ways[mode].alias("score"))
 
 
+#: The ways to pool the features of a sample's cells, by their fixed names.
+POOLS = ("patch_score_max", "raw_feature_max", "raw_feature_mean", "raw_feature_mean_max")
+
+
+def pool_features(features: DataFrame, text: DataFrame, mode: str, keys: tuple[str, ...] = ("sample_idx",), feature: str = "feature") -> DataFrame:
+    """(keys, class_id, score): cosines of text vectors (class_id, proto) with features (keys, feature) of cells, pooled: the best cell's, or that of the componentwise max, mean, or mean of both.
+
+    There is one text vector for each class. Components are pooled by key and place, so a sample may have any number of cells.
+    """
+    if mode not in POOLS:
+        raise ValueError(f"unknown pool mode {mode}")
+    scored = lambda rows: rows.join(text.select("class_id", S.l2_normalise(F.col("proto")).alias("_t")), how="cross").select(*keys, "class_id", S.dot(S.l2_normalise(F.col("_f")), F.col("_t")).alias("score"))
+    if mode == "patch_score_max":
+        return scored(features.select(*keys, F.col(feature).alias("_f"))).groupBy(*keys, "class_id").agg(F.max("score").alias("score"))
+    v = F.col("_v")
+    pooled = {"raw_feature_max": F.max(v), "raw_feature_mean": F.avg(v), "raw_feature_mean_max": (F.avg(v) + F.max(v)) / 2}[mode]
+    by_place = features.select(*keys, F.posexplode(feature).alias("_i", "_v")).groupBy(*keys, "_i").agg(pooled.alias("_p"))
+    rows = by_place.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda x: x["_p"]).alias("_f"))
+    return scored(rows)
+
+
 def adaptive_pool(cells: DataFrame, size: int, to: int, keys: tuple[str, ...] = ("sample_idx",)) -> DataFrame:
     """(keys, row, col, value): mean of a size x size grid (row, col, value) in to x to bins, whose bounds are floor(i * size / to) and ceil((i + 1) * size / to)."""
     bounds = [(i * size // to, -(-(i + 1) * size // to)) for i in range(to)]

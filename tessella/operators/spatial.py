@@ -164,8 +164,8 @@ def thin_centers(centers: DataFrame, spacing: float, most: int = 1, rounding: st
     return centers.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def dense_ids(rows: DataFrame, region: str, order: str, out: str = "patch_id", ranges: int = 64) -> DataFrame:
-    """out: 1, 2, ... by order within each region.
+def dense_ids(rows: DataFrame, region: str, order: str, out: str = "patch_id", ranges: int = 64, ties: list[str] | None = None) -> DataFrame:
+    """out: 1, 2, ... by order, then ties, within each region.
 
     Rows are numbered within hash-free ranges of order (its quantiles), and ranges are offset by what comes before them, so a region of any size takes many tasks.
     """
@@ -176,7 +176,7 @@ def dense_ids(rows: DataFrame, region: str, order: str, out: str = "patch_id", r
     counts = dealt.groupBy(region, "_range").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(region).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col(region).alias("_region"), F.col("_range").alias("_at"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    n = F.row_number().over(Window.partitionBy(region, "_range").orderBy(order))
+    n = F.row_number().over(Window.partitionBy(region, "_range").orderBy(order, *(ties or [])))
     joined = dealt.join(counts, dealt[region].eqNullSafe(F.col("_region")) & (F.col("_range") == F.col("_at")))
     return joined.withColumn(out, (n + F.col("_before")).cast("long")).drop("_range", "_region", "_at", "_before")
 

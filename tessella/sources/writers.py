@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from pathlib import Path
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,34 +40,70 @@ def write_counted(rows: DataFrame, path: str, overwrite: bool = False) -> int:
 
 
 def publish_pair(rows: dict[str, DataFrame], root: str, name: str, overwrite: bool = False) -> str:
-    """Writes several tables that belong together, and publishes them at once: a version folder is filled first, then one file names it.
+    """Writes several tables that belong together and publishes them at once: a version's folder is filled first, then a new file of a log, numbered and never replaced, names it.
 
-    Readers (read_pair) only follow that file, so they see all tables of one version or all of another, also after a failure in between. An older version is left to whoever cleans up.
+    Readers (read_pair) follow the highest file that is whole, so they see all tables of one version or all of another, at any time and after a failure at any step. A file is
+    created only if it isn't there, so of two writers that began with the same version one fails. Older versions are left to whoever cleans up. Where overwrite isn't set, an
+    earlier version is an error.
     """
     spark = next(iter(rows.values())).sparkSession
-    head = f"{root}/{name}/current"
-    if not overwrite and _exists(spark, head):
+    held = published(spark, root, name)
+    if held and not overwrite:
         raise ValueError(f"{root}/{name} exists")
+    base = max(_log(spark, root, name), default=-1)
     version = uuid.uuid4().hex
     for table, df in rows.items():
         df.write.mode("errorifexists").parquet(f"{root}/{name}/{version}/{table}")
-    spark.createDataFrame([(version, sorted(rows))], "version string, tables array<string>").coalesce(1).write.mode("overwrite").json(head)
+    path = f"{root}/{name}/log/{base + 1:012d}.json"
+    if not _create(spark, path, json.dumps({"version": version, "tables": sorted(rows)})):
+        raise ValueError(f"another writer has published {root}/{name}")
     return version
 
 
 def read_pair(spark: SparkSession, root: str, name: str) -> dict[str, DataFrame]:
     """The tables that were last published under that name."""
-    head = spark.read.schema("version string, tables array<string>").json(f"{root}/{name}/current").first()
+    head = published(spark, root, name)
+    if head is None:
+        raise ValueError(f"nothing is published as {root}/{name}")
     return {t: spark.read.parquet(f"{root}/{name}/{head['version']}/{t}") for t in head["tables"]}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def published(spark: SparkSession, root: str, name: str) -> dict[str, Any] | None:
+    """What the highest whole file of the log says; none if there is none."""
+    for path in (p for _, p in sorted(_log(spark, root, name).items(), reverse=True)):
+        text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+        try:
+            return json.loads(text)
+        except ValueError:  # a writer has just made it, or never came to its end
+            continue
+    return None
+
+
+def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _log(spark: SparkSession, root: str, name: str) -> dict[int, str]:
+    """Number and path of each file of a log."""
+    files, at = _files(spark, f"{root}/{name}/log")
+    listed = [s.getPath() for s in files.listStatus(at)] if files.exists(at) else []
+    return {int(p.getName()[:12]): p.toString() for p in listed if re.fullmatch(r"\d{12}\.json", p.getName())}
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a file if there is none; whether it did."""
+    files, at = _files(spark, path)
+    try:
+        out = files.create(at, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
     try:
-        spark.read.schema("version string").json(path).limit(1).count()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
     return True
 
 

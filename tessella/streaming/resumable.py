@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,21 +18,31 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def merge_arriving_shards(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, index: str = "sample_idx") -> StreamingQuery:
     """Appends each new shard file's rows to target, once: an index that comes twice, in one batch or in two, is an error for the query, not silently dropped.
 
-    Batches have a folder of their own, so a batch that is tried again overwrites itself.
+    A keyed state holds how often each index has come, so a batch costs as much as its own rows, whatever target holds by then. The state of a batch that fails isn't kept, and
+    batches have a folder of their own, so a batch that is tried again meets the state it met before and overwrites itself. Rows with a null index count as one index.
     """
+    stream = spark.readStream.schema(schema).parquet(source)
+    names = stream.columns
+
+    def counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for rows in frames:
+            rows = rows[names].copy()
+            rows["_before"] = range(n, n + len(rows))
+            n += len(rows)
+            yield rows
+        state.update((n,))
+
+    marked = stream.groupBy(index).applyInPandasWithState(counted, ", ".join(f"`{n}` {t}" for n, t in [*stream.dtypes, ("_before", "long")]), "n long", "append", GroupStateTimeout.NoTimeout)
 
     def append(batch: DataFrame, number: int) -> None:
-        fresh = batch.select(index).withColumn("_batch", F.lit(number).cast("long"))
-        try:
-            held = batch.sparkSession.read.parquet(target).where(F.col("batch") != number).select(index, F.col("batch").cast("long").alias("_batch"))
-            fresh = fresh.unionByName(held)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        twice = fresh.groupBy(index).agg(F.count("*").alias("c"), F.max("_batch").alias("b")).where((F.col("c") > 1) & (F.col("b") >= number))
-        if not twice.isEmpty():
+        # The state is made once: what is checked is what has been written.
+        batch.write.mode("overwrite").parquet(f"{target}/_arriving/{number}")
+        held = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/_arriving/{number}")
+        if not held.where("_before > 0").isEmpty():
             raise ValueError(f"repeated {index} in batch {number}")
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        held.drop("_before").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        at = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{target}/_arriving/{number}")
+        at.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return marked.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ from conftest import SF, comparable
 
 from tessella.plans import pipelines
 from tessella.plans import queries as q
-from tessella.plans import shape_queries  # noqa: F401  registers its queries
+from tessella.plans import shape_queries, table_queries  # noqa: F401  they register their queries
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
