@@ -162,7 +162,7 @@ def test_a_difference_from_the_library_is_an_error(spark, model, monkeypatch):
     assert voc.alone("▁thing") == voc.encoded(["▁thing"])[0].tolist()
     docs = spark.createDataFrame([("some text",)], "text string")
     held = pieces._library(open(model, "rb").read())
-    other = type("Other", (), {"encode": lambda self, t: held.encode(t) + [5], "decode": lambda self, x: held.decode(x) + "!"})()
+    other = type("Other", (), {"encode": lambda self, t, num_threads: [[*x, 5] for x in held.encode(t)], "decode": lambda self, x: held.decode(x) + "!"})()
     monkeypatch.setattr(pieces, "_library", lambda data: other)
     monkeypatch.setattr(pieces, "map_arrow", lambda df, f, schema: f)
     with pytest.raises(ValueError, match="differ from the library"):
@@ -171,6 +171,16 @@ def test_a_difference_from_the_library_is_an_error(spark, model, monkeypatch):
         list(pieces.decode(spark, spark.createDataFrame([([5],)], "ids array<int>"), model)(iter([pa.RecordBatch.from_pydict({"ids": pa.array([[5]], pa.list_(pa.int32()))})])))
 
 
+def test_passages_are_encoded_as_whole_texts(model, library, monkeypatch):
+    """What the operator compares with is what the library makes of whole texts, also where passages are very short."""
+    voc = pieces.vocabulary(open(model, "rb").read())
+    texts = [t or "" for t in strings(random.Random(16))] + ["a  b ", "a b ", " a", "a ▁ b c", "▁ ▁ ", "x" * 300 + " "]
+    for size in (1, 7, 100):
+        monkeypatch.setattr(pieces, "PASSAGE", size)
+        for t in texts:
+            assert [i for p in pieces._passages([t], voc) for i in library.encode(p)] == library.encode(t), t[:50]
+
+
 @pytest.mark.parametrize("segment", ["thethethe" * 3, "aaaaaaaaaaaaaaaa", "▁▁▁▁▁▁▁word", "中x中"])
 def test_agendas_agree(model, segment):
     """The heap's agenda and the one of many segments at once take the same steps."""
