@@ -3,8 +3,9 @@
 A seed mask selects some of the word positions of a span and ignores the others, so a hash over the selected words still agrees where an ignored word
 was substituted. Hashes of test items and of documents are joined; each hit is then verified by comparing the aligned words around it.
 
-The seeds hit every span that verification accepts: of 11 aligned words or more with two substituted, some four in a row are equal, but for 11 words with
-the substituted ones at 3 and 7 (from 0), which have a mask of their own. Items of fewer words have to be copied whole and are seeded by all their words.
+Three masks of six words, none of them in a row, laid at every place, hit every span that verification accepts: of 11 aligned words with any two substituted, one of the masks leaves both out at some
+place (the tests try all). All masks begin with two neighbouring words, so a place is only looked at closely if the test items hold that pair. Items of fewer than 11 words have to be copied whole and are
+seeded by all their words.
 """
 
 from __future__ import annotations
@@ -14,10 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, distinct_name, staged
 
-#: Masks of the same in SQL; they miss some spans that verification accepts, COVER doesn't.
-MASKS = ("11011011011", "11001100110011")
-#: 1 selects the word at that place. The first is laid everywhere, the second where SHORTEST aligned words can begin and end.
-COVER = ("1111", "11101110111")
+#: 1 selects the word at that place; all begin with PAIR. Together they hit SHORTEST aligned words with any WINDOW - AGREE of them substituted.
+COVER, PAIR = ("1111011", "1101100011", "110001111"), "11"
 #: Fewest aligned words in which substitutions are allowed.
 SHORTEST = 11
 #: Verified words around a hit, and how many of them have to agree.
@@ -73,6 +72,12 @@ def seed_filter(seeds: DataFrame) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>"), size
 
 
+def may(held: tuple[Column, int], h: Column) -> Column:
+    """Whether a filter may hold a seed."""
+    bits, size = held
+    return F.getbit(F.get(bits, F.shiftrightunsigned(h, 64 - size).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, agree): documents that share words with a test item; agree: the most equal words among WINDOW aligned ones around a hit.
 
@@ -83,29 +88,25 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
     """
     items = staged(spark, numbered(items), "items")
     seeds = staged(spark, item_seeds(items), "seeds")
-    bits, size = seed_filter(seeds)
+    held = seed_filter(seeds)
+    pairs = seed_filter(items.where(F.size("words") >= SHORTEST).select(F.explode(F.transform(_starts(F.col("words"), PAIR), lambda i: _seed(F.col("words"), i, PAIR))).alias("seed")).distinct())
     # At most SHORTEST numbers reach the driver.
-    short = sorted(r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") <= SHORTEST).distinct().collect())
-    masks = [COVER[0], COVER[1], *("1" * n for n in short if n < SHORTEST)]
+    short = sorted(r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < SHORTEST).distinct().collect())
     least = min([SHORTEST, *short])
     words = docs.select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= least)
 
-    def may(h: Column) -> Column:
-        return F.getbit(F.get(bits, F.shiftrightunsigned(h, 64 - size).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    def starts(mask: str) -> Column:
-        every = _starts(F.col("words"), mask)
-        # Only SHORTEST words of a longer item are aligned at an end of the document.
-        return every if mask != COVER[1] or SHORTEST in short else F.filter(F.array_distinct(F.array(F.lit(0), F.size("words") - SHORTEST)), lambda i: (i >= 0) & (F.size("words") >= SHORTEST))
-
-    def places(mask: str) -> Column:
+    def hits_of(mask: str, starts: Column) -> Column:
         seed = lambda i: _seed(F.col("words"), i, mask)
         # exists() over one element names the hash, so that it is computed once for each place.
-        hit = F.filter(starts(mask), lambda i: F.exists(F.array(seed(i)), may))
+        hit = F.filter(starts, lambda i: F.exists(F.array(seed(i)), lambda h: may(held, h)))
         near = lambda i: F.slice(F.col("words"), F.greatest(i - WINDOW, F.lit(0)) + 1, F.lit(3 * WINDOW))
         return F.transform(hit, lambda i: F.struct((i - WINDOW).alias("from"), seed(i).alias("seed"), near(i).alias("near")))
 
-    hits = words.select("doc_id", F.inline(F.concat(*map(places, masks))))
+    known_pair = F.filter(_starts(F.col("words"), PAIR), lambda i: F.exists(F.array(_seed(F.col("words"), i, PAIR)), lambda h: may(pairs, h)))
+    fits = lambda mask, places: F.filter(places, lambda i: i <= F.size("words") - len(mask))
+    spaced = F.flatten(F.transform(F.array(known_pair), lambda places: F.concat(*(hits_of(m, fits(m, places)) for m in COVER))))
+    whole = [hits_of("1" * n, _starts(F.col("words"), "1" * n)) for n in short]
+    hits = words.select("doc_id", F.inline(F.concat(spaced, *whole)))
     if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     known = items.select("item", "item_id", F.col("words").alias("its"))

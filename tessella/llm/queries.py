@@ -133,9 +133,11 @@ def _vector_codes(rounds: int = 2) -> str:
         SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN q USING (u), h"""
 
 
-def _seeds(source: str, key: str) -> str:
-    """Rows (key, mask, p, seed): p is where the mask is laid, from 0."""
-    return " UNION ALL ".join(f"SELECT {key}, {m} AS mask, p, {_picked(mask, 'ws', 'p')} AS seed FROM (SELECT {key}, ws, unnest(range(0, len(ws) - {len(mask)} + 1)) AS p FROM {source})" for m, mask in enumerate(decontam.MASKS))
+def _seeds(source: str, key: str, spaced: str, short: str) -> str:
+    """Rows (key, mask, p, seed): p is where the mask is laid, from 0. spaced and short: which rows the masks are for, and which the runs of k words."""
+    masks = (f"SELECT {key}, {m} AS mask, p, {_picked(mask, 'ws', 'p')} AS seed FROM (SELECT {key}, ws, unnest(range(0, len(ws) - {len(mask)} + 1)) AS p FROM {source} WHERE {spaced})" for m, mask in enumerate(decontam.COVER))
+    runs = f"SELECT {key}, -k AS mask, p, array_to_string(ws[p + 1:p + k], ' ') AS seed FROM (SELECT {key}, ws, k, unnest(range(0, len(ws) - k + 1)) AS p FROM {source} JOIN short ON {short})"
+    return " UNION ALL ".join([*masks, runs])
 
 
 ORACLE_SQL = {
@@ -197,15 +199,16 @@ ORACLE_SQL = {
     "op8_decontaminate": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
         b AS (SELECT row_number() OVER () AS j, item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM benchmark),
-        ds AS ({_seeds("d", "r")}), bs AS ({_seeds("b", "j")}),
+        short AS (SELECT DISTINCT len(ws) AS k FROM b WHERE len(ws) BETWEEN 1 AND {decontam.SHORTEST - 1}),
+        ds AS ({_seeds("d", "r", f"len(ws) >= {decontam.SHORTEST}", "len(ws) >= k")}), bs AS ({_seeds("b", "j", f"len(ws) >= {decontam.SHORTEST}", "len(ws) = k")}),
         hit AS (SELECT DISTINCT r, j, ds.p AS p, bs.p AS q FROM ds JOIN bs USING (mask, seed)),
         al AS (
-          SELECT r, j, p, q, list_transform(list_filter(range(-15, 30), lambda k: q + k >= 0 AND q + k < len(b.ws) AND p + k >= 0 AND p + k < len(d.ws)),
+          SELECT r, j, p, q, len(b.ws) AS m, list_transform(list_filter(range(-15, 30), lambda k: q + k >= 0 AND q + k < len(b.ws) AND p + k >= 0 AND p + k < len(d.ws)),
             lambda k: CAST(b.ws[q + k + 1] = d.ws[p + k + 1] AS INTEGER)) AS e
           FROM hit JOIN d USING (r) JOIN b USING (j)),
-        best AS (SELECT r, j, len(e) AS n, list_max(list_transform(range(1, greatest(len(e) - 14, 1) + 1), lambda s: list_sum(e[s:s + 14]))) AS agree FROM al)
+        best AS (SELECT r, j, m, len(e) AS n, list_max(list_transform(range(1, greatest(len(e) - 14, 1) + 1), lambda s: list_sum(e[s:s + 14]))) AS agree FROM al)
         SELECT doc_id, item_id, CAST(max(agree) AS BIGINT) AS agree FROM best JOIN d USING (r) JOIN b USING (j)
-        WHERE agree >= least(n, 15) - 2 GROUP BY doc_id, item_id""",
+        WHERE CASE WHEN m < {decontam.SHORTEST} THEN agree = m ELSE n >= {decontam.SHORTEST} AND agree >= least(n, 15) - 2 END GROUP BY doc_id, item_id""",
     "op6_exact_top_k": """
         WITH v AS (
           SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
