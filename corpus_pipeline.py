@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontam, mixing, ngram_join, quality, substring
-from tessella.llm.common import staged, table
+from tessella.llm.common import forget, staged, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(spark, stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(spark, stage(spark, docs, sf_dir), name)
+        forget(spark, before)
     return docs
