@@ -21,10 +21,10 @@ from .sources import readers, writers
 
 @dataclass(frozen=True)
 class Stage:
-    """What a command needs, what it writes, and how. inputs and outputs are names of arguments."""
+    """What a command needs, what it writes, and how. inputs and outputs are names of arguments; opened gives the input tables by what they are called, and fails where they aren't there."""
 
     run: Callable[[SparkSession, argparse.Namespace], dict[str, Any]]
-    inputs: tuple[str, ...] = ()
+    opened: Callable[[SparkSession, argparse.Namespace], dict[str, DataFrame]]
     outputs: tuple[str, ...] = ()
     options: tuple[tuple[str, dict[str, Any]], ...] = field(default=())
 
@@ -69,16 +69,37 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> dict[str, Any]:
     return report
 
 
+def _tables(*names: str) -> Callable[[SparkSession, argparse.Namespace], dict[str, DataFrame]]:
+    def opened(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+        given = [getattr(a, n) for n in names]
+        return {p: spark.read.parquet(p) for v in given for p in (v if isinstance(v, list) else [v])}
+
+    return opened
+
+
+def _pair(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    return {f"{a.index}/{a.region}/{name}": df for name, df in writers.read_pair(spark, a.index, a.region).items()}
+
+
+def _scenes(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    DataProfile.load(a.profile)
+    return {a.root: readers.scan_scene_files(spark, a.root)}
+
+
+def _manifests(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    return {path: spark.read.parquet(path) for path in (m.split("=", 1)[1] for m in a.manifest)}
+
+
 _OUT = (("--output", {"required": True}), ("--overwrite", {"action": "store_true"}))
 STAGES: dict[str, Stage] = {
-    "index": Stage(_index, ("features",), ("output",), (
+    "index": Stage(_index, _tables("features"), ("output",), (
         ("--features", {"required": True}), ("--region", {"required": True}), ("--footprint", {}), ("--tile-footprint", {}), ("--predicate", {"default": "covers", "choices": ["covers", "contains"]}),
         ("--halfwidth", {"type": float, "default": 0.0012}), ("--scale", {"type": float, "default": 10.0}), ("--least-classes", {"type": int, "default": 2}), ("--coverage", {"type": float, "default": 0.0}),
         ("--spacing", {"type": float, "default": 0.01}), ("--limit", {"type": int}), *_OUT)),
-    "sample": Stage(_sample, (), ("output",), (("--index", {"required": True}), ("--region", {"required": True}), ("--most", {"type": int}), ("--seed", {"type": int, "default": 42}), ("--hashed", {"action": "store_true"}), *_OUT)),
-    "split": Stage(_split, (), ("output",), (("--profile", {"required": True}), ("--root", {"required": True}), ("--tiles", {"type": int, "default": 100}), *_OUT)),
-    "expand": Stage(_expand, (), ("output",), (("--manifest", {"required": True, "action": "append", "help": "name=path, once for each split"}), ("--width", {"type": int, "default": 30}), ("--tiles", {"type": int, "default": 100}), *_OUT)),
-    "evaluate": Stage(_evaluate, ("shard",), ("output",), (
+    "sample": Stage(_sample, _pair, ("output",), (("--index", {"required": True}), ("--region", {"required": True}), ("--most", {"type": int}), ("--seed", {"type": int, "default": 42}), ("--hashed", {"action": "store_true"}), *_OUT)),
+    "split": Stage(_split, _scenes, ("output",), (("--profile", {"required": True}), ("--root", {"required": True}), ("--tiles", {"type": int, "default": 100}), *_OUT)),
+    "expand": Stage(_expand, _manifests, ("output",), (("--manifest", {"required": True, "action": "append", "help": "name=path, once for each split"}), ("--width", {"type": int, "default": 30}), ("--tiles", {"type": int, "default": 100}), *_OUT)),
+    "evaluate": Stage(_evaluate, _tables("shard"), ("output",), (
         ("--shard", {"required": True, "action": "append"}), ("--task", {"required": True}), ("--samples", {"type": int, "required": True}), ("--ks", {"default": "20,100"}), ("--base", {"type": int}),
         ("--classes", {"type": int, "default": 0}), ("--format", {}), ("--output", {}))),
 }
@@ -98,9 +119,7 @@ def parser() -> argparse.ArgumentParser:
 def planned(spark: SparkSession, name: str, a: argparse.Namespace) -> dict[str, Any]:
     """What a stage would do; its input tables are opened, which fails where they aren't there, and nothing is written."""
     stage = STAGES[name]
-    given = [getattr(a, i) for i in stage.inputs]
-    paths = [p for v in given for p in (v if isinstance(v, list) else [v])]
-    opened: dict[str, DataFrame] = {p: spark.read.parquet(p) for p in paths}
+    opened = stage.opened(spark, a)
     arguments = {k: v for k, v in vars(a).items() if k not in ("stage", "dry_run") and v is not None}
     return {"status": "planned", "stage": name, "inputs": {p: df.columns for p, df in opened.items()}, "outputs": [v for o in stage.outputs if (v := getattr(a, o))], "arguments": arguments}
 

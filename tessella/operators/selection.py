@@ -90,6 +90,13 @@ def pool_features(features: DataFrame, text: DataFrame, mode: str, keys: tuple[s
     return scored(rows)
 
 
+def ensemble(rows: DataFrame, keys: tuple[str, ...] = ("class_id",), vector: str = "vector") -> DataFrame:
+    """(keys, proto): of each key, the mean of its vectors, such as those of a class's prompts, each of length 1, brought to length 1. Components are averaged by place, so a key may have any number of vectors."""
+    each = rows.select(*keys, F.posexplode(S.l2_normalise(F.col(vector))).alias("_i", "_v")).groupBy(*keys, "_i").agg(F.avg("_v").alias("_m"))
+    whole = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias("_p"))
+    return whole.select(*keys, S.l2_normalise(F.col("_p")).alias("proto"))
+
+
 def adaptive_pool(cells: DataFrame, size: int, to: int, keys: tuple[str, ...] = ("sample_idx",)) -> DataFrame:
     """(keys, row, col, value): mean of a size x size grid (row, col, value) in to x to bins, whose bounds are floor(i * size / to) and ceil((i + 1) * size / to)."""
     bounds = [(i * size // to, -(-(i + 1) * size // to)) for i in range(to)]

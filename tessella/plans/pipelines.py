@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,15 +146,23 @@ def score_scenes(rows: DataFrame, router: Callable[[], models.Scorer], scorer: C
     return scored.select("sample_idx", F.size("tiles").alias("selected_count"), F.posexplode("scores").alias("class_id", "score"))
 
 
-def single_query(rows: DataFrame, router: Callable[[], models.Scorer], observed: Callable[[], models.Scorer], zero: Callable[[], models.Scorer], policy: Policy, query: int | str, gain: float = 0.075) -> DataFrame:
-    """(sample_idx, router_scores, selected_indices, used_hr_ratio, class_scores): one class asked for, with its own budget, and the residual gain applied."""
+def single_query(
+    rows: DataFrame, router: Callable[[], models.Scorer], observed: Callable[[], models.Scorer], zero: Callable[[], models.Scorer], policy: Policy, query: int | str, gain: float = 0.075,
+    tiles: Callable[[], models.Scorer] | None = None, features: Callable[[], models.Scorer] | None = None,
+) -> DataFrame:
+    """(sample_idx, router_scores, selected_indices, used_hr_ratio, class_scores, tile_scores, predicted_features): one class asked for, with its own budget, and the residual gain applied.
+
+    tile_scores and predicted_features are those of the scorers tiles and features, which get column tiles too, and null where they aren't given.
+    """
     k = policy.resolve(query)
     routed = models.score(rows, router, "router_scores")
     ranked = F.array_sort(F.transform("router_scores", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
     chosen = routed.withColumn("tiles", F.transform(F.slice(ranked, 1, k), lambda x: x["i"]))
     both = models.score(models.score(chosen, observed, "seen"), zero, "blind")
+    for name, make in (("tile_scores", tiles), ("predicted_features", features)):
+        both = models.score(both, make, name) if make else both.withColumn(name, F.lit(None).cast("array<double>"))
     gained = F.zip_with("seen", "blind", lambda a, b: S.residual_gain(a, b, gain))
-    return both.select("sample_idx", "router_scores", F.col("tiles").alias("selected_indices"), (F.size("tiles") / 100).alias("used_hr_ratio"), gained.alias("class_scores"))
+    return both.select("sample_idx", "router_scores", F.col("tiles").alias("selected_indices"), (F.size("tiles") / 100).alias("used_hr_ratio"), gained.alias("class_scores"), "tile_scores", "predicted_features")
 
 
 def classwise_scores(rows: DataFrame, router: Callable[[], models.Scorer], scorer: Callable[[], models.Scorer], policy: Policy, gain: float = 0.075) -> DataFrame:
@@ -200,3 +209,37 @@ def evaluate(parts: list[DataFrame], task: str, samples: int, ks: tuple[int, ...
 def empty_scores(spark: SparkSession) -> DataFrame:
     """The schema of scores, for a shard without rows."""
     return spark.createDataFrame([], "sample_idx long, class_id int, score double, target int")
+
+
+#: What marks a table of transfer predictions, and its tasks; fixed values.
+TASKS = ("single-label-classification", "multi-label-classification")
+PAYLOAD = "format string, dataset string, task string, name string, sample_idx long, class_id int, class_name string, score float, target int"
+
+
+def prediction_payload(scores: dict[str, DataFrame], targets: DataFrame, classes: tuple[str, ...], dataset: str, task: str, tag: str, indices: DataFrame | None = None) -> DataFrame:
+    """PAYLOAD rows of transfer predictions: every named score of every sample and class, with its target.
+
+    scores: by name, rows (ord, class_id, score), where ord numbers the samples in the order in which they were scored, and score is kept as a float. targets: (ord, class_id), the one class of a
+    sample, for single-label tasks, where target says whether a class is that one; (ord, class_id, target) else. indices: (ord, sample_idx), which has to have as many rows as
+    there are samples with targets; without it samples are numbered 0, 1, ... by ord. No score gives a table without rows.
+    """
+    if task not in TASKS:
+        raise ValueError(f"unknown task {task}")
+    spark = targets.sparkSession
+    samples = targets.select("ord").distinct()
+    if indices is None:
+        numbered = spatial.dense_ids(samples.withColumn("_all", F.lit(0)), "_all", "ord", "sample_idx").select("ord", (F.col("sample_idx") - 1).alias("sample_idx"))
+    else:
+        if (m := indices.count()) != (n := samples.count()):
+            raise ValueError(f"{m} sample indices, but {n} samples with targets")
+        numbered = indices.select("ord", F.col("sample_idx").cast("long").alias("sample_idx"))
+    parts = [df.select(F.lit(name).alias("name"), "ord", F.col("class_id").cast("int").alias("class_id"), F.col("score").cast("float").alias("score")) for name, df in sorted(scores.items())]
+    if not parts:
+        return spark.createDataFrame([], PAYLOAD)
+    rows = reduce(DataFrame.unionByName, parts).join(numbered, "ord")
+    if task == TASKS[0]:
+        held = rows.join(targets.select("ord", F.col("class_id").alias("_own")), "ord").withColumn("target", (F.col("class_id") == F.col("_own")).cast("int"))
+    else:
+        held = rows.join(targets.select("ord", F.col("class_id").cast("int").alias("class_id"), F.col("target").cast("int").alias("target")), ["ord", "class_id"])
+    name = F.try_element_at(F.array(*map(F.lit, classes)), F.col("class_id") + 1)
+    return held.select(F.lit(tag).alias("format"), F.lit(dataset).alias("dataset"), F.lit(task).alias("task"), "name", "sample_idx", "class_id", name.alias("class_name"), "score", "target")

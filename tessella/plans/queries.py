@@ -186,10 +186,8 @@ def calibrated_cosine(spark, sf_dir):
   m AS (SELECT grp, i, avg(u) AS m FROM g GROUP BY ALL), n AS (SELECT grp, sqrt(sum(m * m)) AS n FROM m GROUP BY ALL)
   SELECT CAST(grp AS INTEGER) AS grp, CAST(i AS INTEGER) AS i, round(m / greatest(n, 1e-12), 6) AS v FROM m JOIN n USING (grp)""")
 def prompt_ensemble(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("grp"), S.l2_normalise(F.col("embedding")).alias("u"))
-    mean = e.select("grp", F.posexplode("u").alias("i", "v")).groupBy("grp", "i").agg(F.avg("v").alias("m"))
-    rows = mean.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
-    return rows.select("grp", F.posexplode(S.l2_normalise(F.col("m"))).alias("i", "v")).select("grp", "i", F.round("v", 6).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("grp"), "embedding")
+    return selection.ensemble(e, ("grp",), "embedding").select("grp", F.posexplode("proto").alias("i", "v")).select("grp", "i", F.round("v", 6).alias("v"))
 
 
 # Tiles: line items of an order as scored cells.

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import rasters, selection
+from ..operators import rasters, selection, shards
 from ..sources import readers, writers
 from ..storage import shared_dir
-from .queries import SCORES, prototypes, query, table
+from ..streaming import resumable
+from . import pipelines
+from .queries import _INDEX, _REACH, SCORES, box_features, polygon_features, prototypes, query, table
 
 
 def fresh(spark, name: str) -> str:
@@ -97,6 +99,68 @@ def download_urls(spark, sf_dir):
     return readers.download_plan(spark, regions, "https://example.org/{slug}/{region}.pbf", done).select("region", "url")
 
 
+@query("SELECT c_custkey AS sample_idx, c_acctbal AS score FROM customer")
+def arriving_shards(spark, sf_dir):
+    """Customers in five files that arrive one by one, appended once each by a stream that knows which have come."""
+    source, target = fresh(spark, "arriving"), fresh(spark, "arrived")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_idx"), F.col("c_acctbal").alias("score"))
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    for i in range(5):
+        rows.where(F.col("sample_idx") % 5 == i).coalesce(1).write.parquet(f"{source}/{i}")
+    resumable.merge_arriving_shards(spark, f"{source}/*", schema, target, fresh(spark, "state"), files=2).awaitTermination()
+    return spark.read.schema(schema).option("basePath", target).parquet(f"{target}/batch=*").select("sample_idx", "score")
+
+
+@query("""SELECT round(lon - 0.05, 6) AS x0, round(lat - 0.05, 6) AS y0, round(lon + 0.05, 6) AS x1, round(lat + 0.05, 6) AS y1, 8 AS corners FROM (
+  SELECT (c_custkey * 37 % 1000) / 100.0::DOUBLE AS lat, (c_custkey * 91 % 1000) / 100.0::DOUBLE AS lon FROM customer)""")
+def geojson_scan(spark, sf_dir):
+    """Octagons written as collections of GeoJSON features, and read as polygons with their bounds."""
+    path = fresh(spark, "geojson")
+    corner = lambda p: F.array(p["x"], p["y"])
+    rings = polygon_features(spark, sf_dir).select((F.col("feature_id") % 8).alias("file"), F.transform("rings", lambda r: F.transform(r, corner)).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), "coordinates").alias("geometry"))
+    files = rings.groupBy("file").agg(F.collect_list(feature).alias("features")).select("file", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    held = readers.read_footprints(spark, f"{path}/file=*")
+    return held.select(*(F.round(F.col(f"box.{c}"), 6).alias(c) for c in ("x0", "y0", "x1", "y1")), F.size(F.flatten(F.flatten("parts"))).alias("corners"))
+
+
+@query(f"WITH {_INDEX.replace('ORDER BY c_custkey) = 1)', 'ORDER BY c_custkey) = 1 ORDER BY c_custkey LIMIT 30)', 1)} SELECT patch_id, round(lat, 6) AS lat, round(lon, 6) AS lon, count(*) AS classes FROM fr JOIN id USING (center) JOIN pa USING (center) GROUP BY ALL")
+def index_limited(spark, sf_dir):
+    """Scenes of an index of squares that is made of the first thirty centres."""
+    foot = spark.createDataFrame([((0.5, 0.0, 9.4, 9.9),)], "box struct<x0:double,y0:double,x1:double,y1:double>")
+    scenes = pipelines.build_index(box_features(spark, sf_dir), "all", foot, halfwidth=_REACH / 10, spacing=0.5, limit=30, invalid="keep")[0]
+    return scenes.select("patch_id", F.round("center_lat", 6).alias("lat"), F.round("center_lon", 6).alias("lon"), F.size("classes").cast("long").alias("classes"))
+
+
+@query("SELECT p_partkey, '/data/' || p_type || '/LR/' || p_partkey || '.jpg' AS moved, p_type || '/HR/' || p_partkey || '/' || p_size || '.jpg' AS tile FROM part")
+def scene_paths(spark, sf_dir):
+    """Paths of scenes under another root, and of their tiles."""
+    path = F.concat(F.lit("/old/place/"), F.col("p_type"), F.lit("/LR/"), F.col("p_partkey"), F.lit(".jpg"))
+    return table(spark, sf_dir, "part").select("p_partkey", codec.under_root("/data", path).alias("moved"), codec.tile_path(path, F.col("p_size")).alias("tile"))
+
+
+@query("SELECT l_orderkey % 4 AS shard, count(*) AS rows, 'A,N,R' AS vocabulary FROM lineitem GROUP BY ALL")
+def shard_vocabulary(spark, sf_dir):
+    """Shards of line items and the flags that occur in them, which all shards have to have alike."""
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 4).alias("shard")).agg(F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("vocabulary"))
+    return shards.require_agreement(rows, ["vocabulary"])
+
+
+@query(f"""WITH {SCORES}, n AS (SELECT vec_id AS sample_idx, row_number() OVER (ORDER BY vec_id DESC) - 1 AS place FROM embeddings)
+  SELECT name, place AS sample_idx, class_id, 'class ' || class_id AS class_name, round(CASE name WHEN 'high' THEN score ELSE score / 2 END, 5) AS score, target
+  FROM sc JOIN n USING (sample_idx), (SELECT unnest(['high', 'low']) AS name)""")
+def transfer_payload(spark, sf_dir):
+    """Two kinds of scores of all vectors as transfer predictions, numbered in the order in which they were scored: from the last vector to the first."""
+    from .queries import prototype_scores
+
+    scores = prototype_scores(spark, sf_dir).withColumn("ord", -F.col("sample_idx"))
+    targets = table(spark, sf_dir, "embeddings").select((-F.col("vec_id")).alias("ord"), F.col("label").alias("class_id"))
+    both = {"high": scores, "low": scores.withColumn("score", F.col("score") / 2)}
+    found = pipelines.prediction_payload(both, targets, tuple(f"class {i}" for i in range(10)), "vectors", pipelines.TASKS[0], "predictions-1")
+    return found.select("name", "sample_idx", "class_id", "class_name", F.round(F.col("score").cast("double"), 5).alias("score"), "target")
+
+
 def _weights(name: str, n: int, out: int) -> str:
     """SQL of the cubic filter's weights from n to out pixels."""
     scale, wide = n / out, max(n / out, 1.0)

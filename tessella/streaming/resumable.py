@@ -15,13 +15,13 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def merge_arriving_shards(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, index: str = "sample_idx") -> StreamingQuery:
+def merge_arriving_shards(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, index: str = "sample_idx", files: int = 1000) -> StreamingQuery:
     """Appends each new shard file's rows to target, once: an index that comes twice, in one batch or in two, is an error for the query, not silently dropped.
 
     A keyed state holds how often each index has come, so a batch costs as much as its own rows, whatever target holds by then. The state of a batch that fails isn't kept, and
-    batches have a folder of their own, so a batch that is tried again meets the state it met before and overwrites itself. Rows with a null index count as one index.
+    batches have a folder of their own and at most that many files each, so a batch that is tried again meets the state it met before and overwrites itself. Rows with a null index count as one index.
     """
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     names = stream.columns
 
     def counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
