@@ -4,8 +4,8 @@ Features are the presence of words and of word beginnings, hashed. Grades are or
 Labels may hold grades, 0 for clean texts. Where they only say toxic or not, the grades of toxic training documents are cut by how many telltale features
 they have, so severity then is a matter of how much evidence there is.
 
-Only features that are surely more frequent in toxic documents than in others are kept: those some 20 times as frequent, or, where they leave toxic training
-documents without any, as few times as it takes (SURENESS, LEAST_ODDS, COVERED). A document without such a feature is graded as an empty one.
+Only features that are surely more frequent in toxic documents than in others are kept: those some 20 times as frequent, or, where they leave any toxic training
+document without one, as few times as it takes (SURENESS, LEAST_ODDS, COVERED). A document without such a feature is graded as an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ BITS = 18
 #: Features that are kept, at most: those that tell most.
 KEPT = 20_000
 #: Standard errors below a feature's log-odds at which they still have to exceed the least: the first of these with which so many toxic documents have a feature.
-SURENESS, LEAST_ODDS, COVERED = 1.0, (3.0, 2.5, 2.0, 1.5, 1.0, 0.5, 0.0), 0.9
+SURENESS, LEAST_ODDS, COVERED = 1.0, (3.0, 2.5, 2.0, 1.5, 1.0, 0.5, 0.0), 1.0
 PREFIXES = (4, 5)
 #: Punctuation and digits separate words here.
 SEPARATORS = SPACE.copy()
