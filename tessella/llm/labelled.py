@@ -15,7 +15,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     """(text, y) of at most `rows` labelled documents, those with the smallest hash of doc_id, without those held out; y is the label, a whole number from 0.
 
     Null and negative labels and null ids are left out; a doc_id with several labels keeps the greatest, one with several texts that with the smallest hash.
-    `rows` bounds what is broadcast here and what comes back. An empty table on either side gives no row; other columns are ignored.
+    `rows` bounds what is broadcast here and what comes back: it counts labels, so those of documents that aren't in docs use it up too. An empty table on either side gives no row; other columns are ignored.
     """
     known = labels.where((F.col(label) >= 0) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(rows)
