@@ -1 +1 @@
-"""Cross-scale observation analytics and corpus preparation as PySpark plans."""
+"""Analytics for scenes observed in part, and corpus preparation, as PySpark plans."""

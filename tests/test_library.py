@@ -158,6 +158,19 @@ def test_shards_that_arrive_twice(spark, tmp_path):
     assert spark.read.parquet(target).count() == 5
 
 
+def test_a_shard_that_comes_again_three_batches_later(spark, tmp_path):
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    run = lambda: resumable.merge_arriving_shards(spark, f"{source}/*", "sample_idx long, v string", target, f"{tmp_path}/state", files=1).awaitTermination()
+    for i in range(4):
+        spark.range(10 * i, 10 * i + 10).selectExpr("id AS sample_idx", "'x' AS v").coalesce(1).write.parquet(f"{source}/{i}")
+        run()
+    assert spark.read.parquet(target).count() == 40
+    spark.range(3, 4).selectExpr("id AS sample_idx", "'again' AS v").write.parquet(f"{source}/late")
+    with pytest.raises(Exception, match="repeated sample_idx"):
+        run()
+    assert spark.read.parquet(target).where("v = 'again'").count() == 0
+
+
 def test_image_arithmetic(spark):
     pixels = F.array(F.array(F.lit(0), F.lit(255)), F.array(F.lit(51), F.lit(102)))
     got = spark.range(1).select(imagery.normalised_pixels(pixels, [0.5, 0.5], [0.25, 0.5]).alias("x")).first()["x"]
