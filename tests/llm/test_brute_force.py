@@ -137,6 +137,61 @@ def test_quality_equals_plain_python(spark):
         assert abs(r["score"] - plain_score(r["text"], model)) < 1e-6, r["doc_id"]
 
 
+def test_quality_fit_is_where_the_loss_is_flat():
+    """The logistic loss on differences of preference pairs, written out, has no slope at the fitted weights, and is larger beside them."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(30, quality.WIDTH)), np.array([0, 1, 1] * 10)
+    x[y == 1, 0] += 1.5
+    model = quality.QualityModel().fit(x, y)
+    order = np.lexsort((*x.T, y))
+    z = [[min(max((x[i, k] - model.mean[k]) / model.scale[k], -8), 8) for k in range(quality.WIDTH)] for i in order]
+    good, bad = np.flatnonzero(y[order] == 1), np.flatnonzero(y[order] == 0)
+    others = np.random.default_rng(model.seed).choice(good, len(bad) * quality.PARTNERS)
+    pairs = [[a - b for a, b in zip(z[g], z[k], strict=True)] for g, k in zip(others, np.repeat(bad, quality.PARTNERS), strict=True)]
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-sum(a * b for a, b in zip(d, w, strict=True)))) for d in pairs) / len(pairs) + model.l2 / 2 * sum(v * v for v in w)
+
+    w = [float(v) for v in model.w]
+    slopes = [0.0] * len(w)
+    for d in pairs:
+        p = sigmoid(-sum(a * b for a, b in zip(d, w, strict=True))) / len(pairs)
+        slopes = [s - p * v for s, v in zip(slopes, d, strict=True)]
+    assert max(abs(s + model.l2 * v) for s, v in zip(slopes, w, strict=True)) < 1e-7
+    assert all(loss([v + (e if i == k else 0) for i, v in enumerate(w)]) > loss(w) for k in (0, 5, 41) for e in (-0.05, 0.05))
+    strengths = sorted(sum(a * b for a, b in zip(r, w, strict=True)) for r in z)
+    assert abs(model.cut - (strengths[9] + strengths[10]) / 2) < 1e-9
+
+
+def test_toxicity_fit_equals_plain_steps():
+    """The same number of steps down the loss of ordered grades, with slopes taken from differences of the loss itself."""
+    rng = np.random.default_rng(5)
+    grade = np.array([0] * 12 + [1] * 6 + [2] * 6)
+    rows = [np.array(sorted({int(v) for v in (rng.integers(0, 6, 3) + (40 if g == 0 else 0))} | ({10 + g, 50 + int(rng.integers(0, 3))} if g else {20})), np.int32) for g in grade]
+    model = toxicity.ToxicityModel(steps=12).fit(rows, grade)
+    kept = np.flatnonzero(model.w)
+    assert len(kept) > 3
+    order = sorted(range(len(rows)), key=lambda i: (grade[i], len(rows[i]), rows[i].tobytes()))
+    xs, gs = [[list(kept).index(f) for f in rows[i] if f in kept] for i in order], [int(grade[i]) for i in order]
+    n1, n0 = sum(g > 0 for g in gs), sum(g == 0 for g in gs)
+
+    def loss(v):
+        cuts, total = (v[-2], v[-2] + math.exp(v[-1])), 0.0
+        for x, g in zip(xs, gs, strict=True):
+            z = sum(v[f] for f in x)
+            above = (1.0, sigmoid(z - cuts[0]), sigmoid(z - cuts[1]), 0.0)
+            total -= (0.5 / n1 if g else 0.5 / n0) * math.log(above[g] - above[g + 1])
+        return total + model.l2 / 2 * sum(a * a for a in v[:-2])
+
+    v, sums, e = [0.0] * len(kept) + [1.0, 0.0], [0.0] * (len(kept) + 2), 1e-5
+    for _ in range(model.steps):
+        slopes = [(loss([a + (e if i == k else 0) for i, a in enumerate(v)]) - loss([a - (e if i == k else 0) for i, a in enumerate(v)])) / (2 * e) for k in range(len(v))]
+        sums = [s + g * g for s, g in zip(sums, slopes, strict=True)]
+        v = [a - model.rate * g / (math.sqrt(s) + 1e-9) for a, g, s in zip(v, slopes, sums, strict=True)]
+    assert max(abs(float(model.w[f]) - v[i]) for i, f in enumerate(kept)) < 1e-5
+    assert abs(model.cuts[0] - v[-2]) < 1e-5 and abs(model.cuts[1] - v[-2] - math.exp(v[-1])) < 1e-5
+
+
 def test_url_scores_equal_plain_python(spark):
     model = urls.train()
     some = [r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("url").limit(120).collect()] + [None, "", "http://h", "http://é.net/ü/12", "http://x.net/" + "ab1/" * 20000]
