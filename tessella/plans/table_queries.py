@@ -148,7 +148,7 @@ def shard_vocabulary(spark, sf_dir):
 
 
 @query(f"""WITH {SCORES}, n AS (SELECT vec_id AS sample_idx, row_number() OVER (ORDER BY vec_id DESC) - 1 AS place FROM embeddings)
-  SELECT name, place AS sample_idx, class_id, 'class ' || class_id AS class_name, round(CASE name WHEN 'high' THEN score ELSE score / 2 END, 5) AS score, target
+  SELECT name, place AS sample_idx, class_id, 'class ' || class_id AS class_name, round(CAST(CAST(CASE name WHEN 'high' THEN score ELSE score / 2 END AS REAL) AS DOUBLE), 5) AS score, target
   FROM sc JOIN n USING (sample_idx), (SELECT unnest(['high', 'low']) AS name)""")
 def transfer_payload(spark, sf_dir):
     """Two kinds of scores of all vectors as transfer predictions, numbered in the order in which they were scored: from the last vector to the first."""
