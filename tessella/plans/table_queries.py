@@ -79,24 +79,22 @@ def index_files(spark, sf_dir):
     return readers.read_scene_index(spark, path).select("patch_id", codec.encode_classes(F.col("classes")).alias("classes"), "class_fracs", "class_fracs_abs")
 
 
-@query("SELECT n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 2 = 0")
+@query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 0")
 def published_tables(spark, sf_dir):
     """Two tables published together, and again in another version, which is the one that is read."""
     root = fresh(spark, "published")
-    pair = {"nation": table(spark, sf_dir, "nation"), "region": table(spark, sf_dir, "region")}
-    writers.publish_pair(pair, root, "geo")
-    writers.publish_pair(pair | {"nation": pair["nation"].where("n_nationkey % 2 = 0")}, root, "geo", overwrite=True)
-    held = writers.read_pair(spark, root, "geo")
-    return held["nation"].join(held["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-
-
-@query("""SELECT n_name AS region, 'https://example.org/' || lower(replace(n_name, ' ', '-')) || '/' || n_name || '.pbf' AS url FROM nation WHERE n_regionkey <> 2""")
-def download_urls(spark, sf_dir):
-    """Addresses of what isn't done yet."""
-    nations = table(spark, sf_dir, "nation")
-    regions = [(r["n_name"], r["n_name"].lower().replace(" ", "-")) for r in nations.select("n_name").collect()]
-    done = nations.where("n_regionkey = 2").select(F.col("n_name").alias("region"))
-    return readers.download_plan(spark, regions, "https://example.org/{slug}/{region}.pbf", done).select("region", "url")
+    pair = {"orders": table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "customer": table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")}
+    writers.publish_pair(pair, root, "sales")
+    writers.publish_pair(pair | {"orders": pair["orders"].where("o_orderkey % 2 = 0")}, root, "sales", overwrite=True)
+    held = writers.read_pair(spark, root, "sales")
+    return held["orders"].join(held["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
+
+
+@query("""SELECT c_custkey, 'https://example.org/' || lower(c_mktsegment) || '/' || c_custkey || '.pbf' AS url FROM customer""")
+def url_template(spark, sf_dir):
+    """Addresses made from a template and columns."""
+    rows = table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", codec.render("https://example.org/{slug}/{region}.pbf", slug=F.lower("c_mktsegment"), region=F.col("c_custkey")).alias("url"))
 
 
 @query("SELECT c_custkey AS sample_idx, c_acctbal AS score FROM customer")
