@@ -23,7 +23,38 @@ def box_level(box: Column, spacing: float) -> Column:
 
 
 def overlap_join(left: DataFrame, right: DataFrame, spacing: float, left_box: str = "box", right_box: str = "rbox") -> DataFrame:
-    """Pairs of rows whose boxes share an area, with column overlap.
+    """Pairs of rows whose boxes share an area, with column overlap: those of box_pairs, which are found once for boxes that many rows have alike.
+
+    Rows of a box are dealt to blocks of BLOCK, and blocks of both sides meet in as many tasks as their pairs ask for, however few rows come in.
+    """
+    spark = left.sparkSession
+    left, right = left.drop("overlap"), right.drop("overlap")
+
+    def dealt(df: DataFrame, box: str, at: str, block: str) -> tuple[DataFrame, DataFrame]:
+        kinds = df.groupBy(box).agg(F.count("*").alias(f"{at}n")).withColumn(at, F.monotonically_increasing_id())
+        kinds = staged(spark, kinds, "boxes")
+        held = df.withColumn("_id", F.monotonically_increasing_id()).join(kinds.withColumnRenamed(box, "_box"), F.col(box) == F.col("_box"))
+        held = held.withColumn(block, F.pmod(F.hash("_id"), F.ceil(F.col(f"{at}n") / BLOCK)).cast("int"))
+        return kinds, staged(spark, held.drop("_id", "_box", f"{at}n"), "dealt")
+
+    (boxes, one), (others, two) = dealt(left, left_box, "_p", "_i"), dealt(right, right_box, "_q", "_j")
+    met = staged(spark, box_pairs(boxes, others, spacing, left_box, right_box).select("_p", "_q", "_pn", "_qn", "overlap"), "met")
+    pairs = met.agg(F.sum(F.col("_pn").cast("double") * F.col("_qn"))).first()[0] or 0
+    parts = int(min(pairs // TASK_PAIRS + 1, 1 << 14)) if pairs > TASK_PAIRS else None
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
+    met = met.withColumn("_i", blocks("_pn")).withColumn("_j", blocks("_qn")).drop("_pn", "_qn")
+    one = one.join(met, ["_p", "_i"])
+    if parts:
+        one, two = one.repartition(parts, "_q", "_j"), two.repartition(parts, "_q", "_j")
+    return one.join(two, ["_q", "_j"]).select(*left.columns, *right.columns, "overlap")
+
+
+#: Rows of one box that stay together, and pairs of a task, where there are more.
+BLOCK, TASK_PAIRS = 1 << 10, 1 << 22
+
+
+def box_pairs(left: DataFrame, right: DataFrame, spacing: float, left_box: str = "box", right_box: str = "rbox") -> DataFrame:
+    """overlap_join for tables in which few rows have the same box: every row of a side is met by itself.
 
     Each box goes to the cells that it touches in the grid of its size, and in the coarser grids that the other side's boxes need; cells meet by an equi-join. Two boxes meet in
     the grid of the larger one, and their pair is kept in the one cell that holds the lower left corner of their overlap, so pairs come once. No box goes to more than four cells
