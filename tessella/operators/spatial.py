@@ -219,7 +219,8 @@ def box_union_area(boxes: DataFrame, key: str, box: str, cells: int = 16) -> Dat
     a key is many groups. In a cell, coordinates are compressed: slabs between neighbouring x bounds, and in each the union of y intervals.
     """
     b = F.col(box)
-    flat = boxes.where((b["x1"] > b["x0"]) & (b["y1"] > b["y0"])).select(key, *(b[k].alias(k) for k in ("x0", "y0", "x1", "y1")))
+    # A box that a key has several times covers no more.
+    flat = boxes.where((b["x1"] > b["x0"]) & (b["y1"] > b["y0"])).select(key, *(b[k].alias(k) for k in ("x0", "y0", "x1", "y1"))).distinct()
     bounds = flat.groupBy(F.col(key).alias("_k")).agg(F.min("x0").alias("l"), F.min("y0").alias("b"), ((F.max("x1") - F.min("x0")) / cells).alias("w"), ((F.max("y1") - F.min("y0")) / cells).alias("h"))
     at = lambda v, low, size: F.least(F.greatest(F.floor((F.col(v) - F.col(low)) / F.col(size)), F.lit(0)), F.lit(cells - 1))
     cut = flat.join(bounds, F.col(key).eqNullSafe(F.col("_k"))).withColumn("cx", F.explode(F.sequence(at("x0", "l", "w"), at("x1", "l", "w")))).withColumn("cy", F.explode(F.sequence(at("y0", "b", "h"), at("y1", "b", "h"))))
