@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import polygons
+from ..operators import polygons, spatial
+from ..storage import staged
 from . import pipelines
-from .queries import box_features, polygon_features, query, supplier_scenes, table
+from .queries import box_features, of_scenes, polygon_features, query, supplier_scenes, table
 
 #: The sides of an octagon that aren't upright, from its middle: left, right, height at the left and at the right.
 _SIDES = ", ".join(f"({a}, {b}, {s}{u}, {s}{v})" for a, b, u, v in ((-0.05, -0.02, 0.02, 0.05), (-0.02, 0.02, 0.05, 0.05), (0.02, 0.05, 0.05, 0.02)) for s in ("", "-"))
@@ -47,12 +48,14 @@ def _slabs(name: str, sides: str, crossing: bool) -> str:
   e AS ({_cut("o", "b", "b.s_suppkey")}), {_slabs("a", "e", True)}
   SELECT k AS s_suppkey, round(area, 7) AS covered FROM a WHERE area > 1e-9""")
 def coverage_union(spark, sf_dir):
-    """What overlapping octagons cover of each scene."""
-    edges = polygons.edge_rows(polygon_features(spark, sf_dir, sizes=4).select("feature_id", F.array("rings").alias("parts")), "parts", "feature_id")
+    """What overlapping octagons cover of each scene. Different octagons and boxes of scenes meet once: a copy covers no more, and scenes of one box have the same cover."""
+    shapes = polygon_features(spark, sf_dir, sizes=4).groupBy(F.array("rings").alias("parts")).agg(F.min("feature_id").alias("feature_id"))
+    scenes = supplier_scenes(spark, sf_dir).groupBy("box").agg(F.min("s_suppkey").alias("scene"))
+    edges = staged(spark, polygons.edge_rows(shapes, "parts", "feature_id"), "edges")
     boxes = polygons.shape_facts(edges, "feature_id").withColumnRenamed("box", "fbox")
-    pairs = pipelines.spatial.overlap_join(supplier_scenes(spark, sf_dir).select("s_suppkey", "box"), boxes.select("feature_id", "fbox"), 0.24, "box", "fbox").select("s_suppkey", "box", "feature_id")
-    covered = polygons.union_areas(pairs.join(edges, "feature_id"), "s_suppkey", "feature_id", "box")
-    return covered.where("covered > 1e-9").select("s_suppkey", F.round("covered", 7).alias("covered"))
+    pairs = spatial.box_pairs(scenes, boxes.select("feature_id", "fbox"), 0.24, "box", "fbox").select("scene", "box", "feature_id")
+    covered = polygons.union_areas(pairs.join(edges, "feature_id"), "scene", "feature_id", "box").where("covered > 1e-9")
+    return of_scenes(spark, sf_dir, scenes.join(covered, "scene").select("box", F.round("covered", 7).alias("covered")))
 
 
 #: A footprint of three rectangles, of which the first two share a side with a part of each other, and of a hole in the first: rows (x0, y0, x1, y1, sign).
