@@ -49,22 +49,27 @@ def within_footprint(boxes: DataFrame, key: str, box: str, footprint: DataFrame
 def feature_edges(features: DataFrame, invalid: str = "drop") -> tuple[DataFrame, DataFrame]:
     """(features, edges), both staged: uid, feature_id, ord, class_ids, fbox, lat, lon of classified features, and the edges of each uid.
 
-    lat and lon are the centroid's. Shapes that aren't valid (polygons.invalid_shapes) are left out; with invalid="keep" only polygons whose outer ring has fewer than three corners.
+    Features of the same parts and tags share a uid, so they are classified, taken to edges and tested once. lat and lon are the centroid's. Shapes that aren't valid (polygons.invalid_shapes)
+    are left out; with invalid="keep" only polygons whose outer ring has fewer than three corners.
     """
     if invalid not in ("drop", "keep"):
         raise ValueError("invalid is drop or keep")
     spark = features.sparkSession
-    kept = staged(spark, classified_features(features).select("feature_id", "ord", "class_ids", "parts").withColumn("uid", F.monotonically_increasing_id()), "classified")
-    edges = staged(spark, polygons.edge_rows(kept, "parts", "uid"), "edges")
+    parts = F.col("parts") if "parts" in features.columns else F.array("rings")
+    each = features.withColumn("parts", parts).where(F.size("parts") > 0).select("feature_id", "ord", "parts", F.array_sort(F.map_entries("tags")).alias("_tags"))
+    # Staged, as the rules would else be tried on every feature before they are grouped.
+    kinds = staged(spark, each.groupBy("parts", "_tags").agg(F.count("*").alias("n")), "kinds")
+    shapes = staged(spark, classified_features(kinds.withColumn("tags", F.map_from_entries("_tags"))).select("parts", "_tags", "class_ids", F.monotonically_increasing_id().alias("uid")), "shapes")
+    edges = staged(spark, polygons.edge_rows(shapes, "parts", "uid"), "edges")
     if invalid == "drop":
         sound, every = edges, edges.join(polygons.invalid_shapes(edges, "uid").select("uid").distinct(), "uid", "left_anti")
     else:
         short = edges.where("ring = 0 AND n < 3").select("uid", "part").distinct()
         sound, every = edges, edges.join(short, ["uid", "part"], "left_anti")
     edges = staged(spark, every, "edges")
-    facts = polygons.shape_facts(edges, "uid").withColumnRenamed("box", "fbox")
-    found = staged(spark, kept.select("uid", "feature_id", "ord", "class_ids").join(facts, "uid"), "features")
-    forget(spark, kept, sound)
+    facts = staged(spark, shapes.join(polygons.shape_facts(edges, "uid").withColumnRenamed("box", "fbox"), "uid"), "facts")
+    found = staged(spark, each.join(facts, (each["parts"] == facts["parts"]) & each["_tags"].eqNullSafe(facts["_tags"])).select("uid", "feature_id", "ord", "class_ids", "fbox", "area", "lat", "lon"), "features")
+    forget(spark, kinds, shapes, facts, sound)
     return found, edges
 
 
@@ -86,8 +91,11 @@ def build_index(
     side = 2 * halfwidth * scale
     patches = centres.withColumn("box", G.box_around(F.col("lat"), F.col("lon"), halfwidth, scale=scale)).select(F.col("ord").alias("center"), "lat", "lon", "box")
     patches = staged(spark, within_footprint(patches, "center", "box", footprint, predicate), "patches")
-    met = spatial.overlap_join(patches, features.select("uid", "class_ids", "fbox"), side, "box", "fbox").drop("overlap")
-    pairs = staged(spark, polygons.areas_within(met, edges, "uid", "box", ["center", "uid"], ["box", "fbox", "class_ids"]).withColumnRenamed("area", "overlap"), "pairs")
+    # Shapes with the number n of features that have them.
+    shapes = staged(spark, features.groupBy("uid").agg(F.first("class_ids").alias("class_ids"), F.first("fbox").alias("fbox"), F.count("*").alias("n")), "kinds")
+    met = spatial.box_pairs(patches, shapes, side, "box", "fbox").drop("overlap")
+    pairs = polygons.areas_within(met, edges, "uid", "box", ["center", "uid"], ["box", "fbox", "class_ids", "n"])
+    pairs = staged(spark, pairs.withColumn("overlap", F.col("area") * F.col("n")).drop("area"), "pairs")
     areas = spatial.enough_classes(spatial.class_areas(pairs, "center", "class_ids", G.area(F.col("box"))), "center", least_classes)
     if coverage_min > 0:
         covered = polygons.union_areas(pairs.select("center", "uid", "box").join(edges, "uid"), "center", "uid", "box")
@@ -103,7 +111,7 @@ def build_index(
     scenes = staged(spark, spatial.dense_ids(scenes, "region", "center"), "scenes")
 
     cut = spatial.tile_overlaps(pairs.drop("overlap").join(scenes.select("center", "patch_id"), "center"), "box", "fbox", grid).withColumn("box", G.tile_box(F.col("box"), F.col("tile"), grid))
-    cut = polygons.areas_within(cut, edges, "uid", "box", ["patch_id", "tile", "uid"], ["box", "class_ids"]).withColumnRenamed("area", "overlap").withColumn("key", F.struct("patch_id", "tile"))
+    cut = polygons.areas_within(cut, edges, "uid", "box", ["patch_id", "tile", "uid"], ["box", "class_ids", "n"]).withColumn("overlap", F.col("area") * F.col("n")).withColumn("key", F.struct("patch_id", "tile"))
     found = spatial.dominant_class(spatial.class_areas(cut, "key", "class_ids", G.area(F.col("box"))), ["key"], fractions="tile_class_fracs")
     frame = frame.join(scenes.select("center", "patch_id"), "center").withColumn("key", F.struct("patch_id", "tile"))
     tiles = frame.join(found, "key", "left")
