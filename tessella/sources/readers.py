@@ -101,10 +101,10 @@ def read_batches(spark: SparkSession, paths: str | list[str], columns: list[str]
 
 
 def running_offset(batches: DataFrame, out: str = "offset") -> DataFrame:
-    """batches (see read_batches) with out: the place of each row in all files, one after the other by name. Files are few beside rows; their counts are added up in one task."""
+    """batches (see read_batches) with out: the place of each row in all files, one after the other by name. Files are few beside rows; their counts are added up in one task and broadcast, so that no task gets all rows of a file."""
     counts = batches.groupBy("file").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return batches.join(counts.select("file", before.alias("_before")), "file").withColumn(out, F.col("_before") + F.col("row_index")).drop("_before")
+    return batches.join(F.broadcast(counts.select("file", before.alias("_before"))), "file").withColumn(out, F.col("_before") + F.col("row_index")).drop("_before")
 
 
 def read_image_list(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:

@@ -74,3 +74,19 @@ def test_validity_of_a_shape_that_is_repeated_elsewhere(spark, copied):
     got = {r["c_custkey"]: r["valid"] for r in sq.shape_validity(spark, copied).collect()}
     want = {r["c_custkey"]: r["valid"] for r in sq.shape_validity(spark, SF).collect()}
     assert len(got) == TIMES * len(want) and all(got[k + 15000 * i] == v for k, v in want.items() for i in (0, TIMES - 1))
+
+
+def test_classes_are_cut_to_the_bound_before_they_are_sorted(spark):
+    """The plan limits both windows of a sample, the one by class and the one by region, in the tasks that read."""
+    plan = q.hashed_sample(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_rows_of_a_file_stay_where_they_are_read(spark):
+    """Places are counted from few rows; line items themselves aren't shuffled by their file, whatever the threshold of broadcasts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = q.QUERIES["batch_offsets"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
