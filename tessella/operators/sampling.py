@@ -142,7 +142,8 @@ def hashed_sample(rows: DataFrame, most: int, seed: int = 42, region: str = "reg
     flat = rows.groupBy(region, patch).agg(F.array_distinct(F.flatten(F.collect_list(classes))).alias("c")).withColumn("h", h)
     each = flat.select(region, patch, "h", F.explode("c").alias("class_id"))
     number = each.groupBy(region).agg(F.count_distinct("class_id").alias("n"))
-    ranked = each.join(number, region).withColumn("r", F.row_number().over(Window.partitionBy(region, "class_id").orderBy("h", patch)))
+    # No share is above most; that bound, a plain number, lets each task drop the rest of its rows before they are shuffled and sorted.
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy(region, "class_id").orderBy("h", patch))).where(F.col("r") <= most).join(number, region)
     first = ranked.where(F.col("r") <= F.ceil(F.lit(most) / F.col("n"))).select(region, patch).distinct().withColumn("first", F.lit(0))
     order = F.row_number().over(Window.partitionBy(region).orderBy(F.coalesce("first", F.lit(1)), "h", patch))
     return flat.join(first, [region, patch], "left").withColumn("r", order).where(F.col("r") <= most).select(region, patch)
