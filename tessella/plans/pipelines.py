@@ -68,7 +68,8 @@ def feature_edges(features: DataFrame, invalid: str = "drop") -> tuple[DataFrame
         sound, every = edges, edges.join(short, ["uid", "part"], "left_anti")
     edges = staged(spark, every, "edges")
     facts = staged(spark, shapes.join(polygons.shape_facts(edges, "uid").withColumnRenamed("box", "fbox"), "uid"), "facts")
-    found = staged(spark, each.join(facts, (each["parts"] == facts["parts"]) & each["_tags"].eqNullSafe(facts["_tags"])).select("uid", "feature_id", "ord", "class_ids", "fbox", "area", "lat", "lon"), "features")
+    # Features may be made of keys, so their size isn't known from their files: neither side is broadcast.
+    found = staged(spark, each.hint("merge").join(facts, (each["parts"] == facts["parts"]) & each["_tags"].eqNullSafe(facts["_tags"])).select("uid", "feature_id", "ord", "class_ids", "fbox", "area", "lat", "lon"), "features")
     forget(spark, kinds, shapes, facts, sound)
     return found, edges
 
