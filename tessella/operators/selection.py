@@ -55,9 +55,19 @@ def policy_ratio(policy: DataFrame, tiles: int = 100) -> DataFrame:
 
 
 def fill_cells(samples: DataFrame, observed: DataFrame, mask: float, cells: int = 100, sample: str = "sample_idx") -> DataFrame:
-    """(sample, tile, value, seen): every cell, with the observed value or the mask's."""
-    frame = samples.select(sample).distinct().withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    return frame.join(observed.select(sample, "tile", "value"), [sample, "tile"], "left").select(sample, "tile", F.coalesce("value", F.lit(mask)).alias("value"), F.col("value").isNotNull().alias("seen"))
+    """(sample, tile, value, seen): every cell, with the observed value or the mask's.
+
+    Only samples and observed cells are shuffled and sorted: each of them, in order of tiles, is followed by the cells up to the next one. A cell that was observed several times is there as often.
+    """
+    kind, tile = dict(samples.dtypes)[sample], F.col("tile")
+    # A sample comes before its cells as tile -1.
+    start = samples.select(sample).distinct().select(sample, F.lit(-1).alias("tile"), F.lit(None).cast(dict(observed.dtypes)["value"]).alias("value"))
+    found = observed.where(F.col(sample).isNotNull() & tile.between(0, cells - 1) & (tile % 1 == 0)).select(sample, tile.cast("int").alias("tile"), "value")
+    order = Window.partitionBy(sample).orderBy("tile")
+    rows = start.unionByName(found).select(sample, "tile", "value", F.first("tile").over(order).alias("_first"), F.coalesce(F.lead("tile").over(order), F.lit(cells)).alias("_next")).where("_first = -1")
+    each = rows.select(sample, F.col("tile").alias("_own"), "value", F.explode(F.sequence(tile, F.greatest(tile, F.col("_next") - 1))).alias("tile")).where("tile >= 0")
+    value = F.when(tile == F.col("_own"), F.col("value"))
+    return each.select(F.col(sample).cast(kind).alias(sample), "tile", F.coalesce(value, F.lit(mask)).alias("value"), value.isNotNull().alias("seen"))
 
 
 def pool_scores(scores: DataFrame, mode: str, keys: tuple[str, ...] = ("sample_idx", "class_id"), value: str = "score") -> DataFrame:
