@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import selection
+from tessella.streaming import resumable
 
 
 def test_filled_cells_are_not_shuffled(spark, tmp_path):
@@ -19,3 +21,21 @@ def test_filled_cells_are_not_shuffled(spark, tmp_path):
     frame = samples.distinct().withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(9))))
     want = frame.join(observed, ["sample_idx", "tile"], "left").select("sample_idx", "tile", F.coalesce("value", F.lit(-1.0)).alias("value"), F.col("value").isNotNull().alias("seen"))
     assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_arriving_shards_keep_no_python_state(spark, tmp_path, monkeypatch):
+    """One index is one row of state without a call of Python for each; all columns, null rows' too, arrive, and a null index that comes again is refused."""
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", None)
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    run = lambda: resumable.merge_arriving_shards(spark, f"{source}/*", "sample_idx long, v string, w double", target, f"{tmp_path}/state", files=1).awaitTermination()
+    rows = [[(1, "a", 0.5), (None, None, None)], [(2, None, None), (3, "c", 1.0)]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, "sample_idx long, v string, w double").coalesce(1).write.parquet(f"{source}/{i}")
+    run()
+    assert sorted(map(str, (tuple(r) for r in spark.read.parquet(f"{target}/batch=*").collect()))) == sorted(str(r) for part in rows for r in part)
+    spark.createDataFrame([(None, "again", 2.0)], "sample_idx long, v string, w double").coalesce(1).write.parquet(f"{source}/late")
+    with pytest.raises(Exception, match="repeated sample_idx"):
+        run()
+    assert spark.read.parquet(f"{target}/batch=*").count() == 4
