@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import forget, shared_dir, ship, staged
+from ..storage import bound_batches, forget, shared_dir, ship, staged
 
 #: Largest side that an operator broadcasts, in rows of a few longs each; larger sides are shuffled.
 BROADCAST_ROWS = 400_000
-#: Bytes of a batch that goes to a Python worker, unless the session names its own.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +52,7 @@ def _trimmed(f):
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """df.mapInArrow(f, schema), with this package on the executors and batches bounded by bytes: rows may hold whole books."""
     ship(df.sparkSession)
-    if df.sparkSession.conf.get(_BATCH, None) is None:
-        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
     return df.mapInArrow(_trimmed(f), schema)
 
 

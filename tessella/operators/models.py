@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..storage import ship
+from ..storage import bound_batches, ship
 
 
 class Scorer(Protocol):
@@ -49,14 +49,20 @@ class ColumnScorer:
 
 def score(rows: DataFrame, make: Callable[[], Scorer], out: str = "scores") -> DataFrame:
     """rows with column out: array<double>. make runs once in each task, so what it loads is shared by its batches."""
+    return score_each(rows, {out: make})
+
+
+def score_each(rows: DataFrame, makes: dict[str, Callable[[], Scorer]]) -> DataFrame:
+    """rows with a column array<double> of each scorer, by name. All of them get the same rows, in one worker of each task: a chain of them would hold as many workers at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make()
+        scorers = {out: make() for out, make in makes.items()}
         for b in batches:
-            yield b.assign(**{out: list(np.asarray(scorer(b), np.float64))})
+            yield b.assign(**{out: list(np.asarray(scorer(b), np.float64)) for out, scorer in scorers.items()})
 
     ship(rows.sparkSession)
-    return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{out}` array<double>")
+    bound_batches(rows.sparkSession)
+    return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, *((out, "array<double>") for out in makes)]))
 
 
 def route(rows: DataFrame, make: Callable[[], Scorer], tiles: int = 100) -> DataFrame:

@@ -167,9 +167,9 @@ def single_query(
     routed = models.score(rows, router, "router_scores")
     ranked = F.array_sort(F.transform("router_scores", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
     chosen = routed.withColumn("tiles", F.transform(F.slice(ranked, 1, k), lambda x: x["i"]))
-    both = models.score(models.score(chosen, observed, "seen"), zero, "blind")
-    for name, make in (("tile_scores", tiles), ("predicted_features", features)):
-        both = models.score(both, make, name) if make else both.withColumn(name, F.lit(None).cast("array<double>"))
+    further = {"tile_scores": tiles, "predicted_features": features}
+    both = models.score_each(chosen, {"seen": observed, "blind": zero} | {name: make for name, make in further.items() if make})
+    both = both.withColumns({name: F.lit(None).cast("array<double>") for name, make in further.items() if not make})
     gained = F.zip_with("seen", "blind", lambda a, b: S.residual_gain(a, b, gain))
     return both.select("sample_idx", "router_scores", F.col("tiles").alias("selected_indices"), (F.size("tiles") / 100).alias("used_hr_ratio"), gained.alias("class_scores"), "tile_scores", "predicted_features")
 

@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, unless the session names its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,12 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that go to Python workers are bounded by bytes: rows may hold whole books, or long arrays."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, once per application; the driver serves the archive to them."""
     context = spark.sparkContext

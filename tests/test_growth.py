@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import selection
+from tessella.config import Policy
+from tessella.operators import models, selection
+from tessella.plans import pipelines
 from tessella.streaming import resumable
 
 
@@ -39,3 +41,13 @@ def test_arriving_shards_keep_no_python_state(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="repeated sample_idx"):
         run()
     assert spark.read.parquet(f"{target}/batch=*").count() == 4
+
+
+def test_single_query_holds_two_workers_a_task(spark):
+    """The router's and that of all other scorers, in batches that bytes bound."""
+    rows = spark.createDataFrame([(i, [float(i + t) for t in range(100)], [1.0, 2.0], [0.5, 0.25]) for i in range(3)], "sample_idx int, router array<double>, hr array<double>, lr array<double>")
+    column = lambda name: lambda: models.ColumnScorer(name)
+    got = pipelines.single_query(rows, column("router"), column("hr"), column("lr"), Policy(("a", "b"), (2, 3)), "b", tiles=column("router"), features=column("lr"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert all(r["class_scores"] == [1.0 + 0.075 * 0.5, 2.0 + 0.075 * 1.75] and r["tile_scores"] == r["router_scores"] and r["predicted_features"] == [0.5, 0.25] for r in got.collect())
