@@ -90,14 +90,25 @@ def pool_features(features: DataFrame, text: DataFrame, mode: str, keys: tuple[s
     """
     if mode not in POOLS:
         raise ValueError(f"unknown pool mode {mode}")
-    scored = lambda rows: rows.join(text.select("class_id", S.l2_normalise(F.col("proto")).alias("_t")), how="cross").select(*keys, "class_id", S.dot(S.l2_normalise(F.col("_f")), F.col("_t")).alias("score"))
-    if mode == "patch_score_max":
-        return scored(features.select(*keys, F.col(feature).alias("_f"))).groupBy(*keys, "class_id").agg(F.max("score").alias("score"))
+    if mode != "patch_score_max":
+        return pool_raw_features(features, text, (mode,), keys, feature).withColumnRenamed(mode, "score")
+    cells = _against(features.select(*keys, S.l2_normalise(F.col(feature)).alias("_f")), text)
+    return cells.select(*keys, "class_id", S.dot(F.col("_f"), F.col("_t")).alias("_s")).groupBy(*keys, "class_id").agg(F.max("_s").alias("score"))
+
+
+def _against(rows: DataFrame, text: DataFrame) -> DataFrame:
+    """Every row with every class. Classes are few; their size isn't known from files, and a product with a table that isn't broadcast would make it again for each part of rows."""
+    return rows.crossJoin(F.broadcast(text.select("class_id", S.l2_normalise(F.col("proto")).alias("_t"))))
+
+
+def pool_raw_features(features: DataFrame, text: DataFrame, modes: tuple[str, ...] = POOLS[1:], keys: tuple[str, ...] = ("sample_idx",), feature: str = "feature") -> DataFrame:
+    """(keys, class_id, a column for each mode): scores of pool_features for several ways to pool raw features, all from one pass over components."""
     v = F.col("_v")
-    pooled = {"raw_feature_max": F.max(v), "raw_feature_mean": F.avg(v), "raw_feature_mean_max": (F.avg(v) + F.max(v)) / 2}[mode]
-    by_place = features.select(*keys, F.posexplode(feature).alias("_i", "_v")).groupBy(*keys, "_i").agg(pooled.alias("_p"))
-    rows = by_place.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda x: x["_p"]).alias("_f"))
-    return scored(rows)
+    ways = {"raw_feature_max": F.max(v), "raw_feature_mean": F.avg(v), "raw_feature_mean_max": (F.avg(v) + F.max(v)) / 2}
+    by_place = features.select(*keys, F.posexplode(feature).alias("_i", "_v")).groupBy(*keys, "_i").agg(*(ways[m].alias(m) for m in modes))
+    places = by_place.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", *modes))).alias("_p"))
+    rows = places.select(*keys, *(S.l2_normalise(F.col("_p").getField(m)).alias(m) for m in modes))
+    return _against(rows, text).select(*keys, "class_id", *(S.dot(F.col(m), F.col("_t")).alias(m) for m in modes))
 
 
 def ensemble(rows: DataFrame, keys: tuple[str, ...] = ("class_id",), vector: str = "vector") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -199,8 +198,5 @@ def pool_named(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     cells, text = e.select(F.floor(F.col("vec_id") / 5).alias("sample_idx"), F.col("embedding").alias("feature")), prototypes(e)
     keys = ["sample_idx", "class_id"]
-    out: DataFrame | None = None
-    for mode in selection.POOLS:
-        rows = selection.pool_features(cells, text, mode).select(*keys, F.round("score", 6).alias(mode))
-        out = rows if out is None else out.join(rows, keys)
-    return out
+    best = selection.pool_features(cells, text, "patch_score_max").withColumnRenamed("score", "patch_score_max")
+    return best.join(selection.pool_raw_features(cells, text), keys).select(*keys, *(F.round(m, 6).alias(m) for m in selection.POOLS))

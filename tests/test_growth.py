@@ -51,3 +51,22 @@ def test_single_query_holds_two_workers_a_task(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 2
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     assert all(r["class_scores"] == [1.0 + 0.075 * 0.5, 2.0 + 0.075 * 1.75] and r["tile_scores"] == r["router_scores"] and r["predicted_features"] == [0.5, 0.25] for r in got.collect())
+
+
+def test_pooled_features_take_components_once(spark):
+    """One explosion of components for all raw ways, each the same as alone, and no product with classes that aren't broadcast, whatever their estimated size."""
+    rng = random.Random(8)
+    features = spark.createDataFrame([(rng.randrange(6), [rng.gauss(0, 1) for _ in range(5)]) for _ in range(40)], "sample_idx int, feature array<double>")
+    text = spark.createDataFrame([(c, [rng.gauss(0, 1) for _ in range(5)]) for c in range(3)], "class_id int, proto array<double>")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        together, alone = selection.pool_raw_features(features, text), [selection.pool_features(features, text, m) for m in selection.POOLS]
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (together, *alone)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not any("CartesianProduct" in p for p in plans) and plans[0].count("Generate posexplode") == 1
+    got = {(r["sample_idx"], r["class_id"]): r for r in together.collect()}
+    for mode, df in zip(selection.POOLS[1:], alone[1:], strict=True):
+        rows = df.collect()
+        assert len(rows) == len(got) and all(abs(got[r["sample_idx"], r["class_id"]][mode] - r["score"]) < 1e-12 for r in rows)
