@@ -78,6 +78,40 @@ def shuffled_places(sizes: DataFrame, seed: int = 42) -> DataFrame:
     return held.select("_group", F.coalesce("of", "from", "j").alias("at"), "pos")
 
 
+def first_places(sizes: DataFrame, places: int, seed: int = 42) -> DataFrame:
+    """The rows of shuffled_places whose pos is below places, without a table of all draws.
+
+    A group's draws are made twice by its task: once to keep the generator's state every so often, and then from the last, small places to the first, each stretch from its state. In that order swaps
+    are undone, so of what ends in one of the first places it is known where it was before; a task holds these only.
+    """
+    kind = dict(sizes.dtypes)["_group"]
+
+    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for group, n in zip(b["_group"], b["n"], strict=True):
+                rng, top, states = random.Random(seed), int(n) - 1, []
+                while top > 0:
+                    low = max(0, top - 100_000)
+                    states.append((rng.getstate(), top, low))
+                    for i in range(top, low, -1):
+                        rng.randrange(i + 1)
+                    top = low
+                held = {i: i for i in range(min(places, int(n)))}
+                for state, top, low in reversed(states):
+                    rng.setstate(state)
+                    drawn = [rng.randrange(i + 1) for i in range(top, low, -1)]
+                    for i, j in zip(range(low + 1, top + 1), reversed(drawn), strict=True):
+                        if i != j and (j in held or i in held):
+                            one, two = held.pop(i, None), held.pop(j, None)
+                            held |= {k: v for k, v in ((j, one), (i, two)) if v is not None}
+                if held:
+                    yield pd.DataFrame({"_group": [group] * len(held), "at": list(held), "pos": list(held.values())})
+
+    return sizes.repartition("_group").mapInPandas(traced, f"_group {kind}, at long, pos long")
+
+
+#: Shuffled rows of a region that are looked at first; a sample that ends within them needs no others.
+FIRST = 1 << 16
 #: Rows of a region whose places are counted together.
 PLACES = 1 << 16
 
@@ -96,7 +130,8 @@ def balanced_sample(rows: DataFrame, most: int, seed: int = 42, region: str = "r
     """(region, patch_id) of a class-balanced sample of each region, whose rows are read in order (a number): greedy_pick's picks, with no region in one task.
 
     A row is taken while one of its classes is below its share, so all that matters is at which row of the shuffled order each class reaches it. To begin with, none does; given these places, the rows
-    taken follow, and from them new places, until they don't change. A round settles one more class of each region at least. Rows that tie in order are sorted by id and classes;
+    taken follow, and from them new places, until they don't change. A round settles one more class of each region at least. Of regions whose sample ends within their first shuffled rows no others
+    are followed. Rows that tie in order are sorted by id and classes;
     a null id is the text None, null classes are none, a null region is one too.
     """
     if most <= 0:
@@ -109,28 +144,48 @@ def balanced_sample(rows: DataFrame, most: int, seed: int = 42, region: str = "r
     flat = staged(spark, flat, "rows")
     sizes = flat.groupBy("_group").agg(F.count("*").alias("n"))
     numbered = dense_ids(flat.withColumn("_o", F.col("_ord").cast("double")), "_group", "_o", "at", ties=["_patch", "_classes"]).select("_group", "_home", "_patch", "_classes", (F.col("at") - 1).alias("at"))
-    rows = staged(spark, numbered.join(shuffled_places(sizes, seed), ["_group", "at"]).select("_group", "_home", "_patch", "_classes", F.col("pos").alias("place")), "shuffled")
-    each = rows.select("_group", "place", F.explode("_classes").alias("class_id"))
-    shares = staged(spark, each.groupBy("_group").agg(F.count_distinct("class_id").alias("m")).select("_group", F.ceil(F.lit(float(most)) / F.col("m")).alias("k")), "shares")
+    sizes, numbered = staged(spark, sizes, "sizes"), staged(spark, numbered, "numbered")
+    owned = flat.select("_group", F.explode("_classes").alias("class_id")).groupBy("_group").agg(F.count_distinct("class_id").alias("m"))
+    shares = staged(spark, owned.select("_group", "m", F.ceil(F.lit(float(most)) / F.col("m")).alias("k")), "shares")
     never = F.lit((1 << 62)).cast("long")
-    closed = staged(spark, each.select("_group", "class_id").distinct().withColumn("end", never), "closed")
-    while True:
-        # A row's last class to close says whether it is taken; repeats of a class in a row count as often.
-        open_until = each.join(closed, ["_group", "class_id"]).groupBy("_group", "place").agg(F.max("end").alias("end"))
-        taken = staged(spark, open_until.where("end >= place").select("_group", "place"), "taken")
-        reached = _kth(each.join(taken, ["_group", "place"]).join(shares, "_group"), ["_group", "class_id"], "k").withColumnRenamed("place", "now")
-        now = closed.join(reached, ["_group", "class_id"], "left").select("_group", "class_id", F.coalesce("now", never).alias("end"), (F.coalesce("now", never) != F.col("end")).alias("moved"))
-        now = staged(spark, now, "closed")
-        if now.where("moved").isEmpty():
-            break
-        forget(spark, closed, taken)
-        closed = now.drop("moved")
-        closed._staged_path = now._staged_path
-    # Ids by the pass that takes them, then by place; with no class in a region, its first rows.
-    marked = rows.join(taken.withColumn("first", F.lit(0)), ["_group", "place"], "left").join(shares, "_group", "left")
-    marked = marked.where(F.col("k").isNotNull() | (F.col("place") < most))
-    ids = marked.groupBy("_group", "_patch").agg(F.first("_home").alias("_home"), F.min(F.struct(F.coalesce("first", F.lit(1)).alias("first"), "place")).alias("at"))
-    ids = staged(spark, ids.select("_group", "_home", "_patch", (F.col("at.first") * (1 << 50) + F.col("at.place")).alias("place"), F.lit(most).cast("long").alias("k")), "ids")
+
+    def picked(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(_group, _home, _patch, place, k) of the ids at these places, and (_group, class_id, end) of their classes."""
+        rows = staged(spark, numbered.join(places, ["_group", "at"]).select("_group", "_home", "_patch", "_classes", F.col("pos").alias("place")), "shuffled")
+        each = rows.select("_group", "place", F.explode("_classes").alias("class_id"))
+        closed = staged(spark, each.select("_group", "class_id").distinct().withColumn("end", never), "closed")
+        while True:
+            # A row's last class to close says whether it is taken; repeats of a class in a row count as often.
+            open_until = each.join(closed, ["_group", "class_id"]).groupBy("_group", "place").agg(F.max("end").alias("end"))
+            taken = staged(spark, open_until.where("end >= place").select("_group", "place"), "taken")
+            reached = _kth(each.join(taken, ["_group", "place"]).join(shares, "_group"), ["_group", "class_id"], "k").withColumnRenamed("place", "now")
+            now = closed.join(reached, ["_group", "class_id"], "left").select("_group", "class_id", F.coalesce("now", never).alias("end"), (F.coalesce("now", never) != F.col("end")).alias("moved"))
+            now = staged(spark, now, "closed")
+            if now.where("moved").isEmpty():
+                break
+            forget(spark, closed, taken)
+            closed = now.drop("moved")
+            closed._staged_path = now._staged_path
+        # Ids by the pass that takes them, then by place; with no class in a region, its first rows.
+        marked = rows.join(taken.withColumn("first", F.lit(0)), ["_group", "place"], "left").join(shares, "_group", "left")
+        marked = marked.where(F.col("k").isNotNull() | (F.col("place") < most))
+        ids = marked.groupBy("_group", "_patch").agg(F.first("_home").alias("_home"), F.min(F.struct(F.coalesce("first", F.lit(1)).alias("first"), "place")).alias("at"))
+        ids = staged(spark, ids.select("_group", "_home", "_patch", (F.col("at.first") * (1 << 50) + F.col("at.place")).alias("place"), F.lit(most).cast("long").alias("k")), "ids")
+        return ids, closed
+
+    if most * 4 <= FIRST:
+        ids, closed = picked(first_places(sizes, FIRST, seed))
+        # The sample ends within these places if they are all, if it is full, or if all classes are and the ids suffice.
+        full = closed.where(F.col("end") < never).groupBy("_group").agg(F.count("*").alias("full"))
+        held = ids.groupBy("_group").agg(F.count("*").alias("ids"), F.count_if(F.col("place") < 1 << 50).alias("taken"))
+        known = sizes.join(shares, "_group", "left").join(full, "_group", "left").join(held, "_group", "left")
+        known = staged(spark, known.select("_group", "n", F.expr(f"n <= {FIRST} OR m IS NULL OR taken >= {most} OR (ids >= {most} AND full = m)").alias("done")), "settled")
+        rest = known.where("NOT coalesce(done, false)").select("_group", "n")
+        if not rest.isEmpty():
+            more = picked(shuffled_places(rest, seed))[0]
+            ids = ids.join(rest, "_group", "left_anti").unionByName(more)
+    else:
+        ids = picked(shuffled_places(sizes, seed))[0]
     last = _kth(ids, ["_group"], "k").withColumnRenamed("place", "last")
     out = ids.join(last, "_group", "left").where("last IS NULL OR place <= last")
     return out.select(F.col("_home").cast(kind).alias(region), F.col("_patch").alias(patch))

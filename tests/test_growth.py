@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.config import Policy
-from tessella.operators import models, selection
+from tessella.operators import models, sampling, selection
 from tessella.plans import pipelines
 from tessella.streaming import resumable
 
@@ -70,3 +70,22 @@ def test_pooled_features_take_components_once(spark):
     for mode, df in zip(selection.POOLS[1:], alone[1:], strict=True):
         rows = df.collect()
         assert len(rows) == len(got) and all(abs(got[r["sample_idx"], r["class_id"]][mode] - r["score"]) < 1e-12 for r in rows)
+
+
+def test_sample_that_ends_early_draws_no_table(spark, monkeypatch):
+    """Regions that end within their first places, beside one that doesn't as it has a rare class; the rule's picks in both, and the table of all draws for the latter only."""
+    monkeypatch.setattr(sampling, "FIRST", 64)
+    asked, whole = [], sampling.shuffled_places
+    monkeypatch.setattr(sampling, "shuffled_places", lambda sizes, seed: asked.extend(r["_group"] for r in sizes.collect()) or whole(sizes, seed))
+    rng = random.Random(5)
+    rows = [(g, f"p{i}", [rng.randrange(3)] if g != "bare" else [], i) for g in ("a", "b", "bare") for i in range(300)] + [("rare", f"p{i}", [9] if i == 170 else [rng.randrange(3)], i) for i in range(300)]
+    got: dict = {}
+    for r in sampling.balanced_sample(spark.createDataFrame(rows, "region string, patch_id string, classes array<int>, ord int"), 16, seed=3).collect():
+        got.setdefault(r["region"], []).append(r["patch_id"])
+    for g in ("a", "b", "bare", "rare"):
+        own = [r for r in rows if r[0] == g]
+        assert sorted(got[g]) == sorted(sampling.greedy_pick([r[1] for r in own], [r[2] for r in own], 16, 3)), g
+    assert asked in ([], ["=rare"])
+    places = sampling.first_places(spark.createDataFrame([("x", 257), ("y", 1), ("z", 0)], "_group string, n long"), 40, 5).collect()
+    random.Random(5).shuffle(order := list(range(257)))
+    assert sorted((r["pos"], r["at"]) for r in places if r["_group"] == "x") == list(enumerate(order[:40])) and len(places) == 41
